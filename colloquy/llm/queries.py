@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe
+from colloquy.llm import bpe, packing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op5_best_fit_packing": op5_best_fit_packing, "op7_warc": op7_warc}
+
+
+#: Of the archives' records: what the pages say.
+OP7_SQL = """
+with p as (select page_id, coalesce(html, '') h from pages),
+     f as (select h, min(page_id) first_id from p where strlen(h) >= 100 group by h)
+select p.page_id, strlen(p.h)::bigint payload_bytes, sha256(p.h) payload_digest,
+       case when f.first_id is null or p.page_id = f.first_id then 'response' else 'revisit' end record_type,
+       case when f.first_id is null or p.page_id = f.first_id then null else f.first_id end refers_to
+from p left join f on p.h = f.h
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL}
