@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, packing, warc
+from colloquy.llm import ann, bpe, language, packing, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.cross_check(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op5_best_fit_packing": op5_best_fit_packing, "op7_warc": op7_warc}
+    return {f.__name__: f for f in (op1_bpe, op5_best_fit_packing, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
 
 
 #: Of the archives' records: what the pages say.
