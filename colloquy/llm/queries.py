@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import ann, bpe, jaccard, language, packing, spotsigs, warc
+from colloquy.llm import ann, bpe, jaccard, language, packing, spotsigs, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_word_windows(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op5_best_fit_packing, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
 
 
 #: Of the archives' records: what the pages say.
