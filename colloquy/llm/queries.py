@@ -32,6 +32,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_byte_windows(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
@@ -50,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
 
 
 #: Of the archives' records: what the pages say.

@@ -174,7 +174,7 @@ def _finish(rows: DataFrame, runs: DataFrame, columns: str, make) -> DataFrame:
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [columns])
     keys = runs.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "runs")
     maybe = filter_rows(rows, "doc_id", bits)
-    joined = maybe.join(keys, (maybe["doc_id"] == keys["__id"]) & (maybe["mark"] == keys["__mark"]), "left").drop("__id", "__mark")
+    joined = maybe.join(keys, maybe["doc_id"].eqNullSafe(keys["__id"]) & (maybe["mark"] == keys["__mark"]), "left").drop("__id", "__mark")
     clear = filter_rows(rows, "doc_id", bits, inside=False)
     return clear.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
 
@@ -225,3 +225,136 @@ def without_word_windows(docs: DataFrame, window: int = 50) -> DataFrame:
 
     out = _finish(rows, runs, "text string", make)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def repeated_byte_windows(rows: DataFrame, window: int, scratch: Scratch, group_rows: int) -> DataFrame:
+    """(doc_id, mark, runs) of windows of bytes that occur elsewhere, ranked on sampled positions at growing lengths.
+
+    The sampled positions are the anchors. Their first rank is their gram; positions that are unique then are done. The
+    next rank is the whole segment around the anchor; of equal segments one stays. Only segments that are still unique
+    beside others with their gram are ranked at the length of the window itself, for each of its places.
+    """
+    gram = min(BYTE_GRAM, window)
+    bits = _sketch_of(rows, False, window, gram)
+    segments = scratch.save(_segments(rows, bits, False, window, gram, False), "segments")
+    one = F.struct("doc_id", "mark", "start", "count")
+    names = scratch.save(segments.groupBy("gram", "name").agg(F.count("*").alias("times"), F.min(one).alias("one")), "names")
+    whole = segments.join(names.where("times > 1").select("gram", "name"), ["gram", "name"], "left_semi").select("doc_id", "mark", "start", "count")
+    mixed = names.groupBy("gram").agg(F.count("*").alias("members"), F.min("times").alias("least")).where("members > 1 and least = 1").select("gram", "members")
+    asked = names.join(mixed, "gram").select("gram", "members", F.least("times", F.lit(2)).cast("int").alias("times"), "one.*")
+    by_doc = scratch.save(asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "members", "times", "start", "count")).alias("asked")), "asked")
+    keys = by_doc.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "asked")
+    some = filter_rows(rows, "doc_id", set_bits(by_doc.select(F.col("doc_id").alias("key"))))
+    joined = some.join(keys, some["doc_id"].eqNullSafe(keys["__id"]) & (some["mark"] == keys["__mark"])).select("doc_id", "mark", "text", "asked")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches):
+        names = ["doc_id", "mark", "gram", "members", "times", "start", "count", "context"]
+        for batch in batches:
+            row, out, context, held = [], [], [], 0
+
+            def flush():
+                at = pa.array(row, pa.int64())
+                values = list(zip(*out))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("mark").take(at), *(pa.array(v, t) for v, t in zip(values, kinds)), pa.array(context, pa.binary())], names)
+
+            for i, (text, asked) in enumerate(zip(batch.column("text"), batch.column("asked"))):
+                raw = (text.as_py() or "").encode("utf-8")
+                for a in asked.as_py():
+                    part = raw[a["start"] : a["start"] + a["count"] - 1 + window]
+                    row.append(i)
+                    out.append((a["gram"], a["members"], a["times"], a["start"], a["count"]))
+                    context.append(part)
+                    held += len(part)
+                if held > 8_000_000:
+                    yield flush()
+                    row, out, context, held = [], [], [], 0
+            if row:
+                yield flush()
+
+    contexts = scratch.save(joined.mapInArrow(cut, f"doc_id {id_type}, mark int, gram bigint, members bigint, times int, start int, count int, context binary"), "contexts")
+
+    def codes(table):
+        """(row, place, hash) of each window of the contexts."""
+        raw, offsets = string_parts(table.column("context"))
+        count = table.column("count").to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = offsets[row] + place
+        return row, place, mix(Rolling(PLAIN[raw]).of(at, at + window), 13)
+
+    def small(batches):
+        def emit(table):
+            row, place, code = codes(table)
+            code ^= mix(table.column("gram").to_numpy().view(np.uint64), 5)[row]
+            times = table.column("times").to_numpy()
+            values, back = np.unique(code, return_inverse=True)
+            total = np.bincount(back, times[row], len(values))
+            hit = (times[row] == 1) & (total[back] > 1)
+            # all windows of a segment hold its anchor, so what they cover together is one stretch
+            low, high = np.full(len(times), 1 << 30), np.full(len(times), -1)
+            np.minimum.at(low, row[hit], place[hit])
+            np.maximum.at(high, row[hit], place[hit])
+            keep = np.flatnonzero(high >= 0)
+            at = pa.array(keep)
+            start = table.column("start").to_numpy()[keep] + low[keep]
+            t = table.select(["doc_id", "mark"]).take(at).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array(t.column("doc_id").to_numpy(zero_copy_only=False), table.schema.field("doc_id").type, from_pandas=True), pa.array(t.column("mark").to_numpy()), pa.array(start.astype(np.int32)), pa.array((high - low + 1)[keep].astype(np.int32))], ["doc_id", "mark", "start", "count"])
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            g = rest.column("gram").to_numpy()
+            cut_at = len(g) if not len(g) else int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+            if cut_at:
+                ready = rest.slice(0, cut_at)
+                edges = np.flatnonzero(np.append(True, np.diff(ready.column("gram").to_numpy()) != 0))
+                start = 0
+                for e in [*edges[1:].tolist(), cut_at]:
+                    if e - start > 20_000 or e == cut_at:
+                        yield emit(ready.slice(start, e - start))
+                        start = e
+                rest = rest.slice(cut_at)
+        if rest is not None and rest.num_rows:
+            yield emit(rest)
+
+    few = contexts.where(F.col("members") <= group_rows).repartition("gram").sortWithinPartitions("gram")
+    found = few.select("doc_id", "mark", "gram", "times", "start", "count", "context").mapInArrow(small, f"doc_id {id_type}, mark int, start int, count int")
+
+    def large(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                table = batch.slice(a, 2000)
+                row, place, code = codes(table)
+                at = pa.array(row)
+                start = (table.column("start").to_numpy()[row] + place).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").take(at), table.column("mark").take(at), pa.array(start), pa.array(code.view(np.int64)), table.column("times").take(at)], ["doc_id", "mark", "start", "code", "times"])
+
+    # a gram with very many different segments: its windows meet by their own hashes, counted before they are shuffled
+    single = contexts.where(F.col("members") > group_rows).select("doc_id", "mark", "times", "start", "count", "context").mapInArrow(large, f"doc_id {id_type}, mark int, start int, code bigint, times int")
+    again = single.groupBy("code").agg(F.sum("times").alias("total")).where("total > 1").select("code")
+    more = single.where("times = 1").join(again, "code").select("doc_id", "mark", "start", F.lit(1).alias("count"))
+    return _runs(whole.unionByName(found).unionByName(more))
+
+
+def remove_byte_windows(docs: DataFrame, window: int = 400, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Removes each byte that a string of ``window`` bytes covers which also starts anywhere else, overlaps included.
+
+    Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256. Texts are their UTF-8 bytes, null is
+    empty; strings never cross documents and are judged on the input. Every row counts, whatever its id.
+    """
+    rows = _columns(docs, id_col, text_col)
+    runs = repeated_byte_windows(rows, window, Scratch(docs.sparkSession, "bytes"), group_rows)
+
+    def make(text, runs):
+        raw = text.encode("utf-8")
+        if runs is None:
+            return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
+        cover = covered(runs, len(raw), window)
+        kept = np.frombuffer(raw, np.uint8)[~cover].tobytes()
+        spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum()) if len(cover) else 0
+        return len(raw), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest()
+
+    return _finish(rows, runs, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make)
