@@ -260,3 +260,17 @@ def cross_check(docs: DataFrame) -> DataFrame:
     model = fit(docs.where(~held_out(docs["doc_id"]) & docs["doc_id"].isNotNull()))
     out = predict(docs, model)
     return out.select("doc_id", held_out(out["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, model: Crf, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows, columns as they are, whose text has a letter and a language with at least this score."""
+    names = docs.columns
+
+    def run(batches):
+        tagger = _Tagger(model)
+        for batch in batches:
+            text = batch.column(text_col).to_pylist()
+            keep = [len(g) > 0 and g.shape[1] > 0 and float(g.mean(0, dtype=np.float64).max()) >= least_score for i in range(0, len(text), 500) for g in tagger.documents([t or "" for t in text[i : i + 500]])]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return docs.mapInArrow(run, docs.schema)
