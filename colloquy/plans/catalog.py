@@ -1 +1,3 @@
 """All query modules, imported so that they register."""
+
+from colloquy.plans import audio, embeddings, events, intervals, meetings, peripheral, streams, texts  # noqa: F401
