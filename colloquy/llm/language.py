@@ -7,7 +7,8 @@ forward-backward gives. A text's words are labelled by the same forward-backward
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 SLOTS = 1 << 18
 WIDTH = 24
-KEPT = 400_000
+#: The messages are scaled at every so many words.
+SCALED = 4
+KEPT = 300_000
 UNKNOWN = "und"
 
 
@@ -62,6 +65,7 @@ class Crf:
     weights: np.ndarray
     moves: np.ndarray
     start: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, (n, labels)."""
@@ -87,15 +91,17 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarr
     potential = np.exp(emissions - emissions.max(2, keepdims=True))
     move = np.exp(moves - moves.max())
     alpha, beta = np.empty_like(potential), np.ones_like(potential)
-    now = np.exp(start - start.max())[None] * potential[:, 0]
-    alpha[:, 0] = now / now.sum(1, keepdims=True)
+    alpha[:, 0] = np.exp(start - start.max())[None] * potential[:, 0]
     for t in range(1, steps):
         now = (alpha[:, t - 1] @ move) * potential[:, t]
-        alpha[:, t] = now / now.sum(1, keepdims=True)
+        alpha[:, t] = now if t % SCALED else now / now.sum(1, keepdims=True)
+    back = np.ascontiguousarray(move.T)
+    ended = int(lengths.min())
     for t in range(steps - 2, -1, -1):
-        now = (beta[:, t + 1] * potential[:, t + 1]) @ move.T
-        now /= now.sum(1, keepdims=True)
-        beta[:, t] = np.where((t + 1 < lengths)[:, None], now, 1.0)
+        now = (beta[:, t + 1] * potential[:, t + 1]) @ back
+        if not t % SCALED:
+            now /= now.sum(1, keepdims=True)
+        beta[:, t] = now if t + 1 < ended else np.where((t + 1 < lengths)[:, None], now, 1.0)
     return alpha, beta, potential, move
 
 
@@ -177,28 +183,43 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tex
     return train(sorted((r["lang"], r["text"]) for r in some.collect()))
 
 
+class _Pieces(dict):
+    """Numbers of blank-separated pieces by their word, 0 for those without a letter; new words wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: dict[str, int] = {}
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        word = word_of(piece)
+        number = self.words.get(word, 0) if word else 0
+        if word and not number:
+            number = self.words[word] = len(self.words) + 1
+            self.new.append(word)
+        self[piece] = number
+        return number
+
+
 class _Tagger:
-    """Emission scores of pieces, kept for each Python worker."""
+    """Emission scores of words, kept for each Python worker."""
 
     def __init__(self, model: Crf):
         self.model = model
-        self.number: dict[str, int] = {}
-        self.table = np.zeros((1, len(model.labels)), np.float32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.pieces = _Pieces()
+        self.table = np.zeros((1, len(self.model.labels)), np.float32)
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.table) > KEPT:
-            self.number.clear()
-            self.table = self.table[:1]
-        new = {p for pieces in texts for p in pieces} - self.number.keys()
-        if new:
-            words = {p: word_of(p) for p in sorted(new)}
-            real = list(dict.fromkeys(w for w in words.values() if w))
-            at = {w: len(self.table) + i for i, w in enumerate(real)}
-            if real:
-                self.table = np.concatenate([self.table, self.model.scores(real)])
-            self.number.update((p, at[w] if w else 0) for p, w in words.items())
-        get = self.number.__getitem__
-        out = [np.fromiter(map(get, pieces), np.int32, len(pieces)) for pieces in texts]
+        if len(self.pieces) > KEPT:
+            self.clear()
+        get = self.pieces.__getitem__
+        out = [np.array(list(map(get, pieces)), np.int32) for pieces in texts]
+        if self.pieces.new:
+            self.table = np.concatenate([self.table, self.model.scores(self.pieces.new)])
+            self.pieces.new.clear()
         return [x[x > 0] for x in out]
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
@@ -226,6 +247,17 @@ class _Tagger:
             out[i] = gamma[row, : lengths[row]]
 
 
+_taggers: dict[str, _Tagger] = {}
+
+
+def tagger_of(model: Crf) -> _Tagger:
+    """The tagger of a model, one for each Python worker; another model's is dropped."""
+    if model.name not in _taggers:
+        _taggers.clear()
+        _taggers[model.name] = _Tagger(model)
+    return _taggers[model.name]
+
+
 def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """The language of every whole text: the label with the highest mean probability over its words, and that mean.
 
@@ -236,7 +268,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     fields = [("doc_id", kept.schema["doc_id"].dataType.simpleString()), ("lang_pred", "string"), ("score", "double")] + [("word_labels", "array<string>")] * words
 
     def run(batches):
-        tagger = _Tagger(model)
+        tagger = tagger_of(model)
         for batch in batches:
             text = batch.column("text").to_pylist()
             for i in range(0, len(text), 500):
@@ -267,7 +299,7 @@ def keep_known(docs: DataFrame, model: Crf, least_score: float, text_col: str =
     names = docs.columns
 
     def run(batches):
-        tagger = _Tagger(model)
+        tagger = tagger_of(model)
         for batch in batches:
             text = batch.column(text_col).to_pylist()
             keep = [len(g) > 0 and g.shape[1] > 0 and float(g.mean(0, dtype=np.float64).max()) >= least_score for i in range(0, len(text), 500) for g in tagger.documents([t or "" for t in text[i : i + 500]])]
