@@ -17,10 +17,9 @@ def _slot(column):
 def set_bits(keys: DataFrame) -> bytes:
     """The bits of column ``key``: at most 2**LOG_BITS / 64 words come to the driver."""
     slot = keys.select(_slot("key").alias("s"))
-    words = slot.groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits"))
+    found = slot.groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (LOG_BITS - 6), np.int64)
-    found = words.toPandas()
-    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     return out.tobytes()
 
 

@@ -18,11 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch, so that a Python worker holds little of a table with long texts at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if int(now.rstrip("kmg")) << unit > most:
+        spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Parquet tables of one run. Writing one cuts the lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/colloquy/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

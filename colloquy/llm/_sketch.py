@@ -1,4 +1,8 @@
-"""Count-min sketch of hashed keys, merged from the sketches of partitions."""
+"""Count-min sketch of hashed keys, merged from the sketches of partitions.
+
+The sketch has one row of 2**40 counters, of which those that aren't 0 are kept. Tasks need to know only which counters
+reach two; these few are held in a bit set of fixed size under two addresses each.
+"""
 
 from __future__ import annotations
 
@@ -7,41 +11,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Two rows of 2**25 counters; of each, the driver and the tasks get one bit, 8 MB together, whatever the input's size.
-LOG_COUNTERS, DEPTH = 25, 2
-
-
-def slots(keys: np.ndarray) -> np.ndarray:
-    """(DEPTH, keys): the counters of each key."""
-    low = np.uint64(64 - LOG_COUNTERS)
-    rows = [(keys >> low).astype(np.int64)]
-    again = keys * np.uint64(0x9E3779B97F4A7C15)
-    rows.append((again >> low).astype(np.int64) + (1 << LOG_COUNTERS))
-    return np.stack(rows)
+#: 2 * 2**26 bits, 16 MB, whatever the input's size: this is what the driver collects and tasks get. With very many
+#: repeated keys the estimates grow, and more is compared exactly; nothing is lost.
+LOG_COUNTERS, LOG_BITS = 40, 26
+SCHEMA = "slot bigint, n bigint"
 
 
 def partial(keys: np.ndarray) -> pa.RecordBatch:
     """A part's sketch, as the counters that aren't 0."""
-    slot, n = np.unique(slots(keys).ravel(), return_counts=True)
+    slot, n = np.unique((keys >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.minimum(n, 2))], ["slot", "n"])
 
 
-SCHEMA = "slot bigint, n bigint"
-
-
 def merge(partials: DataFrame) -> bytes:
     """Adds up partial sketches and keeps which counters reach two: a key estimated under two surely occurs once."""
     full = partials.groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    words = full.groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toPandas()
-    out = np.zeros(DEPTH << (LOG_COUNTERS - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bits = full.select(F.explode(F.array(F.col("slot").bitwiseAND((1 << LOG_BITS) - 1), F.shiftright("slot", LOG_COUNTERS - LOG_BITS) + (1 << LOG_BITS))).alias("b"))
+    words = bits.groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(2 << (LOG_BITS - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return out.tobytes()
 
 
 def repeated(bits: bytes, keys: np.ndarray) -> np.ndarray:
     """Which keys are estimated at two or more."""
     words = np.frombuffer(bits, np.int64)
+    slot = (keys >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)
     out = np.ones(len(keys), bool)
-    for s in slots(keys):
-        out &= (words[s >> 6] >> (s & 63)) & 1 == 1
+    for b in (slot & ((1 << LOG_BITS) - 1), (slot >> (LOG_COUNTERS - LOG_BITS)) + (1 << LOG_BITS)):
+        out &= (words[b >> 6] >> (b & 63)) & 1 == 1
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 PLAIN = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

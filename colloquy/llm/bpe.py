@@ -16,7 +16,7 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,9 +137,8 @@ class WordTokenizer:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.path = path
         self.end = model.get("end_of_word_suffix") or ""
-        self.automaton = Automaton(model["vocab"], merges, self.end)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
@@ -150,6 +149,14 @@ class WordTokenizer:
         self.byte_level = self.library.decoder is not None
         self.table = _Table(self)
 
+    @cached_property
+    def automaton(self) -> Automaton:
+        """Built when a word is first encoded or decoded."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return Automaton(model["vocab"], merges, self.end)
+
     def encode_letters(self, letters: list[str]) -> list[int]:
         if self.end and letters:
             letters[-1] += self.end

@@ -19,8 +19,8 @@ from colloquy.llm._scratch import Scratch
 from colloquy.llm._text import FOLDED, Words, chunks, mix, string_parts
 from colloquy.llm.components import components
 
-#: Ratio of the size bands, and parts above the least number, so that an empty part or two does not count.
-BAND, SPARE = 1.5, 1
+#: Ratio of the size bands, and parts above the least number, so that a few empty parts do not count.
+BAND, SPARE = 1.5, 6
 BITMAP_LONGS = 16
 _edges = [1]
 while _edges[-1] < 1 << 40:
@@ -80,8 +80,9 @@ def parts_of(numbers: np.ndarray, percent: int) -> np.ndarray:
         edge = np.concatenate([[0], np.searchsorted(numbers, bounds), [n]])
         size = np.diff(edge)
         code = mix((sums[edge[1:]] - sums[edge[:-1]]) + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.arange(parts, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7), 3 + tile)
-        # up to SPARE parts may be empty in one set and no linked pair is lost; beyond that, empty parts count as equal
-        out.append(code[size > 0] if (size == 0).sum() <= SPARE else code)
+        # a linked set differs in at most ``own`` parts; if there are more others than empty ones, one that isn't empty is equal
+        own = (100 - percent) * (n + min(int(EDGES[tile + 1]) - 1, 100 * n // percent)) // (100 + percent)
+        out.append(code[size > 0] if parts - own > (size == 0).sum() else code)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -224,6 +224,8 @@ class _Tagger:
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
         """Label probabilities of each word of each text."""
+        if not self.model.labels:
+            return [np.zeros((0, 0), np.float32)] * len(texts)
         words = self.numbers([t.split() for t in texts])
         out: list[np.ndarray] = [np.zeros((0, len(self.model.labels)), np.float32)] * len(texts)
         order = sorted((i for i in range(len(words)) if len(words[i])), key=lambda i: len(words[i]))

@@ -9,6 +9,7 @@ the gap takes the best-fitting lengths. Spark then numbers the pieces of each le
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -18,11 +19,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm._scratch import Scratch
-from colloquy.llm.bpe import tokenizer
+from colloquy.llm.bpe import WordTokenizer, byte_letters, tokenizer
 
+#: Most pieces that a Python worker keeps; the table is emptied beyond it.
+PIECES_KEPT = 400_000
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
+class TokenBytes:
+    """Token ids of texts as little-endian 32-bit numbers, by the tokenizers library: each word is given to its model once,
+    and pieces between which no word reaches are kept."""
+
+    def __init__(self, splitter: WordTokenizer):
+        self.splitter = splitter
+        self.model = splitter.library.model
+        self.letter = dict(enumerate(byte_letters()))
+        self.table: dict[str, bytes] = {}
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        out, table, special = [], self.table, self.splitter.special
+        if len(table) > PIECES_KEPT:
+            table.clear()
+        for text in texts:
+            pieces = None if any(s in text for s in special) else self.splitter.chunks(text)
+            if pieces is None:
+                out.append(array("I", self.splitter.library.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
+            found = list(map(table.get, pieces))
+            if None in found:
+                found = [self.learn(p) if x is None else x for x, p in zip(found, pieces)]
+            out.append(b"".join(found))
+        return out
+
+    def learn(self, piece: str) -> bytes:
+        tokenize, letter = self.model.tokenize, self.letter
+        ids = [t.id for w in self.splitter.words.findall(piece) for t in tokenize(w.encode().decode("latin-1").translate(letter))]
+        value = self.table[piece] = array("I", ids).tobytes()
+        return value
+
+
+_token_bytes: dict[str, TokenBytes] = {}
+
+
 def complement(left: np.ndarray, length: int, gap: int) -> list[int] | None:
     """One, two or three lengths, none over ``length``, that fill the gap exactly and have pieces left."""
     have = left[: length + 1] > 0
@@ -90,12 +128,13 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
     tail = end_id.to_bytes(4, "little")
 
     def cut(batches):
-        tok = tokenizer(tokenizer_path)
+        tokens = _token_bytes.get(tokenizer_path) or _token_bytes.setdefault(tokenizer_path, TokenBytes(tokenizer(tokenizer_path)))
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("at", "piece", "start", "length", "crc", "nth")}
-            for at, text in enumerate(batch.column("text")):
-                ids = b"".join([e[2] for e in tok.entries(text.as_py() or "")]) + tail
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for at, ids in enumerate(x for i in range(0, len(texts), 200) for x in tokens.of(texts[i : i + 200])):
+                ids += tail
                 n = len(ids) // 4
                 first = n if n <= max_len else n % max_len or max_len
                 edges = [0, *range(first, n + 1, max_len)]

@@ -20,7 +20,7 @@ from colloquy.llm._bitset import filter_rows, set_bits
 from colloquy.llm._scratch import Scratch
 from colloquy.llm._text import PLAIN, SEPARATOR, Rolling, Words, chunks, minimizers, mix, string_parts
 
-WORD_GRAM, BYTE_GRAM = 8, 32
+WORD_GRAM, BYTE_GRAM = 24, 32
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,15 +129,19 @@ def repeated_word_windows(rows: DataFrame, window: int, scratch: Scratch) -> Dat
     """(doc_id, mark, runs) with runs of windows that also start in a document with a smaller id: longs start * 2**24 + count."""
     rows = rows.where("doc_id is not null")
     bits = _sketch_of(rows, True, window, min(WORD_GRAM, window))
-    segments = scratch.save(_segments(rows, bits, True, window, min(WORD_GRAM, window), True), "segments")
+    segments = scratch.save(_segments(rows, bits, True, window, min(WORD_GRAM, window), True).drop("shift", "gram"), "segments")
     smallest = segments.groupBy("name").agg(F.min("doc_id").alias("least_id"))
     seen = segments.join(smallest, "name")
     whole = seen.where("doc_id > least_id").select("doc_id", "mark", "start", "count")
     # of equal segments, the one in the smallest document stands for all; any smaller document is smaller than theirs too
-    single = seen.where("doc_id = least_id").select("doc_id", "mark", F.col("start").alias("base"), F.posexplode("windows").alias("step", "code")).select("doc_id", "mark", (F.col("base") + F.col("step")).alias("start"), "code")
+    # a window's place: the row's mark and the window's start in one number
+    place = F.shiftleft(F.col("mark").cast("long"), 24) + F.col("start")
+    single = seen.where("doc_id = least_id").select("doc_id", place.alias("base"), F.posexplode("windows").alias("step", "code")).select("doc_id", (F.col("base") + F.col("step")).alias("place"), "code")
     first = single.groupBy("code").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id").select("code", "least_id")
-    part = single.join(first, "code").where("doc_id > least_id").select("doc_id", "mark", "start", F.lit(1).alias("count"))
-    return _runs(whole.unionByName(part))
+    part = single.join(first, "code").where("doc_id > least_id").select("doc_id", F.shiftright("place", 24).cast("int").alias("mark"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("start"), F.lit(1).alias("count"))
+    runs = scratch.save(_runs(whole.unionByName(part)), "runs")
+    scratch.drop("segments")
+    return runs
 
 
 def _runs(found: DataFrame) -> DataFrame:
@@ -156,8 +160,6 @@ def covered(runs, size: int, window: int) -> np.ndarray:
 
 def _finish(rows: DataFrame, runs: DataFrame, columns: str, make) -> DataFrame:
     """Calls make(text, runs or None) on every row; only rows that may have runs are shuffled."""
-    scratch = Scratch(rows.sparkSession, "runs")
-    runs = scratch.save(runs, "runs")
     bits = set_bits(runs.select(F.col("doc_id").alias("key")))
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
     kinds = {"bigint": pa.int64(), "string": pa.string()}
@@ -313,7 +315,7 @@ def repeated_byte_windows(rows: DataFrame, window: int, scratch: Scratch, group_
                 edges = np.flatnonzero(np.append(True, np.diff(ready.column("gram").to_numpy()) != 0))
                 start = 0
                 for e in [*edges[1:].tolist(), cut_at]:
-                    if e - start > 20_000 or e == cut_at:
+                    if e - start > 4_000 or e == cut_at:
                         yield emit(ready.slice(start, e - start))
                         start = e
                 rest = rest.slice(cut_at)
@@ -336,10 +338,10 @@ def repeated_byte_windows(rows: DataFrame, window: int, scratch: Scratch, group_
     single = contexts.where(F.col("members") > group_rows).select("doc_id", "mark", "times", "start", "count", "context").mapInArrow(large, f"doc_id {id_type}, mark int, start int, code bigint, times int")
     again = single.groupBy("code").agg(F.sum("times").alias("total")).where("total > 1").select("code")
     more = single.where("times = 1").join(again, "code").select("doc_id", "mark", "start", F.lit(1).alias("count"))
-    return _runs(whole.unionByName(found).unionByName(more))
+    return scratch.save(_runs(whole.unionByName(found).unionByName(more)), "runs")
 
 
-def remove_byte_windows(docs: DataFrame, window: int = 400, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_byte_windows(docs: DataFrame, window: int = 400, group_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes each byte that a string of ``window`` bytes covers which also starts anywhere else, overlaps included.
 
     Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256. Texts are their UTF-8 bytes, null is

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,17 +81,18 @@ def overlapping_windows(rows: DataFrame, key: str, order: str, value: str, size:
     return w.groupBy(key, "buffer").agg(F.count("*").alias("n"), F.min("__i").cast("long").alias("first_index"), F.sum(value).alias("total"))
 
 
-def reorder_stream(stream: DataFrame, session: str = "session_id", sequence: str = "sequence_id", wait_ms: int = 100) -> DataFrame:
+def reorder_stream(stream: DataFrame, session: str = "session_id", sequence: str = "sequence_id", wait_ms: int | None = 100) -> DataFrame:
     """Structured Streaming reorder buffer: emits contiguous numbers at once and others when they have waited ``wait_ms``.
 
-    Keeps the first row of a number, and for each session the numbers that wait and the last one emitted.
+    Keeps the first row of a number, and for each session the numbers that wait and the last one emitted. Without
+    ``wait_ms``, numbers behind a gap wait for it to be filled, and the query can end when its source does.
     """
     schema = stream.schema
     names = schema.names
 
     def run(key, parts, state):
         last, waiting = state.get if state.exists else (0, "[]")
-        held = pd.read_json(__import__("io").StringIO(waiting), orient="records", dtype=False) if waiting != "[]" else pd.DataFrame(columns=names)
+        held = pd.read_json(io.StringIO(waiting), orient="records", dtype=False) if waiting != "[]" else pd.DataFrame(columns=names)
         rows = pd.concat([held, *parts], ignore_index=True) if not state.hasTimedOut else held
         rows = rows[rows[sequence] > last].drop_duplicates(sequence).sort_values(sequence)
         out = []
@@ -99,8 +102,8 @@ def reorder_stream(stream: DataFrame, session: str = "session_id", sequence: str
                 last = int(getattr(r, sequence))
         rest = rows[rows[sequence] > last]
         state.update((last, rest.to_json(orient="records")))
-        if len(rest):
+        if len(rest) and wait_ms is not None:
             state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy(session).applyInPandasWithState(run, schema, "last long, waiting string", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(session).applyInPandasWithState(run, schema, "last long, waiting string", "append", "NoTimeout" if wait_ms is None else "ProcessingTimeTimeout")
