@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import ann, bpe, jaccard, language, packing, spotsigs, substring, warc
+from colloquy.llm import ann, bpe, jaccard, language, licenses, packing, spotsigs, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
 
 
 #: Of the archives' records: what the pages say.
