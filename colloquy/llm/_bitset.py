@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 LOG_BITS = 25
 
 
-def _slot(column):
+def slot_of(column):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - LOG_BITS)
 
 
 def set_bits(keys: DataFrame) -> bytes:
     """The bits of column ``key``: at most 2**LOG_BITS / 64 words come to the driver."""
-    slot = keys.select(_slot("key").alias("s"))
+    slot = keys.select(slot_of("key").alias("s"))
     found = slot.groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (LOG_BITS - 6), np.int64)
     out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     return out.tobytes()
 
 
+def among(bits: bytes, slots: np.ndarray) -> np.ndarray:
+    """Which slots are in the set."""
+    words = np.frombuffer(bits, np.int64)
+    return (words[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
 def filter_rows(df: DataFrame, column: str, bits: bytes, inside: bool = True) -> DataFrame:
     """Rows whose key may be in the set (``inside``), or all others. The two halves make up ``df``."""
     spark = df.sparkSession
@@ -32,9 +38,7 @@ def filter_rows(df: DataFrame, column: str, bits: bytes, inside: bool = True) ->
     def has(slot):
         import pandas as pd
 
-        words = np.frombuffer(shared.value, np.int64)
-        s = slot.to_numpy(np.int64)
-        return pd.Series((words[s >> 6] >> (s & 63)) & 1 == 1)
+        return pd.Series(among(shared.value, slot.to_numpy(np.int64)))
 
-    test = has(_slot(df[column]))
+    test = has(slot_of(df[column]))
     return df.where(test if inside else ~test)

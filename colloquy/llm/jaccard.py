@@ -224,7 +224,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         ids, sets = zip(*[(i, s) for i, s in zip(ids.to_pylist(), sets) if len(s)]) if any(len(s) for s in sets) else ((), ())
         return [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
-    sets = some.join(wanted.select("doc_id"), "doc_id").mapInArrow(_per_document(width, arrays, ["node", "n", "bits", "set"]), "node bigint, n bigint, bits array<bigint>, set array<bigint>")
+    sets = some.join(wanted.select("doc_id").hint("merge"), "doc_id").mapInArrow(_per_document(width, arrays, ["node", "n", "bits", "set"]), "node bigint, n bigint, bits array<bigint>, set array<bigint>")
     sets = scratch.save(sets.join(central.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def exact(pairs: DataFrame, name: str, bounded: bool) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _sketch
-from colloquy.llm._bitset import filter_rows, set_bits
+from colloquy.llm._bitset import among, filter_rows, set_bits, slot_of
 from colloquy.llm._scratch import Scratch
 from colloquy.llm._text import PLAIN, SEPARATOR, Rolling, Words, chunks, minimizers, mix, string_parts
 
@@ -159,25 +159,31 @@ def covered(runs, size: int, window: int) -> np.ndarray:
 
 
 def _finish(rows: DataFrame, runs: DataFrame, columns: str, make) -> DataFrame:
-    """Calls make(text, runs or None) on every row; only rows that may have runs are shuffled."""
+    """Calls make(text, runs or None) on every row; only rows that may have runs are shuffled.
+
+    A task holds one Python worker: the other rows are picked where they are made, and the join is a shuffle.
+    """
     bits = set_bits(runs.select(F.col("doc_id").alias("key")))
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
     kinds = {"bigint": pa.int64(), "string": pa.string()}
     types = [kinds[c.strip().split(" ")[1]] for c in columns.split(",")]
 
     def run(batches):
         for batch in batches:
+            if "__slot" in batch.schema.names:
+                batch = batch.filter(pa.array(~among(shared.value, batch.column("__slot").to_numpy())))
             has = "runs" in batch.schema.names
             values = [make(t.as_py() or "", r.values.to_numpy() if has and r.is_valid else None) for t, r in zip(batch.column("text"), batch.column("runs") if has else batch.column("text"))]
-            other = [c for c in batch.schema.names if c not in ("text", "mark", "runs")]
+            other = [c for c in batch.schema.names if c not in ("text", "mark", "runs", "__slot")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in other] + [pa.array(c, t) for c, t in zip(list(zip(*values)) or [()] * len(types), types)], other + names)
 
     kept = [c for c in rows.columns if c not in ("text", "mark")]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [columns])
     keys = runs.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "runs")
     maybe = filter_rows(rows, "doc_id", bits)
-    joined = maybe.join(keys, maybe["doc_id"].eqNullSafe(keys["__id"]) & (maybe["mark"] == keys["__mark"]), "left").drop("__id", "__mark")
-    clear = filter_rows(rows, "doc_id", bits, inside=False)
+    joined = maybe.join(keys.hint("merge"), maybe["doc_id"].eqNullSafe(keys["__id"]) & (maybe["mark"] == keys["__mark"]), "left").drop("__id", "__mark")
+    clear = rows.withColumn("__slot", slot_of(rows["doc_id"]))
     return clear.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
 
 
@@ -247,7 +253,7 @@ def repeated_byte_windows(rows: DataFrame, window: int, scratch: Scratch, group_
     by_doc = scratch.save(asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "members", "times", "start", "count")).alias("asked")), "asked")
     keys = by_doc.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "asked")
     some = filter_rows(rows, "doc_id", set_bits(by_doc.select(F.col("doc_id").alias("key"))))
-    joined = some.join(keys, some["doc_id"].eqNullSafe(keys["__id"]) & (some["mark"] == keys["__mark"])).select("doc_id", "mark", "text", "asked")
+    joined = some.join(keys.hint("merge"), some["doc_id"].eqNullSafe(keys["__id"]) & (some["mark"] == keys["__mark"])).select("doc_id", "mark", "text", "asked")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
