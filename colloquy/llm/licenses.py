@@ -3,7 +3,8 @@
 Words are runs of letters and digits, A-Z lower-cased. Of each template the smallest word grams of every few in turn are
 posted in an inverted index. A document's grams are looked up there; postings on nearly the same diagonal are one
 candidate, and the template is aligned with the document's words around that diagonal. All candidates of a template are
-aligned together, one cell of the band at a time.
+aligned together, one cell of the band at a time. Postings that no such match explains are chained over all diagonals, and
+the template is aligned with the words between the chain's postings, so words put in or left out do not end a match.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ class Index:
         posting = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         return np.repeat(at, many), posting
 
-    def candidates(self, words: Words) -> np.ndarray:
-        """(document, template, diagonal) rows: the diagonal is the document word on which the template's first falls."""
+    def hits(self, words: Words) -> np.ndarray:
+        """(document, template, document word, template word) rows of all postings found, in this order."""
         hits = []
         for grams, size in ((grams_of(words.hash, self.gram), self.gram), (words.hash, 1)):
             at, posting = self.look_up(grams)
@@ -99,8 +100,12 @@ class Index:
             at, posting = at[short == (size == 1)], posting[short == (size == 1)]
             document = np.searchsorted(words.first, at, "right") - 1
             inside = at + size <= words.first[document + 1]
-            hits.append(np.stack([document, self.template[posting], at - self.place[posting]], 1)[inside])
-        found = np.unique(np.concatenate(hits), axis=0)
+            hits.append(np.stack([document, self.template[posting], at, self.place[posting]], 1)[inside])
+        return np.unique(np.concatenate(hits), axis=0)
+
+    def candidates(self, hits: np.ndarray) -> np.ndarray:
+        """(document, template, diagonal) rows: the diagonal is the document word on which the template's first falls."""
+        found = np.unique(np.stack([hits[:, 0], hits[:, 1], hits[:, 2] - hits[:, 3]], 1), axis=0)
         if not len(found):
             return found
         # hits whose diagonal is within half a band of the first one of their group are one candidate
@@ -149,13 +154,99 @@ def align(template: np.ndarray, codes: np.ndarray, start: np.ndarray, low: np.nd
     return out
 
 
+def subsequence(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    if not len(x) or not len(y):
+        return []
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, word in enumerate(x):
+        np.maximum.accumulate(np.where(y == word, table[i, :-1] + 1, table[i, 1:]), out=table[i + 1, 1:])
+    out, i, j = [], len(x), len(y)
+    while table[i, j]:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def chain(at: np.ndarray, place: np.ndarray, gram: int, slack: int, most: int) -> list[int]:
+    """The postings, in turn, of a chain that covers most template words; of equal ones, that of the fewest words between.
+
+    At most ``most`` words in a row are put in. Where they are more than ``slack``, at most as many template words, beyond a window
+    of grams, stand between the two postings: a gap that leaves out more has no coverage left.
+    """
+    best = np.full(int(place.max()) + 1, -1.0)
+    last = np.full(len(best), -1)
+    back = []
+    for k, (a, p) in enumerate(zip(at.tolist(), place.tolist())):
+        score, before = float(gram), -1
+        step = p - np.arange(p)
+        put_in = a - at[last[:p]] - step
+        # postings that overlap must be on one diagonal
+        ok = (last[:p] >= 0) & (put_in <= most) & ((step >= gram) & (a - at[last[:p]] >= gram) | (put_in == 0)) & ((put_in <= slack) | (step <= slack + gram + WINDOW))
+        if ok.any():
+            scores = np.where(ok, best[:p] + np.minimum(step, gram) - np.abs(put_in) * 1e-7, -1.0)
+            j = int(scores.argmax())
+            if scores[j] > score:
+                score, before = float(scores[j]), int(last[j])
+        back.append(before)
+        if score >= best[p]:
+            best[p], last[p] = score, k
+    out, k = [], int(last[best.argmax()])
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def align_chain(template: np.ndarray, codes: np.ndarray, at: np.ndarray, place: np.ndarray, low: int, high: int, gram: int, slack: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(Document words matched, stretches of the document that the match holds) of a chain of postings.
+
+    Between two postings every word may match, but of more than the missing template words and the slack, only those
+    next to the postings: chance words in the middle of what was put in are no part of the license.
+    """
+    pairs: list[int] = []
+    held: list[tuple[int, int]] = []
+    done_t, done_d, first = 0, None, True
+    for a, p in [*zip(at.tolist(), place.tolist()), (None, len(template))]:
+        gap = max(p - done_t, 0)
+        near = gap + slack
+        if first:
+            between = np.arange(max(low, a - near), a)
+        elif a is None:
+            between = np.arange(done_d, min(high, done_d + near))
+        else:
+            between = np.arange(done_d, max(a, done_d))
+            if len(between) > 2 * near:
+                between = np.concatenate([between[:near], between[-near:]])
+        if first:  # as near to the first posting as can be
+            between = between[::-1]
+            pairs += sorted(int(between[j]) for _, j in subsequence(template[:p][::-1], codes[between]))
+        else:
+            pairs += [int(between[j]) for _, j in subsequence(template[done_t:p], codes[between])]
+        if a is not None:
+            pairs += range(a if first else max(a, done_d), a + gram)
+            done_t, done_d = p + gram, a + gram
+        first = False
+    found = np.array(pairs, np.int64)
+    cut = np.flatnonzero(np.append(True, np.diff(found) > len(template) + 2 * slack))
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(found)]):
+        held.append((int(found[i]), int(found[j - 1]) + 1))
+    return found, held
+
+
 def matches(index: Index, words: Words, least: float) -> list[tuple]:
     """(document, template, number of words matched, document words matched), places held by one match each.
 
     Where matches overlap, the one of most words stays, then that of greater coverage, the earlier, the smaller name.
     """
     found: dict[int, list] = {}
-    rows = index.candidates(words)
+    hits = index.hits(words)
+    rows = index.candidates(hits)
     for number in np.unique(rows[:, 1]).tolist():
         own = rows[rows[:, 1] == number]
         template = index.codes[number]
@@ -165,14 +256,56 @@ def matches(index: Index, words: Words, least: float) -> list[tuple]:
             low, high = words.first[part[:, 0]], words.first[part[:, 0] + 1]
             for document, pairs in zip(part[:, 0].tolist(), align(template, words.hash, part[:, 2], low, high)):
                 if len(pairs) and len(pairs) >= least * len(template):
-                    found.setdefault(document, []).append((len(pairs), len(pairs) / len(template), number, pairs[:, 1]))
+                    held = [(int(pairs[0, 1]), int(pairs[-1, 1]) + 1)]
+                    found.setdefault(document, []).append((len(pairs), len(pairs) / len(template), number, pairs[:, 1], held))
+    edge = np.flatnonzero(np.append(True, (np.diff(hits[:, :2], axis=0) != 0).any(1))).tolist() if len(hits) else []
+    for a, b in zip(edge, [*edge[1:], len(hits)]):
+        document, number = hits[a, :2].tolist()
+        template = index.codes[number]
+        low, high = int(words.first[document]), int(words.first[document + 1])
+        if len(template) < index.gram or np.isin(template, words.hash[low:high]).sum() < least * len(template):
+            continue
+        slack = max(BAND, int(np.ceil((1 - least) * len(template))))
+        at, place = hits[a:b, 2], hits[a:b, 3]
+        for *_, other, _, held in found.get(document, []):
+            if other == number:
+                keep = ~((at >= held[0][0]) & (at < held[-1][1]))
+                at, place = at[keep], place[keep]
+        # copies that stand close first, so that parts of two copies are not taken for one; at last, any words between
+        most, parts, all_at, all_place = slack, [], at, place
+        while len(at):
+            some = chain(at, place, index.gram, slack, most)
+            pairs, held = align_chain(template, words.hash, at[some], place[some], low, high, index.gram, slack)
+            if len(pairs) < least * len(template):
+                if most > at[-1] - at[0]:
+                    break
+                most *= 4
+                continue
+            parts.append((pairs, held, at[some]))
+            keep = np.ones(len(at), bool)
+            for i, j in held:
+                keep &= ~((at >= i) & (at < j))
+            at, place = at[keep], place[keep]
+        for k, (pairs, held, own) in enumerate(parts):
+            # what no other copy holds, further off, belongs to the match if its own postings stay in
+            if len(pairs) < len(template):
+                keep = np.ones(len(all_at), bool)
+                for i, j in (h for m, (_, other, _) in enumerate(parts) if m != k for h in other):
+                    keep &= ~((all_at >= i) & (all_at < j))
+                at, place = all_at[keep], all_place[keep]
+                some = chain(at, place, index.gram, slack, high - low)
+                longer = align_chain(template, words.hash, at[some], place[some], low, high, index.gram, slack)
+                if len(longer[0]) > len(pairs) and all(any(i <= x < j for i, j in longer[1]) for x in own.tolist()):
+                    pairs, held = longer
+            found.setdefault(document, []).append((len(pairs), len(pairs) / len(template), number, pairs, held))
     out = []
     for document, options in found.items():
         first = int(words.first[document])
         taken = np.zeros(int(words.first[document + 1]) - first, bool)
-        for size, _, number, at in sorted(options, key=lambda o: (-o[0], -o[1], int(o[3][0]), o[2])):
-            if not taken[int(at[0]) - first : int(at[-1]) + 1 - first].any():
-                taken[int(at[0]) - first : int(at[-1]) + 1 - first] = True
+        for size, _, number, at, held in sorted(options, key=lambda o: (-o[0], -o[1], int(o[3][0]), o[2])):
+            if not any(taken[i - first : j - first].any() for i, j in held):
+                for i, j in held:
+                    taken[i - first : j - first] = True
                 out.append((document, number, size, at))
     return sorted(out, key=lambda m: (m[0], int(m[3][0])))
 

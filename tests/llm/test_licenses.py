@@ -88,3 +88,36 @@ def test_edges(spark):
     assert [r["license_id"] for r in licenses.scan(df.limit(1), {"none": "...", "one": "MIT"}).collect()] == ["one"]
     with pytest.raises(ValueError):
         licenses.Index({"huge": "x" * (licenses.MOST_TEMPLATE_BYTES + 1)})
+
+
+def unbanded(template, words):
+    """The template words that the text has in the same order, wherever they stand."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        last, row = row, [0] * (len(words) + 1)
+        for j, w in enumerate(words):
+            row[j + 1] = last[j] + 1 if t == w else max(last[j + 1], row[j])
+    return row[-1]
+
+
+def test_words_put_in_or_left_out(spark):
+    w = BODY.split()
+    strange = lambda n: " ".join(f"q{i}" for i in range(n))
+    half = len(w) // 2
+    texts = [" ".join([*w[:half], strange(n), *w[half:]]) for n in (13, 40, 3000)]
+    texts += [" ".join(w[:k] + w[k + 14 :]) for k in (10, 40)] + [" ".join(w[:k] + w[k + 24 :]) for k in (10, 40)]
+    texts += [" ".join([*w[:20], strange(15), *w[20:45], strange(20), *w[45:60], strange(9), *w[60:]]), f"{texts[0]} {strange(30)} {texts[3]} {BODY}", f"{BODY} {strange(500)} " + " ".join(w[:half])]
+    got = scanned(spark, texts, templates={"MIT-text": BODY})
+    template = [x for x, _, _ in words_of(BODY)]
+    for i, text in enumerate(texts):
+        most = unbanded(template, [x for x, _, _ in words_of(text)])
+        assert bool(got[i]) == (most >= 0.8 * len(template)), (i, most)
+        if i not in (8, 9) and got[i]:
+            assert [r["n_matched"] for r in got[i]] == [most], i
+        for r in got[i]:
+            found = iter(template)
+            assert all(x in found for s in r["spans"] for x, _, _ in words_of(text[s["start"] : s["end"]]))
+    assert [len(got[i]) for i in (8, 9)] == [3, 1]
+    # another license inside what was put in is found too
+    both = scanned(spark, [" ".join([*w[:half], strange(300), APACHE, strange(300), *w[half:]])])
+    assert [r["license_id"] for r in both[0]] == ["MIT-text", "Apache-2.0"]
