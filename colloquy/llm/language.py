@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 18
@@ -23,16 +23,32 @@ KEPT = 300_000
 UNKNOWN = "und"
 
 
+def cut_long(piece: str) -> list[str]:
+    """A blank-separated piece, with more letters than a word holds as several: text without blanks counts whole."""
+    if len(piece) <= WIDTH:
+        return [piece]
+    word = word_of(piece)
+    return [word[i : i + WIDTH] for i in range(0, len(word), WIDTH)]
+
+
+def pieces_of(text: str) -> list[str]:
+    """The blank-separated pieces of a text, long ones cut."""
+    pieces = text.split()
+    if max(map(len, pieces), default=0) <= WIDTH:
+        return pieces
+    return [q for p in pieces for q in cut_long(p)]
+
+
 def word_of(piece: str) -> str:
     """The letters of a blank-separated piece, in lower case."""
-    return piece.lower() if piece.isalpha() else "".join(filter(str.isalpha, piece)).lower()
+    low = piece.lower()
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, which are used) for each word. Of longer words, the first and last letters count."""
-    cut = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :] for w in words]
-    n = len(cut)
-    letters = np.array([f"\x02{w}\x03" for w in cut], dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(n, WIDTH + 2).astype(np.uint64)
+    """(slots, which are used) for each word of at most WIDTH letters."""
+    n = len(words)
+    letters = np.array([f"\x02{w}\x03" for w in words], dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(n, WIDTH + 2).astype(np.uint64)
     a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     two = (letters[:, :-1] * a) ^ (letters[:, 1:] * b + np.uint64(2))
     three = two[:, :-1] ^ (letters[:, 2:] * c + np.uint64(3))
@@ -115,7 +131,7 @@ def train(texts: list[tuple[str, str]], words_per_text: int = 120, sequence: int
     vocabulary: dict[str, int] = {}
     runs: list[tuple[int, list[int]]] = []
     for label, text in texts:
-        words = [w for p in text.split() if (w := word_of(p))][:words_per_text]
+        words = [w for p in pieces_of(text) if (w := word_of(p))][:words_per_text]
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
         runs += [(number[label], ids[i : i + sequence]) for i in range(0, len(ids), sequence)]
     if k < 2 or not runs:
@@ -167,20 +183,24 @@ def train(texts: list[tuple[str, str]], words_per_text: int = 120, sequence: int
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts_per_label: int = 200, chars_per_text: int = 4000, max_labels: int = 200) -> Crf:
-    """Fits on about ``texts_per_label`` labelled rows of each label, chosen by a hash of the text, of which the first
-    ``chars_per_text`` characters are fetched: a bounded sample, whatever the table's size. Null texts or labels are left
-    out; without rows, the model knows no label. More than ``max_labels`` labels are an error.
+    """Fits on ``texts_per_label`` different texts of each label, or all if there are fewer: those with the smallest
+    hashes, so the same rows whatever their order. Of each the first ``chars_per_text`` characters are fetched, of which
+    ``train`` reads 120 words: a bounded sample, whatever the table's size. Null texts or labels are left out; without
+    rows, the model knows no label. More than ``max_labels`` labels are an error.
     """
     rows = labelled.select(labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null and trim(text) != ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("slot", F.pmod("hash", F.lit(1 << 30)))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
     if not counts:
         return train([])
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, texts_per_label / n))])
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    some = some.select("lang", F.substring("text", 1, chars_per_text).alias("text")).limit(4 * texts_per_label * len(counts))
-    return train(sorted((r["lang"], r["text"]) for r in some.collect()))
+    # about twice the texts wanted, of which the smallest hashes are taken; copies count once
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2 * texts_per_label + 50) / n))])
+    some = rows.where(F.col("slot") < share[F.col("lang")] * (1 << 30))
+    some = some.groupBy("lang", "slot", "hash").agg(F.min(F.substring("text", 1, chars_per_text)).alias("text"))
+    some = some.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("slot", "hash"))).where(F.col("number") <= texts_per_label)
+    return train(sorted((r["lang"], r["text"]) for r in some.select("lang", "text").collect()))
 
 
 class _Pieces(dict):
@@ -226,7 +246,7 @@ class _Tagger:
         """Label probabilities of each word of each text."""
         if not self.model.labels:
             return [np.zeros((0, 0), np.float32)] * len(texts)
-        words = self.numbers([t.split() for t in texts])
+        words = self.numbers([pieces_of(t) for t in texts])
         out: list[np.ndarray] = [np.zeros((0, len(self.model.labels)), np.float32)] * len(texts)
         order = sorted((i for i in range(len(words)) if len(words[i])), key=lambda i: len(words[i]))
         group: list[int] = []

@@ -259,6 +259,27 @@ def test_language(spark, small):
     assert language.predict(empty(spark), model).count() == 0 and {r["lang_pred"] for r in language.predict(docs.limit(5), language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_sample(spark, monkeypatch):
+    """Labels whose rows are copies of few texts, and large groups of copies of another label."""
+    rows = [("aa", f"alpha beta {k}") for k in "xyz" for _ in range(700)] + [("bb", "much the same text")] * 3000 + [("bb", f"bravo {i} word") for i in range(900)] + [("cc", "gamma")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, **_: seen.append(texts))
+    for n in (1, 7):
+        language.fit(df.repartition(n), texts_per_label=50)
+    labels = collections.Counter(label for label, _ in seen[0])
+    assert seen[0] == seen[1] and labels == {"aa": 3, "bb": 50, "cc": 1} and len(set(seen[0])) == 54
+
+
+def test_letters_without_blanks(spark):
+    """All letters of a text without blanks count, not its ends alone."""
+    texts = [("aa", "abcdefgh" * 4 + " " + " ".join(["abcd", "efgh"] * 20)), ("bb", "stuvwxyz" * 4 + " " + " ".join(["stuv", "wxyz"] * 20))] * 20
+    model = language.train(texts)
+    text = "abcdefgh" * 3 + "stuvwxyz" * 60 + "abcdefgh" * 3
+    (row,) = language.predict(frame(spark, [text]), model, words=True).collect()
+    assert row["lang_pred"] == "bb" and len(row["word_labels"]) == 22
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     e, moves, start = rng.normal(size=(1, 5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
