@@ -103,7 +103,10 @@ def best_mapping(sims: np.ndarray) -> list[int]:
 
 
 def assign_windows(rows: DataFrame, window: str, local: str, vector: str, centroids: list[list[float]]) -> DataFrame:
-    """Maps each window's local speakers (three at most) one to one to the global centroids."""
+    """Maps each window's local speakers (three at most) one to one to the global centroids, any number of them.
+
+    With n local speakers, a best mapping gives each one of its n best centroids, as the others hold n - 1 at most.
+    """
     cents = np.array(centroids, float)
     cents /= np.maximum(np.linalg.norm(cents, axis=1, keepdims=True), 1e-12)
 
@@ -111,7 +114,8 @@ def assign_windows(rows: DataFrame, window: str, local: str, vector: str, centro
         pdf = pdf.sort_values(local)
         x = np.vstack(pdf[vector].to_numpy()).astype(float)
         sims = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ cents.T
-        return pd.DataFrame({window: pdf[window], local: pdf[local], "speaker": best_mapping(sims)})
+        some = np.unique(np.argsort(-sims, axis=1, kind="stable")[:, : len(sims)])
+        return pd.DataFrame({window: pdf[window], local: pdf[local], "speaker": some[best_mapping(sims[:, some])]})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(window, local, vector).groupBy(window).applyInPandas(run, f"{window} {kinds[window]}, {local} {kinds[local]}, speaker bigint")

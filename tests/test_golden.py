@@ -140,3 +140,26 @@ def test_repeat_cleaning():
 def test_fingerprint(spark):
     assert one(spark, U.fnv1a(F.col("t")), t="") == "cbf29ce484222325:0"
     assert one(spark, U.fnv1a(F.col("t")), t="a") == "af63dc4c8601ec8c:1"
+
+
+def test_windows_with_many_labels(spark, tmp_path):
+    import itertools
+
+    import numpy as np
+
+    from colloquy.plans import registry
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(22, 12))
+    rows = [(i, [float(v) for v in base[i % 22] + 0.6 * rng.normal(size=12)], i % 22) for i in range(132)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label bigint").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["window"], r["local"]): r["speaker"] for r in registry.queries()["e14_j13_window_speakers"](spark, str(tmp_path)).collect()}
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.array([v for _, v, _ in rows])
+    sims = unit(x) @ unit(np.array([x[k::22].mean(0) for k in range(22)])).T
+    for w in range(44):
+        part = sims[3 * w : 3 * w + 3]
+        best = max(part[0, a] + part[1, b] + part[2, c] for a, b, c in itertools.permutations(range(22), 3))
+        own = [got[w, i] for i in range(3)]
+        assert len(set(own)) == 3 and abs(sum(part[i, g] for i, g in enumerate(own)) - best) < 1e-5
+    assert max(got.values()) > 15
