@@ -92,14 +92,15 @@ def bitmap_of(numbers: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _per_document(width: int, make, names: list[str]):
+def _per_document(width: int, make, names: list[str], sets_of=None):
     """An Arrow function that calls make(id column, set list) over bounded runs of rows."""
+    sets_of = sets_of or shingle_sets
 
     def run(batches):
         for batch in batches:
             raw, offsets = string_parts(batch.column("text"))
             for a, b in chunks(offsets):
-                columns = make(batch.column("doc_id").slice(a, b - a), shingle_sets(raw, offsets[a : b + 1], width))
+                columns = make(batch.column("doc_id").slice(a, b - a), sets_of(raw, offsets[a : b + 1], width))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -181,13 +182,14 @@ def _sub_tiles(percent: int):
     return run
 
 
-def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text", sets_of=None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that a document reaches by links) for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; two documents are linked when their shingle sets have a
     Jaccard similarity of at least ``percent`` / 100. Null, empty and blank texts have no shingles and no links. Rows with
     the same id are documents of their own; a null id takes no part, and its component is null. No link between
-    different sets is lost, however many sets are alike.
+    different sets is lost, however many sets are alike. With ``sets_of``, the sets are what it makes of (bytes, offsets,
+    width) instead of shingles, as sorted 64-bit hashes, and the sets' names come along as column ``node``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -197,7 +199,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     def names(ids, sets):
         return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())]
 
-    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node"]), f"doc_id {id_type}, n_shingles bigint, node bigint"), "nodes")
+    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node"], sets_of), f"doc_id {id_type}, n_shingles bigint, node bigint"), "nodes")
 
     def parts(ids, sets):
         found = [(node_of(s), parts_of(s, percent)) for s in sets if len(s)]
@@ -206,7 +208,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         return [pa.array(group), pa.array(node)]
 
     # groups of equal parts: every copy of a set falls in with it
-    shuffled = kept.where("doc_id is not null").select("doc_id", "text").mapInArrow(_per_document(width, parts, ["grp", "node"]), "grp bigint, node bigint").repartition("grp")
+    shuffled = kept.where("doc_id is not null").select("doc_id", "text").mapInArrow(_per_document(width, parts, ["grp", "node"], sets_of), "grp bigint, node bigint").repartition("grp")
     sized = shuffled.dropDuplicates(["grp", "node"]).withColumn("many", F.count("*").over(Window.partitionBy("grp"))).where("many > 1")
     members = scratch.save(sized, "members")
     central = members.groupBy("node").agg(F.sum("many").alias("weight"))
@@ -224,7 +226,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         ids, sets = zip(*[(i, s) for i, s in zip(ids.to_pylist(), sets) if len(s)]) if any(len(s) for s in sets) else ((), ())
         return [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
 
-    sets = some.join(wanted.select("doc_id").hint("merge"), "doc_id").mapInArrow(_per_document(width, arrays, ["node", "n", "bits", "set"]), "node bigint, n bigint, bits array<bigint>, set array<bigint>")
+    sets = some.join(wanted.select("doc_id").hint("merge"), "doc_id").mapInArrow(_per_document(width, arrays, ["node", "n", "bits", "set"], sets_of), "node bigint, n bigint, bits array<bigint>, set array<bigint>")
     sets = scratch.save(sets.join(central.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def exact(pairs: DataFrame, name: str, bounded: bool) -> DataFrame:
@@ -255,7 +257,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     grouped = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = grouped.where("doc_id is not null and component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     out = grouped.join(lowest, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"), *(["node"] if sets_of else []))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -45,7 +45,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return spotsigs.compare_with_next(docs, classes=spotsigs.near_copies(docs))
 
 
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Document fingerprints by SpotSigs: chains of content words that follow common-word anchors.
 
 A fingerprint is the set of its chains' 32-bit hashes, written as base64 of the sorted numbers. Sets are compared by
-Jaccard similarity; sets whose lengths alone keep them under the threshold are in partitions that never meet.
+Jaccard similarity. Over the whole corpus, fingerprints meet in tiles of like set length, where they agree in one of enough
+parts of the hash space; sizes and bitmaps bound the overlap before the sets are intersected (``jaccard``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import jaccard
+from colloquy.llm._scratch import Scratch
 from colloquy.llm._text import mix
 
 #: Common words of English, French, German and Spanish.
@@ -123,19 +126,39 @@ def fingerprints(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_c
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fingerprint string, n_chains bigint")
 
 
+def hashes(fingerprint: np.ndarray) -> np.ndarray:
+    """A fingerprint's numbers as sorted 64-bit hashes, equal for equal numbers only."""
+    return np.sort(mix(fingerprint.astype(np.uint64) + np.uint64(1)))
+
+
+def _sets_of(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    return [hashes(decode(raw[a:b].tobytes())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def near_copies(docs: DataFrame, percent: int = 80, chain: int = 2, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_chains, class_id and node for every row: the class is the smallest id that a document reaches by links.
+
+    Two documents of the corpus are linked, wherever they stand, when the Jaccard similarity of their fingerprints is at
+    least ``percent`` / 100. A text without chains is a class of its own; a null id has none. ``node`` names the set.
+    """
+    prints = Scratch(docs.sparkSession, "spotsigs").save(fingerprints(docs, chain, id_col, text_col).select("doc_id", "fingerprint"), "prints")
+    out = jaccard.linked_components(prints, 0, percent, tile_rows, text_col="fingerprint", sets_of=_sets_of)
+    return out.select("doc_id", F.col("n_shingles").alias("n_chains"), F.col("component_id").alias("class_id"), "node")
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by the beginning of the following one."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
     """Fingerprints every text, its edited text and the next document's, by descending id (after the last: the first).
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as
     empty; a null id stands last; rows with the same id follow each other by descending text. A single document is its own
     next. The rows are dealt by ranges of ids, so the next document is in the same range, or it is the head of another one,
-    of which there is one for each range.
+    of which there is one for each range. With ``classes`` (of ``near_copies``), also class_id.
     """
     spark = docs.sparkSession
     bottom = -(1 << 63)
@@ -154,32 +177,49 @@ def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", t
     # one row for each range
     heads = sorted((r["range"], r["key"]) for r in dealt.groupBy("range").agg(F.max("key").alias("key")).collect())
     out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if classes is not None:
+        out += f", class_id {docs.schema[id_col].dataType.simpleString()}"
     if not heads:
         return spark.createDataFrame([], out)
     following = [(b, heads[i - 1][1]) for i, (b, _) in enumerate(heads)]
     targets = F.broadcast(spark.createDataFrame(following, "range int, key long"))
     head_rows = kept.where(F.col("key").isin([k for _, k in heads])).groupBy("key").agg(F.max("text").alias("text"))
     ends = head_rows.join(targets, "key").select(F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), "text", "key", "range", F.lit(1).alias("end"))
-    rows = dealt.withColumn("end", F.lit(0)).unionByName(ends).repartition(ranges, "range").sortWithinPartitions("range", "end", F.desc("key"), F.desc("text"))
+    rows = dealt.withColumn("end", F.lit(0)).unionByName(ends).withColumns({"node": F.lit(None).cast("long"), "class_id": F.lit(None).cast(docs.schema[id_col].dataType)})
+    if classes is not None:
+        # the class of each id and set, where it is another document's, goes before the rows with that id
+        told = classes.where("class_id != doc_id").select("doc_id", F.col("doc_id").cast("long").alias("key"), "node", "class_id").distinct()
+        rows = rows.unionByName(told.withColumn("range", range_of("key")).withColumn("end", F.lit(0)).withColumn("text", F.lit(None).cast("string")))
+    rows = rows.repartition(ranges, "range").sortWithinPartitions("range", "end", F.desc("key"), F.desc_nulls_last("node"), F.desc("text"))
 
     def run(batches):
         s = spots(chain)
         names = [f.split(" ")[0] for f in out.split(", ")]
-        before = None
+        before, told_of, told = None, None, {}
         for batch in batches:
             made: list[list] = [[] for _ in names]
-            for doc_id, text, last, block in zip(*(batch.column(c) for c in ("doc_id", "text", "end", "range"))):
+            for doc_id, text, last, block, node, other_class in zip(*(batch.column(c) for c in ("doc_id", "text", "end", "range", "node", "class_id"))):
+                if node.is_valid:
+                    if told_of != doc_id.as_py():
+                        told_of, told = doc_id.as_py(), {}
+                    told[node.as_py()] = other_class.as_py()
+                    continue
                 now = text.as_py()
                 numbers = s.numbers(now)
                 if before is not None and before[3] == block.as_py():
-                    old_id, old, old_numbers, _ = before
+                    old_id, old, old_numbers, _, old_class = before
                     other = edited(old, now)
                     other_numbers = s.numbers(other)
-                    row = (old_id, len(old), hashlib.sha256(other.encode()).hexdigest(), encode(old_numbers), encode(other_numbers), likeness(old_numbers, other_numbers), likeness(old_numbers, numbers))
+                    row = (old_id, len(old), hashlib.sha256(other.encode()).hexdigest(), encode(old_numbers), encode(other_numbers), likeness(old_numbers, other_numbers), likeness(old_numbers, numbers), old_class)
                     for column, value in zip(made, row):
                         column.append(value)
-                before = None if last.as_py() else (doc_id.as_py(), now, numbers, block.as_py())
-            types = [batch.column("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                own = doc_id.as_py()
+                if told and told_of == own and len(numbers):
+                    own_class = told.get(jaccard.node_of(hashes(numbers)), own)
+                else:
+                    own_class = own
+                before = None if last.as_py() else (own, now, numbers, block.as_py(), own_class)
+            types = [batch.column("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), batch.column("doc_id").type][: len(names)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types)], names)
 
     return rows.mapInArrow(run, out)

@@ -227,6 +227,26 @@ def test_fingerprints(spark, small):
     assert spotsigs.compare_with_next(empty(spark)).count() == 0
 
 
+def test_near_copies_anywhere(spark, small):
+    """Classes against all pairs, for copies that are no neighbours by id; and the same classes beside the comparison."""
+    texts = documents(spark, small, 50)
+    texts += [f"{texts[i]} the more words" for i in (2, 9, 20)] + [texts[i] for i in (9, 30)] + [texts[2][: len(texts[2]) * 19 // 20]]
+    spots = spotsigs.Spots()
+    sets = [set(spots.numbers(t or "").tolist()) for t in texts]
+    parent = list(range(len(sets)))
+    for _ in sets:  # until nothing moves
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    assert sum(p != i for i, p in enumerate(parent)) >= 6
+    df = frame(spark, texts, extra=True)
+    classes = spotsigs.near_copies(df, tile_rows=4)
+    assert {r["doc_id"]: (r["n_chains"], r["class_id"]) for r in classes.collect()} == {i: (len(s), parent[i]) for i, s in enumerate(sets)}
+    plain = {tuple(r) for r in spotsigs.compare_with_next(df).collect()}
+    rows = spotsigs.compare_with_next(df, classes=classes).collect()
+    assert {tuple(r)[:-1] for r in rows} == plain and {r["doc_id"]: r["class_id"] for r in rows} == dict(enumerate(parent))
+
+
 def test_nearest(spark, small):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     same = rows[7][1]
