@@ -1,11 +1,12 @@
-"""Arrow functions that are made when they are first used, so that modules can be imported without a session."""
+"""Arrow functions that are made when they are first used, so that modules can be imported without a session; ordered scans."""
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,3 +21,27 @@ def arrow(returns: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return made
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], reads: list[str], step: Callable, name: str, kind: str) -> DataFrame:
+    """Adds a column that a scan of each key's rows makes: step(state or None, row) gives (state, value).
+
+    ``row`` holds the columns ``reads``. Rows are dealt by key and sorted; a task sees one batch of them at a time and keeps
+    one state, so no key is ever gathered.
+    """
+    names = rows.columns
+
+    def run(batches):
+        held, state = None, None
+        for batch in batches:
+            values = []
+            columns = [batch.column(c).to_pylist() for c in reads]
+            for key, *row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *columns):
+                if key != held:
+                    held, state = key, None
+                state, value = step(state, dict(zip(reads, row)))
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[kind])], [*names, name])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {name} {kind}"
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -1,27 +1,65 @@
-"""Hooks for outside models. Each is an Arrow function that gets whole batches; the stubs here are deterministic."""
+"""Hooks for outside models: a user's function over whole batches, made once for each task, tried again if it fails.
+
+The stubs that come with them are deterministic and stand where a model would.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from colloquy.functions.arrow import arrow
 
 #: A few common words of each language, for the stub.
 COMMON = {"de": {"der", "die", "und", "das", "ist", "nicht"}, "en": {"the", "and", "of", "to", "is", "that"}, "es": {"el", "los", "que", "las", "una", "por"}, "fr": {"le", "les", "des", "est", "une", "dans"}}
 
 
-@arrow("struct<text:string,confidence:double,is_partial:boolean>")
-def transcribe(text: pd.Series) -> pd.DataFrame:
-    """Stub of a speech model: hears the first twenty words."""
-    heard = text.fillna("").map(lambda t: " ".join(t.split()[:20]))
+def model_hook(make: Callable[[], Callable], returns: str, attempts: int = 2) -> Callable[..., Column]:
+    """A column function of a model.
+
+    ``make`` loads the model, once for each task; what it gives maps a batch (a pandas Series) to a Series, or to a
+    DataFrame for a struct. A batch that fails is tried again, ``attempts`` times in all; after that the query fails.
+    """
+
+    def tried(model, batch):
+        for left in range(attempts - 1, -1, -1):
+            try:
+                return model(batch)
+            except Exception:
+                if not left:
+                    raise
+
+    if returns.startswith("struct"):
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            model = make()
+            for batch in batches:
+                yield tried(model, batch)
+
+    else:
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = make()
+            for batch in batches:
+                yield tried(model, batch)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame if returns.startswith("struct") else pd.Series]}
+    return lambda column: F.pandas_udf(run, returns)(column)
+
+
+def hear(text: pd.Series) -> pd.DataFrame:
+    """Stub of a speech model: the words as they are; the longer, the surer."""
+    heard = text.fillna("").map(lambda t: " ".join(t.split()))
     size = heard.map(lambda t: len(t.encode()))
     return pd.DataFrame({"text": heard, "confidence": np.minimum(size / 100, 0.9) + 0.1, "is_partial": size < 50})
 
 
-@arrow("struct<lang:string,reliable:boolean>")
-def detect_language(text: pd.Series) -> pd.DataFrame:
+def vote(text: pd.Series) -> pd.DataFrame:
     """Stub of a language detector: a vote of common words; a tie or no vote has no language."""
 
     def one(t):
@@ -32,20 +70,15 @@ def detect_language(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(text.map(one).tolist(), columns=["lang", "reliable"])
 
 
-@arrow("struct<content:string,truncated:boolean>")
-def summarise(text: pd.Series) -> pd.DataFrame:
-    """Stub of a language model: the first sentence, two attempts at most."""
+def first_sentence(text: pd.Series) -> pd.DataFrame:
+    """Stub of a language model: the first sentence."""
+    short = text.fillna("").map(lambda t: re.split(r"(?<=[.?!])\s", t.strip())[0])
+    return pd.DataFrame({"content": short, "truncated": text.fillna("").str.len() > short.str.len()})
 
-    def one(t):
-        for attempt in range(2):
-            try:
-                return re.split(r"(?<=[.?!])\s", (t or "").strip())[0][:200]
-            except re.error:
-                if attempt:
-                    raise
 
-    short = text.map(one)
-    return pd.DataFrame({"content": short, "truncated": text.fillna("").str.len() > short.str.len()})
+transcribe = model_hook(lambda: hear, "struct<text:string,confidence:double,is_partial:boolean>")
+detect_language = model_hook(lambda: vote, "struct<lang:string,reliable:boolean>")
+summarise = model_hook(lambda: first_sentence, "struct<content:string,truncated:boolean>")
 
 
 @arrow("double")

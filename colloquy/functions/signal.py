@@ -105,7 +105,7 @@ def resample(v: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
         at = np.arange(n)[:, None] * s / t
         k = np.arange(len(x))[None] - at
         w = np.where(np.abs(k) <= 16 / cut, 0.5 + 0.5 * np.cos(np.pi * k * cut / 16), 0)
-        return np.round((np.sinc(k * cut) * cut * w) @ x, 6)
+        return (np.sinc(k * cut) * cut * w) @ x
 
     return pd.Series([one(*r) for r in zip(v, source, target)])
 

@@ -151,7 +151,8 @@ def words(text: Column) -> Column:
 
 def collapse_repeats(tokens: Column) -> Column:
     """Runs of the same word become one."""
-    return F.filter(tokens, lambda x, i: (i == 0) | (x != F.get(tokens, F.greatest(i - 1, F.lit(0)))))
+    before = F.concat(F.array(F.lit(None).cast("string")), tokens)
+    return F.filter(F.zip_with(tokens, before, lambda x, y: F.when(~x.eqNullSafe(y), x)), lambda x: x.isNotNull())
 
 
 def repetition_ratio(text: Column) -> Column:
@@ -171,6 +172,37 @@ def is_meaningless(text: Column) -> Column:
     return phrase | ((F.size(F.array_distinct(F.split(text, ""))) <= 3) & (F.octet_length(text) > 10))
 
 
+def all_words(text: Column) -> Column:
+    """Words between white space of any script."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+#: A phrase of two to five words that is said twice in a row; the shorter one counts where both would.
+SAID_TWICE = r"(?<!\S)(?:" + "|".join(rf"((?:\S++ ){{{n - 1}}}\S++) \{n - 1}(?!\S)" for n in range(2, 6)) + ")"
+#: A word said several times in a row, or a pair of words; the last pair of a text counts as a repeat only right behind the first.
+SAID_AGAIN = r"(?<!\S)(?:(\S++)(?: \1(?!\S))++|(\S++ \S++) \2(?!\S)(?: \2(?= ))*+)"
+
+
+def clean_repetitive(text: Column) -> Column:
+    """A transcript without stock phrases, repeated words and phrases; empty if it is mostly repetition. Texts of one or two
+    words stay."""
+    once = F.regexp_replace(F.array_join(collapse_repeats(all_words(text)), " "), SAID_TWICE, "$1$2$3$4")
+    low = F.split(F.lower(once), " ")
+    mostly = (F.size(low) >= 4) & ((F.size(low) - F.size(F.array_distinct(low))) / F.size(low) > 0.7)
+    return F.when((text == "") | is_meaningless(text) | (mostly & (F.size(all_words(text)) >= 3)), "").when(F.size(all_words(text)) < 3, text).otherwise(once)
+
+
+def drop_pair_repeats(text: Column) -> Column:
+    """The background cleaner's rule: repeated words become one, and so do repeated pairs. Texts under four words stay."""
+    return F.when(F.size(all_words(text)) < 4, text).otherwise(F.regexp_replace(F.array_join(all_words(text), " "), SAID_AGAIN, "$1$2"))
+
+
+def post_process(text: Column, partial: Column) -> Column:
+    """Repeats, fillers, punctuation and, unless partial, contractions; texts under three bytes stay as they are."""
+    done = tidy(drop_fillers(drop_pair_repeats(text)))
+    return F.when(F.octet_length(F.trim(text)) < 3, text).when(partial, done).otherwise(contractions(done))
+
+
 def drop_fillers(text: Column) -> Column:
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "")
     return F.array_join(F.filter(words(text), lambda w: ~bare(w).isin([f for f in FILLERS if len(f) <= 3])), " ")
@@ -178,7 +210,7 @@ def drop_fillers(text: Column) -> Column:
 
 def drop_fillers_ui(text: Column, fillers: list[str]) -> Column:
     """As the transcript view shows it: filler words with the commas and blanks behind them become one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(fillers)})\b[,\s]*", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"(?i)(?<![0-9A-Za-z_])(?:{'|'.join(fillers)})(?![0-9A-Za-z_])[,\s]*", " "), r"\s+", " "))
 
 
 def tidy(text: Column) -> Column:

@@ -66,12 +66,16 @@ def file_to_transcript(seconds: Column, chunk_samples: int = 1_440_000, sample_r
     return (k * chunk_samples + inside) / sample_rate
 
 
-def overlap_matrix(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Milliseconds for which each new speaker and each previous key overlap: meeting_id, speaker, speaker_key, overlap_ms."""
-    n = new.select("meeting_id", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    o = old.select("meeting_id", "speaker_key", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te"))
-    both = n.join(o, "meeting_id").where("s < te and ts < e")
-    return both.groupBy("meeting_id", "speaker", "speaker_key").agg(F.sum(F.least("e", "te") - F.greatest("s", "ts")).alias("overlap_ms"))
+def overlap_matrix(new: DataFrame, old: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """Milliseconds for which each new speaker and each previous key overlap: meeting_id, speaker, speaker_key, overlap_ms.
+
+    Turns meet in the buckets that they touch, and each bucket counts the part within it.
+    """
+    n = time_buckets(new.select("meeting_id", "speaker", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")), F.col("s"), F.col("e"), bucket_ms)
+    o = time_buckets(old.select("meeting_id", "speaker_key", F.col("start_ms").alias("ts"), F.col("end_ms").alias("te")), F.col("ts"), F.col("te"), bucket_ms)
+    part = F.least("e", "te", (F.col("bucket") + 1) * bucket_ms) - F.greatest("s", "ts", F.col("bucket") * bucket_ms)
+    both = n.join(o, ["meeting_id", "bucket"]).withColumn("part", part).where("part > 0")
+    return both.groupBy("meeting_id", "speaker", "speaker_key").agg(F.sum("part").alias("overlap_ms"))
 
 
 def stable_labels(matrix: DataFrame, speakers: DataFrame, previous: DataFrame) -> DataFrame:

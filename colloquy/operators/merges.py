@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,28 @@ def update_process(rows: DataFrame, now: int) -> DataFrame:
     return rows.withColumn("error", error).withColumn("end_time", F.when(F.col("status").isin("COMPLETED", "FAILED"), F.lit(now).cast("long")))
 
 
+def set_by_name(rows: DataFrame, name: str, columns: dict[str, str], value: Column) -> DataFrame:
+    """Sets the one column that each row's ``name`` stands for; a null value clears it. A name without a column stops the
+    query."""
+    unknown = F.raise_error(F.concat(F.lit("no column for "), F.coalesce(F.col(name), F.lit("null"))))
+    return rows.withColumns({c: F.when(F.col(name) == k, value).when(F.col(name).isin(list(columns)), F.col(c)).otherwise(unknown) for k, c in columns.items()})
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Numbers all rows from 0 by ``order``, whose first column is a whole number, without one task for all: rows are
+    counted by its value, the counts are summed up, and each value's rows are numbered for themselves."""
+    first = order[0]
+    sizes = rows.groupBy(first).agg(F.count("*").alias("__n"))
+    # values fall in blocks, so the running sum of a block starts from a sum over few rows
+    block = F.floor(F.col(first) / 4096)
+    blocks = sizes.groupBy(block.alias("__block")).agg(F.sum("__n").alias("__sum"))
+    starts = blocks.select("__block", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = F.coalesce(F.sum("__n").over(Window.partitionBy("__block").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.withColumn("__block", block).join(starts, "__block").select(first, (F.col("__start") + within).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) - 1
+    return rows.withColumn("__own", own).join(before, first).select(*rows.columns, (F.col("__before") + F.col("__own")).alias(name))
+
+
 def guarded_insert(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """New rows that share none of the columns' values with an old row: one anti join for each, so each can be hashed."""
     return reduce(lambda df, c: df.join(old.select(c).distinct(), c, "left_anti"), columns, new).select(new.columns)

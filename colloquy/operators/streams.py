@@ -8,20 +8,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import in_order
+
 
 def rate_limited(rows: DataFrame, key: str, time: str, tie: str, interval: int) -> DataFrame:
     """Rows that a limiter lets through: each is at least ``interval`` after the last one that it let through.
 
-    A fold over the key's times, which are numbers; the rows themselves are not gathered.
+    A scan of the key's rows in order of time, which keeps the last time only.
     """
-    times = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("i")))).alias("s"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
 
-    def step(acc, x):
-        goes = acc["last"].isNull() | (x["t"] - acc["last"] >= interval)
-        return F.struct(F.when(goes, x["t"]).otherwise(acc["last"]).alias("last"), F.when(goes, F.concat(acc["ids"], F.array(x["i"]))).otherwise(acc["ids"]).alias("ids"))
+    def step(last, row):
+        goes = last is None or row[time] - last >= interval
+        return (row[time] if goes else last), goes
 
-    return times.select(key, F.explode(F.aggregate("s", zero, step)["ids"]).alias(tie))
+    return in_order(rows.select(key, time, tie), [key], [time, tie], [time], step, "goes", "boolean").where("goes").select(key, tie)
 
 
 def health_states(rows: DataFrame, key: str, time: str, kind: str, stall: int = 30_000_000_000) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,10 +94,40 @@ def fold_small(rows: DataFrame, group: str, item: str, vector: str, label: str,
 
 
 def best_mapping(sims: np.ndarray) -> list[int]:
-    """For each row another column, so that the sum is largest; columns may be shared if there are too few."""
+    """For each row another column, so that the sum is largest; each row its best one if there are too few columns.
+
+    Rows are placed one after the other along a cheapest augmenting path over potentials, in rows**2 * columns steps.
+    """
     n, k = sims.shape
-    options = itertools.permutations(range(k), n) if k >= n else itertools.product(range(k), repeat=n)
-    return list(max(options, key=lambda p: sum(sims[i, g] for i, g in enumerate(p))))
+    if k < n:
+        return [int(c) for c in sims.argmax(1)]
+    cost = sims.max(initial=0.0) - sims
+    of_row, of_column = np.zeros(n), np.zeros(k)
+    owner = np.full(k, -1)
+    for row in range(n):
+        reach, came, done = np.full(k, np.inf), np.full(k, -1), np.zeros(k, bool)
+        at, last = row, -1
+        while True:
+            slack = cost[at] - of_row[at] - of_column + (0.0 if last < 0 else reach[last])
+            closer = ~done & (slack < reach - 1e-15)
+            reach[closer], came[closer] = slack[closer], last
+            nearest = int(np.where(done, np.inf, reach).argmin())
+            done[nearest] = True
+            last = nearest
+            if owner[nearest] < 0:
+                break
+            at = owner[nearest]
+        length = reach[last]
+        inner = done & (reach < length)
+        of_row[row] += length
+        of_row[owner[inner]] += length - reach[inner]
+        of_column[inner] -= length - reach[inner]
+        while last >= 0:
+            before = int(came[last])
+            owner[last] = row if before < 0 else owner[before]
+            last = before
+    place = {int(r): c for c, r in enumerate(owner) if r >= 0}
+    return [place[r] for r in range(n)]
 
 
 def assign_windows(rows: DataFrame, window: str, local: str, vector: str, centroids: list[list[float]]) -> DataFrame:

@@ -93,7 +93,7 @@ def m21(spark, d):
     return load(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "view", F.least(F.lit(40), f)).otherwise(40 + F.least(F.lit(60), f)).cast("long").alias("pct"))
 
 
-@query("m22_embedding_codec")
+@query("m22_embedding_codec", "select vec_id, len(embedding)::bigint * 4 n_bytes, true same, vec_id % 10 = 0 rejected from embeddings")
 def m22(spark, d):
     """Written as little-endian bytes and read back; a blob of another length is null."""
     v = load(spark, d, "embeddings").select("vec_id", "embedding", S.to_blob("embedding").alias("blob"))
@@ -113,9 +113,19 @@ def m11(spark, d):
     return v.select("vec_id", S.high_pass("e").alias("high_passed"), S.normalise("e").alias("normalised"), S.spectral_subtraction("e").alias("denoised"), F.size(S.filterbank(F.flatten(F.array_repeat("e", 20)))).cast("long").alias("bank_frames"))
 
 
-@query("m15_resample")
+def _sinc(points: int, at: str, cut: float) -> str:
+    """DuckDB list of ``points`` values, each a windowed sinc around the place ``at`` (of output i) over the samples j."""
+    k = f"(j - {at})"
+    bell = f"case when abs({k}) <= 16 / {cut} then 0.5 + 0.5 * cos(pi() * {k} * {cut} / 16) else 0 end"
+    wave = f"case when {k} = 0 then 1.0 else sin(pi() * {k} * {cut}) / (pi() * {k} * {cut}) end"
+    return f"list_transform(range(0, {points}), lambda i: round(list_sum(list_transform(range(0, 64), lambda j: {wave} * {cut} * {bell} * e[j + 1])), 5) + 0.0)"
+
+
+@query("m15_resample", f"select vec_id, {_sinc(32, 'i * 2.0::double', 0.5)} half, {_sinc(128, 'i * 0.5::double', 1.0)} double from (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings)")
 def m15(spark, d):
-    return vectors(spark, d).select("vec_id", S.resample("e", F.lit(2), F.lit(1)).alias("half"), S.resample("e", F.lit(1), F.lit(2)).alias("double"))
+    """Windowed-sinc resampling of each vector to half and to twice the rate."""
+    tidy = lambda x: F.round(x, 5) + 0.0
+    return vectors(spark, d).select("vec_id", F.transform(S.resample("e", F.lit(2), F.lit(1)), tidy).alias("half"), F.transform(S.resample("e", F.lit(1), F.lit(2)), tidy).alias("double"))
 
 
 @query("m18_split_at_silence")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import vectors as V
 from colloquy.plans.registry import query
-from colloquy.sources.tables import load
+from colloquy.sources.tables import RAW, SEG, TURNS, load
 
 
 def vecs(spark, d):
@@ -31,10 +31,10 @@ def e2(spark, d):
     return vecs(spark, d).select("vec_id", F.transform(V.unit(F.transform("e", lambda x: x * 3)), lambda x: F.round(x, 6)).alias("unit"))
 
 
-@query("a12_e5_weighted_profile", f"with {VEC}, pl as (select vec_id, label, (vec_id % 50 + 10)::double w, unnest(e) x, generate_subscripts(e, 1) i from v where vec_id % 3 <> 0), pm as (select label, i, sum(x * w) / sum(w) m from pl group by 1, 2), c0 as (select label, list(m order by i) c from pm group by 1) select label::bigint label, list_transform(c, lambda x: round(x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-12), 5)) profile from c0")
+@query("a12_e5_weighted_profile", f"with {VEC}, pl as (select vec_id, label, (vec_id % 50)::double w, unnest(e) x, generate_subscripts(e, 1) i from v where vec_id % 50 >= 10), pm as (select label, i, sum(x * w) / sum(w) m from pl group by 1, 2), c0 as (select label, list(m order by i) c from pm group by 1) select label::bigint label, list_transform(c, lambda x: round(x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-12), 5)) profile from c0")
 def a12(spark, d):
     """Profiles from sources with at least ten seconds, weighted by their seconds."""
-    rows = vecs(spark, d).where("vec_id % 3 <> 0").withColumn("secs", (F.col("vec_id") % 50 + 10).cast("double"))
+    rows = vecs(spark, d).withColumn("secs", (F.col("vec_id") % 50).cast("double"))
     return V.mean_vector(rows.where("secs >= 10"), "label", "e", F.col("secs")).select(F.col("label").cast("long").alias("label"), F.transform("centroid", lambda x: F.round(x, 5)).alias("profile"))
 
 
@@ -86,11 +86,16 @@ def e8(spark, d):
     return V.cluster(train, "recording", "vec_id", "e", 0.8)
 
 
-@query("e9_fold_small")
+@query("e9_fold_small", f"""with {VEC}, r as (select vec_id, e, label, vec_id // 40 recording, vec_id % 90 frames, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12)) u from v),
+s as (select recording, label, count(*) n, sum(frames) m, sum(sum(frames)) over (partition by recording) al from r group by 1, 2),
+k as (select recording, label, n < 4 or m < 0.02 * al small from s),
+pl as (select recording, label, unnest(u) x, generate_subscripts(u, 1) i from r), pm as (select recording, label, i, avg(x) m from pl group by 1, 2, 3), c as (select recording, label, list(m order by i) c from pm group by 1, 2),
+mv as (select r.recording, r.vec_id, arg_max(c.label, (list_cosine_similarity(r.e, c.c), c.label)) t from r join k on k.recording = r.recording and k.label = r.label and k.small join c on c.recording = r.recording join k b on b.recording = c.recording and b.label = c.label and not b.small group by 1, 2)
+select r.recording, r.vec_id, coalesce(mv.t, r.label)::bigint label from r left join mv on mv.vec_id = r.vec_id""")
 def e9(spark, d):
-    r = recordings(spark, d)
-    labels = r.join(V.cluster(r, "recording", "vec_id", "e", 0.8).select("vec_id", F.col("label").alias("cluster")), "vec_id")
-    return V.fold_small(labels, "recording", "vec_id", "e", "cluster", "frames", min_size=4)
+    """Small clusters folded into the most similar large one; the clusters are the table's labels in each recording."""
+    r = recordings(spark, d).withColumn("label", F.col("label").cast("long"))
+    return V.fold_small(r, "recording", "vec_id", "e", "label", "frames", min_size=4)
 
 
 @query("e10_train_set", "with q as (select vec_id, vec_id // 40 g, vec_id % 90 frames from embeddings), n as (select *, sum((frames >= 60)::int) over (partition by g) k from q) select vec_id from n where k < 2 or frames >= 60")
@@ -112,7 +117,11 @@ def e13(spark, d):
     return r.select("vec_id", (F.col("vec_id") == F.col("recording") * 40 + 3).alias("is_self"), F.nullif(F.trim(F.when(F.col("vec_id") % 2 == 0, "  ").otherwise(F.concat(F.lit("n"), "vec_id"))), F.lit("")).alias("display_name"))
 
 
-@query("e14_j13_window_speakers")
+@query("e14_j13_window_speakers", f"""with {CENT}, g as (select c, row_number() over (order by label) - 1 k from cent), s as (select vec_id // 3 w, vec_id % 3 l, k, list_cosine_similarity(v.e, g.c) sim from v, g),
+n as (select vec_id // 3 w, count(*) n from v group by 1), blank as (select w, l, -1 - l k, 0.0 sim from n, (values (0), (1), (2)) t(l) where l >= n.n),
+x as (select * from s union all select * from blank),
+t as (select a.w, a.k a, b.k b, c.k c, row_number() over (partition by a.w order by a.sim + b.sim + c.sim desc) r from x a join x b on b.w = a.w and b.k <> a.k join x c on c.w = a.w and c.k <> a.k and c.k <> b.k where a.l = 0 and b.l = 1 and c.l = 2)
+select w "window", l "local", case l when 0 then a when 1 then b else c end::bigint speaker from t join (select vec_id // 3 w2, vec_id % 3 l from v) o on o.w2 = t.w where r = 1""")
 def j13(spark, d):
     """Local speakers of each window mapped to the corpus's centroids, one for each label; all of them go to every executor."""
     v = vecs(spark, d)
@@ -121,9 +130,13 @@ def j13(spark, d):
     return V.assign_windows(w, "window", "local", "e", cents)
 
 
-@query("j14_der_mapping")
+@query("j14_der_mapping", f"""with {SEG}, {RAW}, {TURNS}, n as (select meeting_id, case speaker_key when 'S1' then 1 when 'S2' then 0 else 2 end speaker, start_ms + 700 s, end_ms + 700 e from turns),
+m as (select n.meeting_id, n.speaker, t.speaker_key k, sum(least(n.e, t.end_ms) - greatest(n.s, t.start_ms)) o from n join turns t on t.meeting_id = n.meeting_id and n.s < t.end_ms and t.start_ms < n.e group by 1, 2, 3),
+x as (select * from m union all select meeting_id, s, null, 0 from (select distinct meeting_id from m), range(0, 3) t(s)),
+t as (select a.meeting_id, a.k a, b.k b, c.k c, row_number() over (partition by a.meeting_id order by a.o + b.o + c.o desc) r from x a join x b on b.meeting_id = a.meeting_id and coalesce(b.k <> a.k, true) join x c on c.meeting_id = a.meeting_id and coalesce(c.k <> a.k, true) and coalesce(c.k <> b.k, true) where a.speaker = 0 and b.speaker = 1 and c.speaker = 2)
+select * from (select meeting_id, unnest([0, 1, 2])::int speaker, unnest([a, b, c]) speaker_key from t where r = 1) where speaker_key is not null""")
 def j14(spark, d):
-    """Hypothesis speakers mapped to reference speakers so that most time is shared; brute force over few speakers."""
+    """Hypothesis speakers mapped to reference speakers so that most time is shared."""
     from colloquy.operators import intervals as I
     from colloquy.plans.intervals import new_turns, turns
 
@@ -135,7 +148,7 @@ def j14(spark, d):
         grid = pdf.pivot_table(index="speaker", columns="speaker_key", values="overlap_ms", fill_value=0)
         wide = np.hstack([grid.to_numpy(float), np.zeros((len(grid), len(grid)))])
         best = V.best_mapping(wide)
-        pairs = [(int(s), grid.columns[g]) for s, g in zip(grid.index, best) if g < grid.shape[1]]
+        pairs = [(int(s), grid.columns[g]) for i, (s, g) in enumerate(zip(grid.index, best)) if g < grid.shape[1] and wide[i, g] > 0]
         return pd.DataFrame([(pdf.meeting_id.iloc[0], *p) for p in pairs], columns=["meeting_id", "speaker", "speaker_key"])
 
     return m.groupBy("meeting_id").applyInPandas(run, "meeting_id string, speaker int, speaker_key string")

@@ -99,13 +99,13 @@ def w8(spark, d):
     return events(spark, d).select("event_id", low.alias("low"))
 
 
-@query("w12_rate_limit")
+@query("w12_rate_limit", f"with recursive e as (select user_id, {MS} us, event_id from events where event_type = 'error'), r as (select user_id, min(us) us, arg_min(event_id, (us, event_id)) event_id from e group by 1 union all select r.user_id, min(e.us), arg_min(e.event_id, (e.us, e.event_id)) from r join e on e.user_id = r.user_id and e.us >= r.us + 10000000000 group by 1) select user_id, event_id from r")
 def w12(spark, d):
     """At most one error event of each user in 10 000 s: the exact fold over the ordered events."""
     return ST.rate_limited(events(spark, d).where("event_type = 'error'"), "user_id", "us", "event_id", 10_000_000_000)
 
 
-@query("w14_st17_health")
+@query("w14_st17_health", f"with g as (select user_id, {MS} us, event_type = 'error' e, sum((event_type <> 'error')::int) over (partition by user_id order by {MS} rows between unbounded preceding and current row) g, lead({MS}) over (partition by user_id order by {MS}) - {MS} gap from events), s as (select *, sum(e::int) over (partition by user_id, g order by us rows between unbounded preceding and current row) k from g) select user_id, case when k >= 3 or gap > 30000000000 then 'Dead' when k >= 1 then 'Degraded' else 'Running' end state, count(*) n from s group by 1, 2")
 def w14(spark, d):
     """Stream states of each user over its events."""
     return ST.health_states(events(spark, d), "user_id", "us", "event_type")

@@ -39,11 +39,11 @@ def a3(spark, d):
 
 J5 = f"""{ALL}, {RANK},
 p as (select s.meeting_id, s.id, s.start_ms s, s.end_ms e, t.speaker_key k, rk.idx, sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) total
-      from seg s join turns t on t.meeting_id = s.meeting_id and t.start_ms < s.end_ms and t.end_ms > s.start_ms join rk on rk.meeting_id = t.meeting_id and rk.speaker_key = t.speaker_key where s.end_ms > s.start_ms and s.seq % 4 <> 3 or false group by all),
+      from seg s join turns t on t.meeting_id = s.meeting_id and t.start_ms < s.end_ms and t.end_ms > s.start_ms join rk on rk.meeting_id = t.meeting_id and rk.speaker_key = t.speaker_key where s.end_ms > s.start_ms group by all),
 best as (select *, row_number() over (partition by meeting_id, id order by total desc, idx) r from p),
 near as (select s.meeting_id, s.id, t.speaker_key k, row_number() over (partition by s.meeting_id, s.id order by greatest(0, t.start_ms - s.end_ms, s.start_ms - t.end_ms), t.start_ms, t.end_ms, rk.idx) r
       from seg s join turns t on t.meeting_id = s.meeting_id join rk on rk.meeting_id = t.meeting_id and rk.speaker_key = t.speaker_key
-      where s.end_ms > s.start_ms and greatest(0, t.start_ms - s.end_ms, s.start_ms - t.end_ms) <= 1000 and not exists (select 1 from p where p.meeting_id = s.meeting_id and p.id = s.id) and s.seq % 4 <> 3)
+      where s.end_ms > s.start_ms and greatest(0, t.start_ms - s.end_ms, s.start_ms - t.end_ms) <= 1000 and not exists (select 1 from p where p.meeting_id = s.meeting_id and p.id = s.id))
 select meeting_id, id, k speaker_key, round(least(1.0, total / (e - s)), 6)::double overlap from best where r = 1
 union all select meeting_id, id, k, 0.0::double from near where r = 1"""
 
@@ -51,7 +51,7 @@ union all select meeting_id, id, k, 0.0::double from near where r = 1"""
 @query("j5_overlap_assign", J5)
 def j5(spark, d):
     """Who speaks in each segment: by overlap, else the nearest turn within a second."""
-    out = I.assign_speakers(transcripts(spark, d).where("seq % 4 <> 3"), turns(spark, d))
+    out = I.assign_speakers(transcripts(spark, d), turns(spark, d))
     return out.select("meeting_id", "id", "speaker_key", F.round("overlap", 6).alias("overlap"))
 
 
@@ -90,7 +90,17 @@ def j7(spark, d):
     return I.overlap_matrix(new_turns(spark, d), turns(spark, d)).withColumn("speaker", F.col("speaker").cast("long"))
 
 
-@query("j7_o11_stable_labels")
+@query("j7_o11_stable_labels", f"""with recursive {SEG}, {RAW}, {TURNS}, n as (select meeting_id, case speaker_key when 'S1' then 1 when 'S2' then 0 else 2 end speaker, start_ms + 700 s, end_ms + 700 e from turns),
+m as (select n.meeting_id, n.speaker, t.speaker_key k, sum(least(n.e, t.end_ms) - greatest(n.s, t.start_ms)) o from n join turns t on t.meeting_id = n.meeting_id and n.s < t.end_ms and t.start_ms < n.e group by 1, 2, 3),
+q as (select *, row_number() over (partition by meeting_id order by o desc, speaker, k) r from m),
+g as (select distinct meeting_id, 0::bigint r, []::integer[] sp, []::varchar[] ks from n
+      union all select g.meeting_id, q.r, case when list_contains(sp, q.speaker) or list_contains(ks, q.k) then sp else list_append(sp, q.speaker) end, case when list_contains(sp, q.speaker) or list_contains(ks, q.k) then ks else list_append(ks, q.k) end from g join q on q.meeting_id = g.meeting_id and q.r = g.r + 1),
+l as (select meeting_id, arg_max(sp, r) sp, arg_max(ks, r) ks from g group by 1),
+a as (select meeting_id, unnest(sp) speaker, unnest(ks) k from l),
+z as (select meeting_id, unnest(range(0, max(speaker) + 1)) speaker from n group by 1),
+free as (select meeting_id, 'S' || i k, row_number() over (partition by meeting_id order by i) p from (select distinct meeting_id from n) n, range(1, 20) t(i) where not exists (select 1 from turns t where t.meeting_id = n.meeting_id and t.speaker_key = 'S' || i)),
+rest as (select meeting_id, speaker, row_number() over (partition by meeting_id order by speaker) p from z where not exists (select 1 from a where a.meeting_id = z.meeting_id and a.speaker = z.speaker))
+select meeting_id, speaker::int speaker, k speaker_key from a union all select rest.meeting_id, speaker::int, k from rest join free on free.meeting_id = rest.meeting_id and free.p = rest.p""")
 def j7b(spark, d):
     """New speakers take over previous keys, one to one."""
     new, old = new_turns(spark, d), turns(spark, d)
@@ -100,7 +110,7 @@ def j7b(spark, d):
 @query("p11_mixed_speech", J5.replace("select meeting_id, id, k speaker_key, round(least(1.0, total / (e - s)), 6)::double overlap from best where r = 1\nunion all select meeting_id, id, k, 0.0::double from near where r = 1", "select s.id, coalesce(b.total / (b.e - b.s) < 0.6, false) mixed from seg s left join best b on b.id = s.id and b.meeting_id = s.meeting_id and b.r = 1 where not exists (select 1 from near where near.id = s.id and near.r = 1)\nunion all select id, true from near where r = 1"))
 def p11(spark, d):
     t = transcripts(spark, d)
-    o = I.assign_speakers(t.where("seq % 4 <> 3"), turns(spark, d)).select("meeting_id", "id", "overlap")
+    o = I.assign_speakers(t, turns(spark, d)).select("meeting_id", "id", "overlap")
     return t.join(o, ["meeting_id", "id"], "left").select("id", F.coalesce(F.col("overlap") < 0.6, F.lit(False)).alias("mixed"))
 
 

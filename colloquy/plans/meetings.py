@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import sql
 from colloquy.functions import text as X
 from colloquy.operators import merges
 from colloquy.plans.registry import query
+from colloquy.sources import files
 from colloquy.sources.tables import MEET, SEG, load, meetings, transcripts, words
 
 SECONDS = "start_ms / 1000.0 audio_start_time, end_ms / 1000.0 audio_end_time"
@@ -135,9 +139,9 @@ def search(spark, d):
     return found.select("meeting_id", "title", "id", X.match_context(F.col("transcript"), "Then").alias("match_context"))
 
 
-@query("p3_ascii_fold", "select doc_id, translate(left(text, 80), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') folded from documents")
+@query("p3_ascii_fold", "select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') folded from documents")
 def p3(spark, d):
-    return load(spark, d, "documents").select("doc_id", X.ascii_lower(F.substring("text", 1, 80)).alias("folded"))
+    return load(spark, d, "documents").select("doc_id", X.ascii_lower(F.col("text")).alias("folded"))
 
 
 @query("f2_legacy_snippet", "with x as (select doc_id, text t, instr(lower(text), 'tion') p from documents) select doc_id, substr(t, greatest(p - 1 - 100, 0) + 1, least(length(t), p - 1 + 4 + 100) - greatest(p - 1 - 100, 0)) snippet from x")
@@ -274,7 +278,8 @@ def o1(spark, d):
 @query("o2_numeric_suffix", "select s_suppkey, row_number() over (order by coalesce(try_cast(substr(k, 2) as int), 0), s_suppkey) pos from (select s_suppkey, case when s_suppkey % 9 = 0 then 'Sx' else 'S' || (s_suppkey % 50) end k from supplier)")
 def o2(spark, d):
     key = F.when(F.col("s_suppkey") % 9 == 0, "Sx").otherwise(F.concat(F.lit("S"), F.col("s_suppkey") % 50))
-    return load(spark, d, "supplier").withColumn("k", key).select("s_suppkey", F.row_number().over(Window.orderBy(X.key_number(F.col("k")), "s_suppkey")).cast("long").alias("pos"))
+    rows = load(spark, d, "supplier").select("s_suppkey", X.key_number(key).alias("number"))
+    return merges.ranked(rows, ["number", "s_suppkey"], "pos").select("s_suppkey", (F.col("pos") + 1).alias("pos"))
 
 
 @query("o3_sort_nulls_zero", f"with {SEG} select id, row_number() over (partition by meeting_id order by coalesce(case when seq % 3 <> 0 then start_ms end, 0), seq) pos from seg")
@@ -410,6 +415,37 @@ def k23(spark, d):
     return merges.guarded_insert(old, new, ["id", "title"])
 
 
+@query("k24_settings", """with old as (select c_custkey id, 'first' provider, c_name as model, c_mktsegment first_key, null::varchar second_key from customer where c_custkey % 3 <> 0),
+new as (select c_custkey id, case when c_custkey % 2 = 0 then 'first' else 'second' end provider, 'model-' || c_nationkey model from customer where c_custkey % 2 = 0 or c_custkey % 5 = 0),
+u as (select coalesce(n.id, o.id) id, coalesce(n.provider, o.provider) provider, coalesce(n.model, o.model) model, o.first_key, o.second_key from old o full join new n on n.id = o.id)
+select id, provider, model, case when provider = 'first' then case when id % 4 <> 0 then 'key-' || id end else first_key end first_key, case when provider = 'second' then case when id % 4 <> 0 then 'key-' || id end else second_key end second_key from u""")
+def k24(spark, d):
+    """Settings: provider and model upserted, keys kept; then the provider's key set, or cleared for every fourth row."""
+    c = load(spark, d, "customer")
+    old = c.where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("id"), F.lit("first").alias("provider"), F.col("c_name").alias("model"), F.col("c_mktsegment").alias("first_key"), F.lit(None).cast("string").alias("second_key"))
+    provider = F.when(F.col("c_custkey") % 2 == 0, "first").otherwise("second")
+    new = c.where("c_custkey % 2 = 0 or c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), provider.alias("provider"), F.concat(F.lit("model-"), "c_nationkey").alias("model"), F.lit(None).cast("string").alias("first_key"), F.lit(None).cast("string").alias("second_key"))
+    now = merges.upsert(old, new, ["id"], keep_old=["first_key", "second_key"])
+    return merges.set_by_name(now, "provider", {"first": "first_key", "second": "second_key"}, F.when(F.col("id") % 4 != 0, F.concat(F.lit("key-"), "id")))
+
+
+@query("k12_atomic_sink", "select n_nationkey::bigint id, n_name as name from nation")
+def k12(spark, d):
+    """Written beside the target, renamed, replaced once more in the same way, and read back."""
+    path = f"{files.shared_dir(spark)}/atomic-{uuid.uuid4().hex[:12]}"
+    n = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    files.write_whole(n.where("id < 3"), path)
+    files.write_whole(n, path)
+    return spark.read.parquet(path)
+
+
+@query("u8_sql_functions", "select doc_id, ceil((length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) * 7 + (strlen(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) * 8) / 20)::bigint tokens, length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::bigint n_letters, printf('[%02d:%02d]', n_chars // 60, n_chars % 60) shown from documents")
+def u8(spark, d):
+    """The functions called from SQL."""
+    sql.register(spark)
+    return spark.sql("select doc_id, token_estimate(text) tokens, letters(text) n_letters, clock(n_chars) shown from {docs}", docs=load(spark, d, "documents"))
+
+
 @query("a8_word_metrics", f"with {SEG} select meeting_id, sum(len(string_split_regex(transcript, '\\s+')))::bigint n_words, round(case when sum(end_ms - start_ms) = 0 then 0 else sum(len(string_split_regex(transcript, '\\s+'))) / (sum(end_ms - start_ms) / 60000.0) end, 6) wpm from seg group by 1")
 def a8(spark, d):
     n, ms = F.sum(F.size(F.split("transcript", r"\s+"))), F.sum(F.col("end_ms") - F.col("start_ms"))

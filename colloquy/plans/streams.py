@@ -28,11 +28,11 @@ def st2(spark, d):
     return g.select("user_id", "event_id", F.min("lag_us").over(Window.partitionBy("user_id").orderBy("us").rangeBetween(-75000000000, 0)).alias("low_lag"))
 
 
-@query("st3_late_rows", "with o as (select *, max(epoch_us(ts)) over (order by event_id rows between unbounded preceding and 1 preceding) head from (select event_id + case when event_id % 17 = 0 then 40 else 0 end event_id, event_id id, ts from events where user_id = 8)) select id event_id from o where head is null or epoch_us(ts) >= head - 3600000000")
+@query("st3_late_rows", "with o as (select *, max(epoch_us(ts)) over (partition by user_id order by event_id, id rows between unbounded preceding and 1 preceding) head from (select user_id, event_id + case when event_id % 17 = 0 then 40 else 0 end event_id, event_id id, ts from events)) select id event_id from o where head is null or epoch_us(ts) >= head - 3600000000")
 def st3(spark, d):
-    """Rows that arrive more than an hour behind the newest are dropped; one stream's arrival order."""
-    e = events(spark, d).where("user_id = 8").select("user_id", F.col("event_id").alias("id"), (F.col("event_id") + F.when(F.col("event_id") % 17 == 0, 40).otherwise(0)).alias("arrival"), F.unix_micros("at").alias("us"))
-    head = F.max("us").over(Window.partitionBy("user_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    """Rows that arrive more than an hour behind the newest are dropped, by each stream's arrival order."""
+    e = events(spark, d).select("user_id", F.col("event_id").alias("id"), (F.col("event_id") + F.when(F.col("event_id") % 17 == 0, 40).otherwise(0)).alias("arrival"), F.unix_micros("at").alias("us"))
+    head = F.max("us").over(Window.partitionBy("user_id").orderBy("arrival", "id").rowsBetween(Window.unboundedPreceding, -1))
     return e.withColumn("head", head).where("head is null or us >= head - 3600000000").select(F.col("id").alias("event_id"))
 
 
@@ -131,23 +131,28 @@ def k15(spark, d):
     return events(spark, d).withColumn("total", total).groupBy("user_id", F.floor((F.col("total") - 1) / 300000).alias("checkpoint")).agg(F.count("*").alias("n"))
 
 
-@query("k16_recovered", "select user_id, count(*) n, string_agg(event_id::varchar, ',' order by event_id) parts from events where user_id < 5 group by 1")
+@query("k16_recovered", "select user_id, count(*) n, string_agg(event_id::varchar, ',' order by event_id) parts from events group by 1")
 def k16(spark, d):
     """Checkpoints concatenated in name order."""
-    s = events(spark, d).where("user_id < 5").groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("s"))
+    s = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("s"))
     return s.select("user_id", "n", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("parts"))
 
 
-@query("u1_u4_model_hooks")
+@query("u1_u4_model_hooks", r"""with w as (select doc_id, text, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') heard, regexp_extract_all(lower(text), '\p{L}+') l from documents),
+v as (select doc_id, unnest([{'n': len(list_filter(l, lambda x: list_contains(['der','die','und','das','ist','nicht'], x))), 'g': 'de'}, {'n': len(list_filter(l, lambda x: list_contains(['the','and','of','to','is','that'], x))), 'g': 'en'}, {'n': len(list_filter(l, lambda x: list_contains(['el','los','que','las','una','por'], x))), 'g': 'es'}, {'n': len(list_filter(l, lambda x: list_contains(['le','les','des','est','une','dans'], x))), 'g': 'fr'}]) x from w),
+b as (select doc_id, max(x.n) top, case when count(*) filter (x.n = t) = 1 then max(x.g) filter (x.n = t) end lang from (select *, max(x.n) over (partition by doc_id) t from v) group by 1)
+select w.doc_id, heard, round(least(strlen(heard) / 100, 0.9) + 0.1, 6)::double confidence, strlen(heard) < 50 is_partial, lang, lang is not null and top >= 3 reliable,
+case when regexp_matches(trim(text), '[.?!]\s') then regexp_extract(trim(text), '^(.*?[.?!])\s', 1, 's') else trim(text) end summary from w join b on b.doc_id = w.doc_id""")
 def u1(spark, d):
     """Speech, language and summary models behind Arrow hooks, with deterministic stubs."""
     from colloquy.functions import models as M
 
     docs = load(spark, d, "documents")
-    return docs.select("doc_id", M.transcribe("text").alias("heard"), M.detect_language("text").alias("detected"), M.summarise("text").alias("summary"))
+    out = docs.select("doc_id", M.transcribe("text").alias("t"), M.detect_language("text").alias("l"), M.summarise("text").alias("s"))
+    return out.select("doc_id", F.col("t.text").alias("heard"), F.round("t.confidence", 6).alias("confidence"), "t.is_partial", "l.lang", "l.reliable", F.col("s.content").alias("summary"))
 
 
-@query("u2_batch_closure")
+@query("u2_batch_closure", "select event_type, max(value) - min(value) spread from events group by 1")
 def u2(spark, d):
     """A user's function over batches as a grouped aggregate."""
     from colloquy.functions import models as M

@@ -40,7 +40,10 @@ def f6(spark, d):
     return docs(spark, d).select("doc_id", F.when(model.startswith("phi4") | model.startswith("llama"), 10000).otherwise(30000).cast("long").alias("size"), F.lit(1000).cast("long").alias("overlap"))
 
 
-@query("f7_budget_groups")
+@query("f7_budget_groups", f"""with recursive {SEG}, n as (select meeting_id, seq, row_number() over (partition by meeting_id order by seq) i, ceil((length(regexp_replace(transcript, '[^\\x00-\\x7F]', '', 'g')) * 7 + (strlen(transcript) - length(regexp_replace(transcript, '[^\\x00-\\x7F]', '', 'g'))) * 8) / 20)::bigint tokens from seg),
+g as (select meeting_id, seq, i, tokens, tokens used, 0 grp from n where i = 1
+      union all select n.meeting_id, n.seq, n.i, n.tokens, case when g.used + 2 + n.tokens <= 300 then g.used + 2 + n.tokens else n.tokens end, case when g.used + 2 + n.tokens <= 300 then g.grp else g.grp + 1 end from g join n on n.meeting_id = g.meeting_id and n.i = g.i + 1)
+select meeting_id, seq, tokens, grp::int grp from g""")
 def f7(spark, d):
     """Ordered segments of each meeting in groups whose joined estimate stays within 300 tokens."""
     t = transcripts(spark, d).select("meeting_id", "seq", X.token_estimate(F.col("transcript")).alias("tokens"))
@@ -66,11 +69,11 @@ def f10(spark, d):
     return load(spark, d, "orders").select("o_orderkey", X.content_budget((F.col("o_orderkey") % 40000).cast("long"), (F.col("o_custkey") % 900).cast("long")).alias("budget"))
 
 
-WRAPPED = "w as (select doc_id, case doc_id % 4 when 0 then '<think>secret' || chr(10) || 'x</THINK> ' || left(text, 300) when 1 then '```markdown' || chr(10) || replace(left(text, 300), '`', '') || chr(10) || '```' when 2 then '# # Title ' || doc_id || chr(10) || left(text, 300) else left(text, 300) || '<think> open' end t from documents)"
+WRAPPED = "w as (select doc_id, case doc_id % 4 when 0 then '<think>secret' || chr(10) || 'x</THINK> ' || text when 1 then '```markdown' || chr(10) || replace(text, '`', '') || chr(10) || '```' when 2 then '# # Title ' || doc_id || chr(10) || text else text || '<think> open' end t from documents)"
 
 
 def wrapped(spark, d):
-    head, k = F.substring("text", 1, 300), F.col("doc_id") % 4
+    head, k = F.col("text"), F.col("doc_id") % 4
     t = F.when(k == 0, F.concat(F.lit("<think>secret\nx</THINK> "), head)).when(k == 1, F.concat(F.lit("```markdown\n"), F.replace(head, F.lit("`"), F.lit("")), F.lit("\n```")))
     t = t.when(k == 2, F.concat(F.lit("# # Title "), "doc_id", F.lit("\n"), head)).otherwise(F.concat(head, F.lit("<think> open")))
     return docs(spark, d).select("doc_id", t.alias("t"))
@@ -96,7 +99,7 @@ def f14(spark, d):
     return wrapped(spark, d).select("doc_id", X.strip_first_heading(F.col("t")).alias("body"))
 
 
-@query("f15_fingerprint")
+@query("f15_fingerprint", "select doc_id, lpad(lower(hex(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::hugeint), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::hugeint)::ubigint)), 16, '0') || ':' || strlen(text) fingerprint from documents")
 def f15(spark, d):
     return docs(spark, d).select("doc_id", U.fnv1a(F.col("text")).alias("fingerprint"))
 
@@ -109,11 +112,11 @@ def f16(spark, d):
     return same.select("doc_id", ((F.col("lang") != "en") & ~F.col("cached_lang").eqNullSafe(F.col("lang"))).alias("hit"))
 
 
-TEMPLATE = "t as (select o_custkey, o_orderkey, 'Part ' || o_orderkey title, case o_orderkey % 3 when 0 then 'paragraph' when 1 then 'list' else 'table' end fmt from orders where o_custkey < 50)"
+TEMPLATE = "t as (select o_custkey, o_orderkey, 'Part ' || o_orderkey title, case o_orderkey % 3 when 0 then 'paragraph' when 1 then 'list' else 'table' end fmt from orders)"
 
 
 def template_sections(spark, d):
-    o = load(spark, d, "orders").where("o_custkey < 50")
+    o = load(spark, d, "orders")
     fmt = F.when(F.col("o_orderkey") % 3 == 0, "paragraph").when(F.col("o_orderkey") % 3 == 1, "list").otherwise("table")
     return o.select("o_custkey", "o_orderkey", F.concat(F.lit("Part "), "o_orderkey").alias("title"), fmt.alias("fmt"))
 
@@ -170,15 +173,15 @@ def a11(spark, d):
 TOKENS = f"k as (select doc_id, list_transform({WORDS}, lambda w: lower(w)) w from documents)"
 
 
-@query("f23_collapse_repeats", f"with k as (select doc_id, {WORDS} w from documents) select doc_id, len(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1])) n_kept, left(array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' '), 200) head from k")
+@query("f23_collapse_repeats", f"with k as (select doc_id, {WORDS} w from documents) select doc_id, len(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1])) n_kept, array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' ') collapsed from k")
 def f23(spark, d):
     k = docs(spark, d).select("doc_id", X.words(F.col("text")).alias("w")).select("doc_id", X.collapse_repeats(F.col("w")).alias("c"))
-    return k.select("doc_id", F.size("c").cast("long").alias("n_kept"), F.substring(F.array_join("c", " "), 1, 200).alias("head"))
+    return k.select("doc_id", F.size("c").cast("long").alias("n_kept"), F.array_join("c", " ").alias("collapsed"))
 
 
 @query("f24_f26_clean_transcript")
 def f26(spark, d):
-    return docs(spark, d).select("doc_id", U.clean_repetitive(F.col("text")).alias("cleaned"))
+    return docs(spark, d).select("doc_id", X.clean_repetitive(F.col("text")).alias("cleaned"))
 
 
 @query("a17_repetition_ratio", f"with {TOKENS} select doc_id, case when len(w) < 4 then 0 else round((len(w) - len(list_distinct(w))) / len(w), 6) end::double ratio from k")
@@ -194,7 +197,7 @@ def f25(spark, d):
 @query("f27_f32_post_process")
 def f32(spark, d):
     """The background cleaner: phrase repeats, fillers, punctuation, contractions."""
-    return docs(spark, d).select("doc_id", U.post_process(F.col("text"), F.col("doc_id") % 5 == 0).alias("processed"))
+    return docs(spark, d).select("doc_id", X.post_process(F.col("text"), F.col("doc_id") % 5 == 0).alias("processed"))
 
 
 @query("f28_drop_fillers", f"select doc_id, array_to_string(list_filter({WORDS}, lambda w: not list_contains(['uh','um','er','ah','oh','hm','hmm','uhh','umm','err','ahh','ohh'], regexp_replace(lower(w), '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g'))), ' ') cleaned from documents")
@@ -202,9 +205,9 @@ def f28(spark, d):
     return docs(spark, d).select("doc_id", X.drop_fillers(F.col("text")).alias("cleaned"))
 
 
-@query("f29_ui_fillers", "select doc_id, trim(regexp_replace(regexp_replace(left(text, 500), '\\b(?:the|of|and)\\b[,\\s]*', ' ', 'gi'), '\\s+', ' ', 'g')) shown from documents where lang = 'en'")
+@query("f29_ui_fillers", "select doc_id, trim(regexp_replace(regexp_replace(text, '\\b(?:the|of|and)\\b[,\\s]*', ' ', 'gi'), '\\s+', ' ', 'g')) shown from documents")
 def f29(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", X.drop_fillers_ui(F.substring("text", 1, 500), ["the", "of", "and"]).alias("shown"))
+    return docs(spark, d).select("doc_id", X.drop_fillers_ui(F.col("text"), ["the", "of", "and"]).alias("shown"))
 
 
 TIDY = "replace(replace(replace(replace(trim(text), ' .', '.'), ' ,', ','), ' ?', '?'), ' !', '!')"
@@ -253,11 +256,12 @@ def f40(spark, d):
     return load(spark, d, "events").select("event_id", F.from_json(F.from_json(twice, "r string")["r"], "k bigint")["k"].alias("k"))
 
 
-@query("p13_f41_f42_blocks")
+@query("p13_f41_f42_blocks", "with t as (select doc_id, case when doc_id % 3 = 0 then '<think>hidden' else text end t from documents), m as (select *, regexp_matches(t, '</?think(?:ing)?\\b', 'i') marked, regexp_matches(t, '\\S') visible from t) select doc_id, visible, marked, case when marked then '' else t end redacted, visible and not marked renderable from m")
 def f41(spark, d):
     """Visible text, reasoning markers and redaction in nested blocks."""
-    body = F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), F.array(F.struct(F.when(F.col("doc_id") % 3 == 0, "<think>hidden").otherwise(F.substring("text", 1, 20)).alias("text"))).alias("content"), F.array().cast("array<string>").alias("children"))).alias("blocks")))
-    return docs(spark, d).select("doc_id", U.visible_text(body).alias("visible"), U.holds_reasoning(body).alias("marked"), U.redact_reasoning(body).alias("redacted"), U.renderable(body).alias("renderable"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), F.array(F.struct(F.when(F.col("doc_id") % 3 == 0, "<think>hidden").otherwise(F.col("text")).alias("text"))).alias("content"), F.array().cast("array<string>").alias("children"))).alias("blocks")))
+    facts = docs(spark, d).select("doc_id", U.block_facts(body).alias("f"))
+    return facts.select("doc_id", "f.visible", "f.marked", F.get_json_object("f.redacted", "$.blocks[0].content[0].text").alias("redacted"), "f.renderable")
 
 
 @query("f43_verbose_json", f"with {SEG} select id, start_ms / 10 * 0.01 start_s, round(-length(transcript) / greatest(seq + 1, 1)::double, 6) avg_logprob from seg")
@@ -265,9 +269,9 @@ def f43(spark, d):
     return transcripts(spark, d).select("id", (F.col("start_ms") / 10 * 0.01).alias("start_s"), F.round(-F.length("transcript") / F.greatest(F.col("seq") + 1, F.lit(1)), 6).alias("avg_logprob"))
 
 
-@query("f44_join_tokens", "select doc_id, trim(regexp_replace(regexp_replace(array_to_string(string_split(left(text, 120), ' '), '▁'), '▁', ' ', 'g'), ' ([.,!?])', '\\1', 'g')) joined from documents")
+@query("f44_join_tokens", "select doc_id, trim(regexp_replace(regexp_replace(array_to_string(string_split(text, ' '), '▁'), '▁', ' ', 'g'), ' ([.,!?])', '\\1', 'g')) joined from documents")
 def f44(spark, d):
-    tokens = F.array_join(F.split(F.substring("text", 1, 120), " "), "▁")
+    tokens = F.array_join(F.split("text", " "), "▁")
     return docs(spark, d).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(tokens, "▁", " "), " ([.,!?])", "$1")).alias("joined"))
 
 
@@ -295,9 +299,9 @@ def k18(spark, d):
     return U.joined_lines(transcripts(spark, d).select("meeting_id", "seq", line.alias("line")), "meeting_id", "seq", "line", "\n", "markdown")
 
 
-@query("k19_legacy_markdown", "select o_custkey, string_agg('- ' || o_orderpriority, chr(10) order by o_orderkey) bullets from orders where o_custkey < 100 group by 1")
+@query("k19_legacy_markdown", "select o_custkey, string_agg('- ' || o_orderpriority, chr(10) order by o_orderkey) bullets from orders group by 1")
 def k19(spark, d):
-    lines = load(spark, d, "orders").where("o_custkey < 100").select("o_custkey", "o_orderkey", F.concat(F.lit("- "), "o_orderpriority").alias("line"))
+    lines = load(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("- "), "o_orderpriority").alias("line"))
     return U.joined_lines(lines, "o_custkey", "o_orderkey", "line", "\n", "bullets")
 
 
@@ -313,7 +317,14 @@ def w3(spark, d):
     return transcripts(spark, d).select("id", (~before.eqNullSafe(F.col("speaker"))).alias("header"))
 
 
-@query("w4_speaker_lines")
+@query("w4_speaker_lines", f"""with recursive {SEG}, k as (select meeting_id, seq, start_ms, case speaker when 'user' then 'S1' when 'assistant' then 'S2' else 'S3' end k, trim(transcript) t, row_number() over (partition by meeting_id order by seq) i from seg),
+u as (select meeting_id, count(distinct k) > 1 useful from k group by 1),
+b as (select k.*, useful, case when lag(k) over (partition by k.meeting_id order by seq) is distinct from k then 1 else 0 end b from k join u on u.meeting_id = k.meeting_id),
+r as (select *, case when useful then sum(b) over (partition by meeting_id order by seq rows between unbounded preceding and current row)::bigint else seq end run from b),
+f as (select meeting_id, i, run, 0::bigint part, length(t) n from r where i = 1
+      union all select r.meeting_id, r.i, r.run, case when r.run <> f.run then 0 when f.n > 0 and f.n + 1 + length(r.t) > 1000 then f.part + 1 else f.part end, case when r.run <> f.run or f.n > 0 and f.n + 1 + length(r.t) > 1000 then length(r.t) else f.n + 1 + length(r.t) end from f join r on r.meeting_id = f.meeting_id and r.i = f.i + 1)
+select r.meeting_id, r.run, f.part, printf('[%02d:%02d]', (min(start_ms) // 1000) // 60, (min(start_ms) // 1000) % 60) || ' ' || case when first(useful) then 'Speaker ' || substr(first(k), 2) || ': ' else '' end || string_agg(t, ' ' order by seq) line
+from r join f on f.meeting_id = r.meeting_id and f.i = r.i group by r.meeting_id, r.run, f.part""")
 def w4(spark, d):
     """Lines of one speaker's consecutive segments, of at most 1000 UTF-16 units."""
     t = transcripts(spark, d).select("meeting_id", "seq", "start_ms", role_key(F.col("speaker")).alias("speaker_key"), "transcript")

@@ -131,10 +131,59 @@ def test_compare_and_set(spark):
     assert {r["k"]: r["status"] for r in merges.first_terminal(log, "k", "t", "s", "pending").collect()} == {"a": "completed", "b": "pending"}
 
 
-def test_repeat_cleaning():
-    assert U.clean_text("so so so we go we go home") == "so we go home"
-    assert U.clean_text("Thank you for watching!") == "" and U.clean_text("aaaaaaaaaaaa") == "" and U.clean_text("a b") == "a b"
-    assert U.drop_pair_repeats("to be to be or not not") == "to be or not"
+def test_repeat_cleaning(spark):
+    cases = {"so so so we go we go home": "so we go home", "Thank you for watching!": "", "aaaaaaaaaaaa": "", "a b": "a b", "a  a": "a  a", "": "", "a b c a b c d": "a b c d", "x a b a b a b": "x a b a b", "one\u00a0one two": "one two", "no No no No no No no No no No": "", "abc abcd abc abcd ab": "abc abcd ab"}
+    for text, want in cases.items():
+        assert one(spark, X.clean_repetitive(F.col("t")), t=text) == want, text
+    pairs = {"to be to be or not not": "to be or not", "a b a b": "a b", "a b a b a b": "a b a b", "a b a b a b c": "a b c", "a a a": "a a a", "x x  x y": "x y", "a a b a a b": "a b a b", "ab a ab ab": "ab a ab"}
+    for text, want in pairs.items():
+        assert one(spark, X.drop_pair_repeats(F.col("t")), t=text) == want, text
+
+
+def test_model_hook_tries_again(spark, tmp_path):
+    from colloquy.functions.models import model_hook
+
+    def flaky(most):
+        def make():
+            failed = []
+
+            def model(batch):
+                if len(failed) < most:
+                    failed.append(1)
+                    raise ValueError("busy")
+                return batch.str.upper()
+
+            return model
+
+        return make
+
+    rows = spark.createDataFrame([("a",), (None,)], "t string").coalesce(1)
+    assert [r["x"] for r in rows.select(model_hook(flaky(1), "string")("t").alias("x")).collect()] == ["A", None]
+    with pytest.raises(Exception, match="busy"):
+        rows.select(model_hook(flaky(9), "string")("t").alias("x")).collect()
+
+
+def test_ranked(spark):
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate([5, 9000, 5, -3, 12, 9000, 4096])], "n bigint, i bigint")
+    got = [(r["n"], r["i"]) for r in merges.ranked(rows, ["n", "i"], "pos").orderBy("pos").collect()]
+    assert got == [(-3, 3), (5, 0), (5, 2), (12, 4), (4096, 6), (9000, 1), (9000, 5)]
+
+
+def test_mapping_is_best():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 1), (2, 3), (3, 3), (4, 6), (5, 5)):
+        sims = rng.normal(size=(n, k)).round(1)
+        found = vectors.best_mapping(sims)
+        best = max(sum(sims[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(k), n))
+        assert len(set(found)) == n and abs(sum(sims[i, c] for i, c in enumerate(found)) - best) < 1e-9
+
+
+def test_settings_need_a_known_provider(spark):
+    rows = spark.createDataFrame([("x", None)], "provider string, first_key string")
+    with pytest.raises(Exception, match="no column for x"):
+        merges.set_by_name(rows, "provider", {"first": "first_key"}, F.lit("k")).collect()
 
 
 def test_fingerprint(spark):
