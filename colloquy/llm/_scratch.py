@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _FALLBACK.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='colloquy-')}")
-    return base.rstrip("/")
+from colloquy.sources.files import shared_dir
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:

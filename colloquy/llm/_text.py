@@ -1,38 +1,29 @@
-"""Vectorised hashing of words and byte windows, over Arrow string columns.
+"""Vectorised hashing of words and slices, over Arrow string columns.
 
-All hashes are polynomial prefix sums modulo 2**64: with S the running sum of ``table[byte] * BASE**i``,
-the hash of bytes a..b is ``(S[b] - S[a]) * BASE**-a``, equal for equal strings wherever they stand.
+Slices are named by doubling: the name of 2h codes mixes the names of its two halves, and the name of any slice mixes the
+names of the two longest power-of-two slices that cover it, with its length. Every step is a multiplication followed by
+shifts, so no algebra of sums makes different strings collide; names are equal for equal strings wherever they stand.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 19
+#: Bytes of text that are worked on at once: the arrays made of them fit the processor's cache.
+CHUNK = 1 << 17
+#: Longer words are hashed one by one.
+LONG_WORD = 63
 
-_rng = np.random.default_rng(20240607)
-PLAIN = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FOLDED = PLAIN.copy()
-FOLDED[65:91] = PLAIN[97:123]
+LETTERS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK + 4096), base, dtype=np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
-    return have[:n]
-
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser."""
@@ -45,21 +36,49 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Hashes of any slices of a sequence of 64-bit codes."""
+def join(a: np.ndarray, b: np.ndarray, seed) -> np.ndarray:
+    """The name of a slice that consists of a and b."""
+    x = b ^ seed
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(31)
+    x += a
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+class Names:
+    """Names of the slices of a sequence of 64-bit codes, up to ``longest`` codes long."""
 
-    def __init__(self, codes: np.ndarray):
-        n = len(codes)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, n), dtype=np.uint64, out=self.sums[1:])
-        self.back = powers(INVERSE, n + 1)
+    def __init__(self, codes: np.ndarray, longest: int):
+        self.levels = [codes]
+        size = 1
+        while size * 2 <= longest and size * 2 <= len(codes):
+            last = self.levels[-1]
+            self.levels.append(join(last[: len(last) - size], last[size:], np.uint64(size)))
+            size *= 2
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.back[start]
+        """Names of the slices start..end, none empty or over ``longest``."""
+        size = end - start
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        out = np.empty(len(start), np.uint64)
+        for k in np.flatnonzero(np.bincount(level, minlength=1)).tolist():
+            at = np.flatnonzero(level == k)
+            s, e = start[at], end[at]
+            out[at] = join(self.levels[k][s], self.levels[k][e - (1 << k)], (size[at].astype(np.uint64) << np.uint64(8)))
+        return out
 
     def windows(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, np.uint64)
+        """Names of all slices of one size."""
+        n = len(self.levels[0]) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        k = size.bit_length() - 1
+        level = self.levels[k]
+        return join(level[:n], level[size - (1 << k) : size - (1 << k) + n], np.uint64(size << 8))
 
 
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +86,7 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if not len(column):
@@ -88,11 +107,16 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a run of documents: hash, byte range, and the first word of each document."""
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a run of documents: hash, byte range, and the first word of each document.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = PLAIN):
+    With ``fold``, A-Z count as a-z.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool = False):
         base = offsets[0]
         raw, off = raw[base : offsets[-1]], offsets - base
+        if fold:
+            raw = LOWER[raw]
         n = len(raw)
         inside = ~SEPARATOR[raw]
         edge = np.zeros(n + 1, bool)
@@ -103,16 +127,33 @@ class Words:
         ends[:-1] &= ~inside[1:] | edge[1:n]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        self.hash = mix(Rolling(table[raw]).of(self.start, self.end)) if n else np.zeros(0, np.uint64)
+        self.hash = self.hashes(raw)
         self.first = np.searchsorted(self.start, off)
         self.raw = raw
 
+    def hashes(self, raw: np.ndarray) -> np.ndarray:
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        long = np.flatnonzero(size > LONG_WORD)
+        if not len(long):
+            return Names(LETTERS[raw], int(size.max())).of(self.start, self.end)
+        short = np.flatnonzero(size <= LONG_WORD)
+        out = np.empty(len(size), np.uint64)
+        if len(short):
+            out[short] = Names(LETTERS[raw], int(size[short].max())).of(self.start[short], self.end[short])
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[s:e].tobytes(), digest_size=8).digest(), "little") for s, e in zip(self.start[long].tolist(), self.end[long].tolist())]
+        return out
+
 
 def minimizers(grams: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` consecutive grams, the place of its leftmost smallest one.
 
-    Grams compare by their upper 34 bits, then by place, so equal runs choose the same relative place.
+    Grams compare by their upper 34 bits, then by place, so equal runs choose the same relative place. There may be 2**30
+    grams at most.
     """
+    if len(grams) > 1 << 30:
+        raise ValueError("a text of more than 2**30 units")
     n = len(grams) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm._bitset import filter_rows, set_bits
+from colloquy.llm._bitset import filter_rows, set_bits, slot_of
 from colloquy.llm._scratch import Scratch
-from colloquy.llm._text import FOLDED, Words, chunks, mix, string_parts
+from colloquy.llm._text import Words, chunks, join, mix, string_parts
 from colloquy.llm.components import components
 
 #: Ratio of the size bands, and parts above the least number, so that a few empty parts do not count.
@@ -30,24 +30,22 @@ EDGES = np.array(_edges)
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document; with fewer words than ``width``, the whole sequence is one."""
-    words = Words(raw, offsets, FOLDED)
+    words = Words(raw, offsets, fold=True)
     h, first = words.hash, words.first
-    n = len(h) - width + 1
-    grams = np.zeros(max(n, 0), np.uint64)
-    for i in range(width):
-        if n > 0:
-            grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    grams = mix(grams, width) if n > 0 else grams
+    n = max(0, len(h) - width + 1)
+    grams = h[:n].copy()
+    for i in range(1, width):
+        grams = join(grams, h[i : i + n], np.uint64(i))
+    grams = mix(grams, width)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= width:
             out.append(np.unique(grams[a : b - width + 1]))
         elif b > a:
-            code = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for x in h[a:b]:
-                    code = code * np.uint64(0x9E3779B97F4A7C15) + x
-            out.append(mix(np.array([code]), 1000 + b - a))
+            code = h[a : a + 1].copy()
+            for i in range(a + 1, b):
+                code = join(code, h[i : i + 1], np.uint64(i - a))
+            out.append(mix(code, 1000 + b - a))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -92,12 +90,14 @@ def bitmap_of(numbers: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _per_document(width: int, make, names: list[str], sets_of=None):
-    """An Arrow function that calls make(id column, set list) over bounded runs of rows."""
-    sets_of = sets_of or shingle_sets
+def _per_document(width: int, make, names: list[str], sets_of, wanted=None):
+    """An Arrow function that calls make(id column, set list) over bounded runs of rows; with ``wanted``, only of rows
+    whose column ``slot`` it wants."""
 
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted(batch.column("slot").to_numpy())))
             raw, offsets = string_parts(batch.column("text"))
             for a, b in chunks(offsets):
                 columns = make(batch.column("doc_id").slice(a, b - a), sets_of(raw, offsets[a : b + 1], width))
@@ -182,14 +182,14 @@ def _sub_tiles(percent: int):
     return run
 
 
-def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text", sets_of=None) -> DataFrame:
+def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text", sets_of=shingle_sets) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that a document reaches by links) for every row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; two documents are linked when their shingle sets have a
     Jaccard similarity of at least ``percent`` / 100. Null, empty and blank texts have no shingles and no links. Rows with
     the same id are documents of their own; a null id takes no part, and its component is null. No link between
-    different sets is lost, however many sets are alike. With ``sets_of``, the sets are what it makes of (bytes, offsets,
-    width) instead of shingles, as sorted 64-bit hashes, and the sets' names come along as column ``node``.
+    different sets is lost, however many sets are alike. ``sets_of`` makes other sets than shingles of (bytes, offsets,
+    width), as sorted 64-bit hashes. Column ``node`` names the set.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -197,9 +197,20 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     id_type = kept.schema["doc_id"].dataType.simpleString()
 
     def names(ids, sets):
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap_of(s) if len(s) else None for s in sets], pa.list_(pa.int64()))]
 
-    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node"], sets_of), f"doc_id {id_type}, n_shingles bigint, node bigint"), "nodes")
+    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node", "bits"], sets_of), f"doc_id {id_type}, n_shingles bigint, node bigint, bits array<bigint>"), "nodes")
+    # the document with the smallest id stands for all with its set; the others are left out of all that follows
+    known = nodes.where("doc_id is not null and node is not null")
+    least = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "least")
+    sets = scratch.save(known.join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).withColumnRenamed("n_shingles", "n"), "sets")
+    copies = set_bits(known.select("doc_id", "node").join(least.select("node", F.col("doc_id").alias("least_id")), "node").where("doc_id != least_id").select(F.col("doc_id").alias("key")).distinct())
+    mistaken = set_bits(filter_rows(least, "doc_id", copies).select(F.col("doc_id").alias("key")))
+    shared = spark.sparkContext.broadcast((copies, mistaken))
+
+    def stands(slots):
+        some, again = shared.value
+        return ~some.among(slots) | again.among(slots)
 
     def parts(ids, sets):
         found = [(node_of(s), parts_of(s, percent)) for s in sets if len(s)]
@@ -207,39 +218,36 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         group = np.concatenate([p for _, p in found]).view(np.int64) if found else np.zeros(0, np.int64)
         return [pa.array(group), pa.array(node)]
 
-    # groups of equal parts: every copy of a set falls in with it
-    shuffled = kept.where("doc_id is not null").select("doc_id", "text").mapInArrow(_per_document(width, parts, ["grp", "node"], sets_of), "grp bigint, node bigint").repartition("grp")
-    sized = shuffled.dropDuplicates(["grp", "node"]).withColumn("many", F.count("*").over(Window.partitionBy("grp"))).where("many > 1")
-    members = scratch.save(sized, "members")
-    central = members.groupBy("node").agg(F.sum("many").alias("weight"))
-    weighed = members.join(central, "node")
-    leaders = weighed.groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("best")).select("grp", F.col("best.node").alias("leader"))
+    slotted = kept.where("doc_id is not null").select("doc_id", "text", slot_of("doc_id").alias("slot"))
+    shuffled = slotted.mapInArrow(_per_document(width, parts, ["grp", "node"], sets_of, stands), "grp bigint, node bigint").repartition("grp")
+    members = scratch.save(shuffled.dropDuplicates(["grp", "node"]).withColumn("many", F.count("*").over(Window.partitionBy("grp"))).where("many > 1"), "members")
+    central = scratch.save(members.groupBy("node").agg(F.sum("many").alias("weight")), "central")
+    leaders = members.join(central, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("best")).select("grp", F.col("best.node").alias("leader"))
     first_pairs = members.join(leaders, "grp").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     first_pairs = scratch.save(first_pairs, "pairs")
 
-    # the sets of all members, from one document each
-    wanted = nodes.where("doc_id is not null").join(central.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.save(wanted, "wanted")
-    some = filter_rows(kept, "doc_id", set_bits(wanted.select(F.col("doc_id").alias("key"))))
-
     def arrays(ids, sets):
-        ids, sets = zip(*[(i, s) for i, s in zip(ids.to_pylist(), sets) if len(s)]) if any(len(s) for s in sets) else ((), ())
-        return [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-
-    sets = some.join(wanted.select("doc_id").hint("merge"), "doc_id").mapInArrow(_per_document(width, arrays, ["node", "n", "bits", "set"], sets_of), "node bigint, n bigint, bits array<bigint>, set array<bigint>")
-    sets = scratch.save(sets.join(central.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    def exact(pairs: DataFrame, name: str, bounded: bool) -> DataFrame:
-        if not bounded:
-            for side in ("a", "b"):
-                pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-            only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
-            top = F.least(F.col("na") - only("bitsa", "bitsb"), F.col("nb") - only("bitsb", "bitsa"))
-            pairs = pairs.where(100 * top >= percent * (F.col("na") + F.col("nb") - top)).select("a", "b")
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        return scratch.save(full.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint"), name)
-
-    links = exact(first_pairs, "links", bounded=False)
+        some = [s for s in sets if len(s)]
+        return [pa.array([node_of(s) for s in some], pa.int64()), pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))]
+
+    def exact(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of pairs that passed the bounds: only their sets are fetched, from one document each."""
+        asked = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-asked")
+        ids = set_bits(least.join(asked, "node", "left_semi").select(F.col("doc_id").alias("key")))
+        told = spark.sparkContext.broadcast(ids)
+        full = slotted.mapInArrow(_per_document(width, arrays, ["node", "set"], sets_of, lambda slots: told.value.among(slots)), "node bigint, set array<bigint>")
+        full = scratch.save(full.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        both = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint"), name)
+        scratch.drop(f"{name}-asked", f"{name}-sets")
+        return links
+
+    described = first_pairs
+    for side in ("a", "b"):
+        described = described.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+    top = F.least(F.col("na") - only("bitsa", "bitsb"), F.col("nb") - only("bitsb", "bitsa"))
+    links = exact(scratch.save(described.where(100 * top >= percent * (F.col("na") + F.col("nb") - top)).select("a", "b"), "bounded"), "links")
     joined = components(links, scratch, "first")
 
     # groups with members that are still apart: compare those not yet compared
@@ -250,23 +258,30 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     tiled = tiled.select(F.col("grp").alias("group"), F.least("left", "other").alias("i"), F.greatest("left", "other").alias("j"), "left", "node", "component", "n", "bits")
     rest = tiled.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_sub_tiles(percent), "a bigint, b bigint")
     rest = scratch.save(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
+    scratch.drop("members", "central", "pairs", "bounded")
     if rest.take(1):
-        more = exact(rest, "more", bounded=True)
-        joined = components(links.unionByName(more), scratch, "second")
+        joined = components(links.unionByName(exact(rest, "more")), scratch, "second")
 
-    grouped = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = grouped.where("doc_id is not null and component is not null").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    out = grouped.join(lowest, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"), *(["node"] if sets_of else []))
+    # the smallest id of each set's component; sets without links have their own
+    placed = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = scratch.save(placed.groupBy("component").agg(F.min("doc_id").alias("lowest")), "lowest")
+    labels = scratch.save(placed.join(lowest, "component").select("node", "lowest"), "labels")
+    out = nodes.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"), "node")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the document with the smallest id of each component; rows with a null id stay."""
-    linked = linked_components(docs, width, percent, id_col=id_col, text_col=text_col)
-    gone = Scratch(docs.sparkSession, "jaccard-gone").save(linked.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    """The rows of the document with the smallest id of each component; rows with a null id stay.
+
+    Only rows of ids that bit sets of bounded size cannot tell apart are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard-gone")
+    linked = scratch.save(linked_components(docs, width, percent, id_col=id_col, text_col=text_col).select("doc_id", (F.col("component_id") < F.col("doc_id")).alias("goes")).where("doc_id is not null").distinct(), "linked")
+    gone = linked.where("goes").select(F.col("doc_id").alias("key"))
+    out_bits = set_bits(gone)
+    stay_bits = set_bits(filter_rows(linked.where("not goes").select(F.col("doc_id").alias("key")), "key", out_bits))
+    clear = filter_rows(docs, id_col, out_bits, inside=False)
+    maybe = filter_rows(docs, id_col, out_bits, stay_bits)
     key = "__gone_id"
-    gone_ids = gone.select(F.col("doc_id").alias(key))
-    bits = set_bits(gone.select(F.col("doc_id").alias("key")))
-    maybe = filter_rows(docs, id_col, bits)
-    clear = filter_rows(docs, id_col, bits, inside=False)
+    gone_ids = gone.select(F.col("key").alias(key))
     return clear.unionByName(maybe.join(gone_ids, maybe[id_col] == gone_ids[key], "left_anti"))

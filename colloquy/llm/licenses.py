@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colloquy.llm._scratch import small_batches
-from colloquy.llm._text import FOLDED, Words, chunks, minimizers, mix, string_parts
+from colloquy.llm._text import Words, chunks, minimizers, mix, string_parts
 
 #: The templates and their index go to every executor; more than this is refused.
 MOST_TEMPLATE_BYTES = 16 << 20
@@ -43,7 +43,7 @@ _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 0x20 for b in range(25
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    return Words(_PLAIN[raw], offsets, FOLDED)
+    return Words(_PLAIN[raw], offsets, fold=True)
 
 
 def grams_of(codes: np.ndarray, size: int) -> np.ndarray:

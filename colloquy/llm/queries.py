@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import ann, bpe, jaccard, language, licenses, packing, spotsigs, substring, warc
+from colloquy.llm import ann, bpe, jaccard, language, licenses, packing, spotsigs, substring, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard.linked_components(table(spark, sf_dir, "documents"), width=3, percent=90).drop("node")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_byte_windows(table(spark, sf_dir, "documents"))
+    return suffix.remove_byte_windows(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,17 @@ parts of the hash space; sizes and bitmaps bound the overlap before the sets are
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import jaccard
-from colloquy.llm._scratch import Scratch
 from colloquy.llm._text import mix
 
 #: Common words of English, French, German and Spanish.
@@ -27,7 +28,8 @@ ANCHORS = frozenset(
     "aber als am auch auf aus bei das dass dem den der des die doch ein eine einem einen einer er es für hat ich im ist mit nach nicht noch nur oder sich sie sind so und von war wie wir zu zum zur "
     "al como con del el ella en es esta este fue ha las lo los más me mi no nos o para pero por se si sin su sus también te un una y ya yo".split()
 )
-KEPT = 400_000
+#: Most different words that a Python worker keeps.
+KEPT = 150_000
 
 
 class Spots:
@@ -40,36 +42,43 @@ class Spots:
 
     def clear(self) -> None:
         self.number.clear()
-        self.codes: list[int] = [0]
-        self.kinds: list[int] = [0]
+        self.used = 1
+        self.codes = np.zeros(1 << 12, np.uint64)
+        self.kinds = np.zeros(1 << 12, np.int8)
 
     def look(self, piece: str) -> int:
+        """The number of a new piece: 0 if it has no letter or digit."""
         word = "".join(filter(str.isalnum, piece.lower()))
         if not word:
             self.number[piece] = 0
             return 0
-        self.number[piece] = len(self.codes)
-        self.codes.append(int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
-        self.kinds.append(1 if word in ANCHORS else 2)
-        return self.number[piece]
+        n = self.number[piece] = self.used
+        if n == len(self.codes):
+            self.codes, self.kinds = np.resize(self.codes, 2 * n), np.resize(self.kinds, 2 * n)
+        self.codes[n] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        self.kinds[n] = 1 if word in ANCHORS else 2
+        self.used += 1
+        return n
 
     def numbers(self, text: str) -> np.ndarray:
         """Sorted distinct hashes of a text's chains.
 
         Without an anchor before a content word, every word begins a chain; without words, the text is its own chain.
         """
-        if len(self.codes) > KEPT:
+        if self.used > KEPT:
             self.clear()
         pieces = text.split()
         get = self.number.get
-        at = [get(p, -1) for p in pieces]
-        if -1 in at:
-            at = [self.look(p) if i < 0 else i for i, p in zip(at, pieces)]
-        at = [i for i in at if i]
-        if not at:
+        found = [get(p, -1) for p in pieces]
+        at = np.array(found, np.int32)
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = get(pieces[i], -1)
+            if at[i] < 0:
+                at[i] = self.look(pieces[i])
+        at = at[at > 0]
+        if not len(at):
             return np.unique(np.frombuffer(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=4).digest(), np.uint32)) if text else np.zeros(0, np.uint32)
-        # only the words of this text are looked up
-        codes, kinds = np.array([self.codes[i] for i in at], np.uint64), np.array([self.kinds[i] for i in at], np.int8)
+        codes, kinds = self.codes[at], self.kinds[at]
         content = np.flatnonzero(kinds == 2)
         anchor = np.flatnonzero(kinds == 1)
         head = np.searchsorted(content, anchor)
@@ -95,13 +104,10 @@ def decode(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity of two sorted sets; 0 if their lengths alone keep it under ``least``. Two empty sets are alike."""
-    if not len(a) and not len(b):
-        return 1.0
-    small, large = sorted((len(a), len(b)))
-    if small < least * large or not small:
-        return 0.0
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets. Two empty sets are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
@@ -131,18 +137,18 @@ def hashes(fingerprint: np.ndarray) -> np.ndarray:
     return np.sort(mix(fingerprint.astype(np.uint64) + np.uint64(1)))
 
 
-def _sets_of(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    return [hashes(decode(raw[a:b].tobytes())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-
-
 def near_copies(docs: DataFrame, percent: int = 80, chain: int = 2, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chains, class_id and node for every row: the class is the smallest id that a document reaches by links.
 
     Two documents of the corpus are linked, wherever they stand, when the Jaccard similarity of their fingerprints is at
     least ``percent`` / 100. A text without chains is a class of its own; a null id has none. ``node`` names the set.
     """
-    prints = Scratch(docs.sparkSession, "spotsigs").save(fingerprints(docs, chain, id_col, text_col).select("doc_id", "fingerprint"), "prints")
-    out = jaccard.linked_components(prints, 0, percent, tile_rows, text_col="fingerprint", sets_of=_sets_of)
+
+    def sets_of(raw, offsets, width):
+        s = spots(chain)
+        return [hashes(s.numbers(raw[a:b].tobytes().decode("utf-8"))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+    out = jaccard.linked_components(docs, 0, percent, tile_rows, id_col, text_col, sets_of)
     return out.select("doc_id", F.col("n_shingles").alias("n_chains"), F.col("component_id").alias("class_id"), "node")
 
 
@@ -152,45 +158,58 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
+def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None, range_bytes: int = 32 << 20, most_ranges: int = 50_000) -> DataFrame:
     """Fingerprints every text, its edited text and the next document's, by descending id (after the last: the first).
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as
-    empty; a null id stands last; rows with the same id follow each other by descending text. A single document is its own
-    next. The rows are dealt by ranges of ids, so the next document is in the same range, or it is the head of another one,
-    of which there is one for each range. With ``classes`` (of ``near_copies``), also class_id.
+    empty; a null id stands last; rows with the same id follow each other by the hash of their text. A single document is
+    its own next. Ids are of any type that can be ordered. The rows are dealt by ranges of ids of about ``range_bytes``
+    each, ``most_ranges`` at most; the next document is in the same range, or it is the head of another one, of which
+    there is one for each range. Texts are compressed before they are dealt. With ``classes`` (of ``near_copies``), also
+    class_id.
     """
     spark = docs.sparkSession
-    bottom = -(1 << 63)
-    kept = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(docs[id_col].cast("long"), F.lit(bottom)).alias("key"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = kept.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    bounds = np.array(sorted({int(x) for x in quantiles}), np.int64)
-
-    @F.pandas_udf(T.IntegerType())
-    def range_of(key):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype(np.int32))
-
-    dealt = kept.withColumn("range", range_of("key"))
-    # one row for each range
-    heads = sorted((r["range"], r["key"]) for r in dealt.groupBy("range").agg(F.max("key").alias("key")).collect())
-    out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kind = docs.schema[id_col].dataType
+    kept = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    out = f"doc_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if classes is not None:
-        out += f", class_id {docs.schema[id_col].dataType.simpleString()}"
-    if not heads:
+        out += f", class_id {kind.simpleString()}"
+    size = kept.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
         return spark.createDataFrame([], out)
-    following = [(b, heads[i - 1][1]) for i, (b, _) in enumerate(heads)]
-    targets = F.broadcast(spark.createDataFrame(following, "range int, key long"))
-    head_rows = kept.where(F.col("key").isin([k for _, k in heads])).groupBy("key").agg(F.max("text").alias("text"))
-    ends = head_rows.join(targets, "key").select(F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), "text", "key", "range", F.lit(1).alias("end"))
-    rows = dealt.withColumn("end", F.lit(0)).unionByName(ends).withColumns({"node": F.lit(None).cast("long"), "class_id": F.lit(None).cast(docs.schema[id_col].dataType)})
+    ranges = min(most_ranges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // range_bytes))
+    # the ranges' bounds: quantiles of a bounded sample of ids, the same whatever the rows' order
+    sample = kept.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(32 * ranges)
+    ids = sorted(r["doc_id"] for r in sample.collect())
+    bounds = sorted({ids[i * len(ids) // ranges] for i in range(1, ranges)}) if ids else []
+
+    def range_of(doc_id) -> int:
+        """0 for null, which is below all ids."""
+        return 0 if doc_id is None else 1 + bisect.bisect_right(bounds, doc_id)
+
+    def deal(batches):
+        names = ["doc_id", "range", "end", "mark", "packed"]
+        for batch in batches:
+            held = batch.column("range") if "range" in batch.schema.names else pa.array([range_of(i) for i in batch.column("doc_id").to_pylist()], pa.int32())
+            packed = [zlib.compress(t.as_py().encode(), 1) for t in batch.column("text")]
+            end = pa.array([int("range" in batch.schema.names)] * batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held, end, batch.column("mark"), pa.array(packed, pa.binary())], names)
+
+    dealt_by = _range_column(kind, bounds) if bounds else F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+    # one row for each range: its greatest id, which follows the least of the next higher range
+    heads = kept.select("doc_id", dealt_by.alias("range")).groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()
+    following = [(heads[i - 1]["head"], r["range"]) for i, r in enumerate(heads)]
+    targets = F.broadcast(spark.createDataFrame(following, f"head {kind.simpleString()}, range int"))
+    marked = kept.withColumn("mark", F.xxhash64("text"))
+    first = marked.join(targets, marked["doc_id"].eqNullSafe(targets["head"])).groupBy("range").agg(F.max_by(F.struct("doc_id", "text", "mark"), "mark").alias("row")).select("range", "row.*")
+    schema = f"doc_id {kind.simpleString()}, range int, end int, mark bigint, packed binary"
+    rows = marked.mapInArrow(deal, schema).unionByName(first.select("doc_id", "text", "mark", "range").mapInArrow(deal, schema))
+    rows = rows.withColumns({"node": F.lit(None).cast("long"), "class_id": F.lit(None).cast(kind)})
     if classes is not None:
         # the class of each id and set, where it is another document's, goes before the rows with that id
-        told = classes.where("class_id != doc_id").select("doc_id", F.col("doc_id").cast("long").alias("key"), "node", "class_id").distinct()
-        rows = rows.unionByName(told.withColumn("range", range_of("key")).withColumn("end", F.lit(0)).withColumn("text", F.lit(None).cast("string")))
-    rows = rows.repartition(ranges, "range").sortWithinPartitions("range", "end", F.desc("key"), F.desc_nulls_last("node"), F.desc("text"))
+        told = classes.where("class_id != doc_id").select("doc_id", "node", "class_id").distinct()
+        rows = rows.unionByName(told.select("doc_id", dealt_by.alias("range"), F.lit(0).alias("end"), F.lit(None).cast("long").alias("mark"), F.lit(None).cast("binary").alias("packed"), "node", "class_id"))
+    rows = rows.repartition(ranges, "range").sortWithinPartitions("range", "end", F.desc_nulls_last("doc_id"), F.desc_nulls_last("node"), F.desc("mark"))
 
     def run(batches):
         s = spots(chain)
@@ -198,13 +217,13 @@ def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", t
         before, told_of, told = None, None, {}
         for batch in batches:
             made: list[list] = [[] for _ in names]
-            for doc_id, text, last, block, node, other_class in zip(*(batch.column(c) for c in ("doc_id", "text", "end", "range", "node", "class_id"))):
+            for doc_id, packed, last, block, node, other_class in zip(*(batch.column(c) for c in ("doc_id", "packed", "end", "range", "node", "class_id"))):
                 if node.is_valid:
                     if told_of != doc_id.as_py():
                         told_of, told = doc_id.as_py(), {}
                     told[node.as_py()] = other_class.as_py()
                     continue
-                now = text.as_py()
+                now = zlib.decompress(packed.as_py()).decode()
                 numbers = s.numbers(now)
                 if before is not None and before[3] == block.as_py():
                     old_id, old, old_numbers, _, old_class = before
@@ -223,3 +242,15 @@ def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types)], names)
 
     return rows.mapInArrow(run, out)
+
+
+def _range_column(kind: T.DataType, bounds: list) -> Column:
+    """The number of an id's range, 0 for null."""
+
+    @F.pandas_udf(T.IntegerType())
+    def find(doc_id):
+        import pandas as pd
+
+        return pd.Series([0 if missing else 1 + bisect.bisect_right(bounds, i) for i, missing in zip(doc_id.tolist(), doc_id.isna())], dtype="int32")
+
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), find(F.coalesce(F.col("doc_id"), F.lit(bounds[0]).cast(kind)))), F.lit(0))

@@ -1,4 +1,4 @@
-"""Removal of repeated passages: word windows by a count-min prefilter, byte windows by sampled doubling.
+"""Removal of repeated passages of words, by a count-min prefilter.
 
 Windows are tied to anchors, the smallest gram within each window, which is at the same place in equal windows. Windows in
 turn with the same anchor are a segment. A count-min sketch of the anchors' grams overestimates how often each window
@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _sketch
-from colloquy.llm._bitset import among, filter_rows, set_bits, slot_of
+from colloquy.llm._bitset import filter_rows, set_bits, slot_of
 from colloquy.llm._scratch import Scratch
-from colloquy.llm._text import PLAIN, SEPARATOR, Rolling, Words, chunks, minimizers, mix, string_parts
+from colloquy.llm._text import SEPARATOR, Names, Words, chunks, minimizers, mix, string_parts
 
-WORD_GRAM, BYTE_GRAM = 24, 32
+WORD_GRAM = 24
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, text, and a number that tells rows with the same id apart."""
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int"))
+    """Id, text, a number that tells rows with the same id apart, and the id once more, as a column to keep."""
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark"), docs[id_col].alias("k0"))
 
 
 class Segments:
@@ -33,8 +33,8 @@ class Segments:
 
     def __init__(self, codes: np.ndarray, window: int, gram: int):
         self.window = window
-        self.rolling = Rolling(codes)
-        grams = mix(self.rolling.windows(gram), gram)
+        self.names = Names(codes, 2 * window - gram)
+        grams = mix(self.names.windows(gram), gram)
         at = minimizers(grams, window - gram + 1)
         change = np.ones(len(at), bool)
         change[1:] = at[1:] != at[:-1]
@@ -46,35 +46,29 @@ class Segments:
     def name(self, pick: np.ndarray) -> np.ndarray:
         """Hash of all that the windows of a segment cover."""
         start, count = self.first[pick], self.count[pick]
-        return mix(self.rolling.of(start, start + count - 1 + self.window) + count.astype(np.uint64), 11)
+        return self.names.of(start, start + count - 1 + self.window)
 
     def windows(self, i: int) -> np.ndarray:
         start = np.arange(self.first[i], self.first[i] + self.count[i])
-        return mix(self.rolling.of(start, start + self.window), 13)
+        return self.names.of(start, start + self.window)
 
 
-def _documents(batch: pa.RecordBatch, words: bool, window: int):
-    """(row, codes) of each document that has a window."""
+def _documents(batch: pa.RecordBatch, window: int):
+    """(row, word hashes) of each document that has a window."""
     raw, offsets = string_parts(batch.column("text"))
-    if words:
-        for a, b in chunks(offsets):
-            found = Words(raw, offsets[a : b + 1])
-            for row, (s, e) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist()), a):
-                if e - s >= window:
-                    yield row, found.hash[s:e]
-    else:
-        for row, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+    for a, b in chunks(offsets):
+        found = Words(raw, offsets[a : b + 1])
+        for row, (s, e) in enumerate(zip(found.first[:-1].tolist(), found.first[1:].tolist()), a):
             if e - s >= window:
-                yield row, PLAIN[raw[s:e]]
+                yield row, found.hash[s:e]
 
 
-def _sketch_of(rows: DataFrame, words: bool, window: int, gram: int) -> bytes:
+def _sketch_of(rows: DataFrame, window: int, gram: int, scratch: Scratch) -> _sketch.Repeated:
     def run(batches):
         for batch in batches:
             grams, held = [], 0
-            for _, codes in _documents(batch, words, window):
-                own = Segments(codes, window, gram).gram
-                grams.append(np.unique(own) if words else own)
+            for _, codes in _documents(batch, window):
+                grams.append(np.unique(Segments(codes, window, gram).gram))
                 held += len(grams[-1])
                 if held > 1_000_000:
                     yield _sketch.partial(np.concatenate(grams))
@@ -82,15 +76,15 @@ def _sketch_of(rows: DataFrame, words: bool, window: int, gram: int) -> bytes:
             if grams:
                 yield _sketch.partial(np.concatenate(grams))
 
-    return _sketch.merge(rows.select("text").mapInArrow(run, _sketch.SCHEMA))
+    return _sketch.merge(rows.select("text").mapInArrow(run, _sketch.SCHEMA), scratch)
 
 
-def _segments(rows: DataFrame, bits: bytes, words: bool, window: int, gram: int, with_windows: bool) -> DataFrame:
-    """Segments whose windows are estimated repeated."""
+def _segments(rows: DataFrame, bits: _sketch.Repeated, window: int, gram: int) -> DataFrame:
+    """Segments whose windows are estimated repeated, with the names of their windows."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "mark", "start", "count", "shift", "gram", "name"] + ["windows"] * with_windows
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["doc_id", "mark", "start", "count", "gram", "name", "windows"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches):
         for batch in batches:
@@ -99,21 +93,18 @@ def _segments(rows: DataFrame, bits: bytes, words: bool, window: int, gram: int,
             def flush():
                 at = pa.array(np.repeat(np.array([r for r, _ in row], np.int64), [n for _, n in row]))
                 columns = [batch.column("doc_id").take(at), batch.column("mark").take(at)] + [pa.array(np.concatenate(p), t) for p, t in zip(parts, types)]
-                if with_windows:
-                    sizes = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays).view(np.int64))))
-                return pa.RecordBatch.from_arrays(columns, names)
+                sizes = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+                return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays).view(np.int64)))], names)
 
-            for r, codes in _documents(batch, words, window):
+            for r, codes in _documents(batch, window):
                 s = Segments(codes, window, gram)
-                pick = np.flatnonzero(_sketch.repeated(shared.value, s.gram))
+                pick = np.flatnonzero(shared.value.among(s.gram))
                 if not len(pick):
                     continue
                 row.append((r, len(pick)))
-                for p, v in zip(parts, (s.first[pick], s.count[pick], s.anchor[pick] - s.first[pick], s.gram[pick].view(np.int64), s.name(pick).view(np.int64))):
+                for p, v in zip(parts, (s.first[pick], s.count[pick], s.gram[pick].view(np.int64), s.name(pick).view(np.int64))):
                     p.append(v)
-                if with_windows:
-                    arrays += [s.windows(i) for i in pick.tolist()]
+                arrays += [s.windows(i) for i in pick.tolist()]
                 held += int(s.count[pick].sum())
                 if held > 500_000:
                     yield flush()
@@ -121,30 +112,29 @@ def _segments(rows: DataFrame, bits: bytes, words: bool, window: int, gram: int,
             if row:
                 yield flush()
 
-    schema = f"doc_id {id_type}, mark int, start int, count int, shift int, gram bigint, name bigint" + ", windows array<bigint>" * with_windows
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"doc_id {id_type}, mark bigint, start int, count int, gram bigint, name bigint, windows array<bigint>")
 
 
 def repeated_word_windows(rows: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(doc_id, mark, runs) with runs of windows that also start in a document with a smaller id: longs start * 2**24 + count."""
     rows = rows.where("doc_id is not null")
-    bits = _sketch_of(rows, True, window, min(WORD_GRAM, window))
-    segments = scratch.save(_segments(rows, bits, True, window, min(WORD_GRAM, window), True).drop("shift", "gram"), "segments")
-    smallest = segments.groupBy("name").agg(F.min("doc_id").alias("least_id"))
-    seen = segments.join(smallest, "name")
+    bits = _sketch_of(rows, window, min(WORD_GRAM, window), scratch)
+    segments = scratch.save(_segments(rows, bits, window, min(WORD_GRAM, window)), "segments")
+    # written before they are joined, so that Spark splits the tasks that a frequent passage fills
+    smallest = scratch.save(segments.groupBy("gram", "name").agg(F.min("doc_id").alias("least_id")), "smallest")
+    seen = segments.join(smallest, ["gram", "name"])
     whole = seen.where("doc_id > least_id").select("doc_id", "mark", "start", "count")
     # of equal segments, the one in the smallest document stands for all; any smaller document is smaller than theirs too
-    # a window's place: the row's mark and the window's start in one number
-    place = F.shiftleft(F.col("mark").cast("long"), 24) + F.col("start")
-    single = seen.where("doc_id = least_id").select("doc_id", place.alias("base"), F.posexplode("windows").alias("step", "code")).select("doc_id", (F.col("base") + F.col("step")).alias("place"), "code")
-    first = single.groupBy("code").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id").select("code", "least_id")
-    part = single.join(first, "code").where("doc_id > least_id").select("doc_id", F.shiftright("place", 24).cast("int").alias("mark"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("start"), F.lit(1).alias("count"))
-    runs = scratch.save(_runs(whole.unionByName(part)), "runs")
-    scratch.drop("segments")
+    single = seen.where("doc_id = least_id").select("doc_id", "mark", "start", "gram", F.posexplode("windows").alias("step", "code")).select("doc_id", "mark", (F.col("start") + F.col("step")).alias("start"), "gram", "code")
+    first = single.groupBy("gram", "code").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("most_id")).where("least_id < most_id").select("gram", "code", "least_id")
+    part = single.join(scratch.save(first, "first"), ["gram", "code"]).where("doc_id > least_id").select("doc_id", "mark", "start", F.lit(1).alias("count"))
+    runs = scratch.save(runs_of(whole.unionByName(part)), "runs")
+    scratch.drop("segments", "smallest", "first")
     return runs
 
 
-def _runs(found: DataFrame) -> DataFrame:
+def runs_of(found: DataFrame) -> DataFrame:
+    """(doc_id, mark, runs): the runs of windows (start, count) of each row, as longs start * 2**24 + count."""
     return found.groupBy("doc_id", "mark").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 24) + F.col("count")).alias("runs"))
 
 
@@ -158,32 +148,32 @@ def covered(runs, size: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _finish(rows: DataFrame, runs: DataFrame, columns: str, make) -> DataFrame:
-    """Calls make(text, runs or None) on every row; only rows that may have runs are shuffled.
+def finish(rows: DataFrame, runs: DataFrame, columns: str, make) -> DataFrame:
+    """Calls make(text, runs or None) on every row: what the row keeps (columns k0, k1, ...), then the columns made.
 
-    A task holds one Python worker: the other rows are picked where they are made, and the join is a shuffle.
+    Only rows that may have runs are shuffled. A task holds one Python worker: the other rows are picked where they are
+    made, and the join is a shuffle.
     """
     bits = set_bits(runs.select(F.col("doc_id").alias("key")))
     shared = rows.sparkSession.sparkContext.broadcast(bits)
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+    made = [c.strip().split(" ") for c in columns.split(",")]
     kinds = {"bigint": pa.int64(), "string": pa.string()}
-    types = [kinds[c.strip().split(" ")[1]] for c in columns.split(",")]
+    kept = [c for c in rows.columns if c not in ("doc_id", "text", "mark")]
 
     def run(batches):
         for batch in batches:
-            if "__slot" in batch.schema.names:
-                batch = batch.filter(pa.array(~among(shared.value, batch.column("__slot").to_numpy())))
+            if "slot" in batch.schema.names:
+                batch = batch.filter(pa.array(~shared.value.among(batch.column("slot").to_numpy())))
             has = "runs" in batch.schema.names
             values = [make(t.as_py() or "", r.values.to_numpy() if has and r.is_valid else None) for t, r in zip(batch.column("text"), batch.column("runs") if has else batch.column("text"))]
-            other = [c for c in batch.schema.names if c not in ("text", "mark", "runs", "__slot")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in other] + [pa.array(c, t) for c, t in zip(list(zip(*values)) or [()] * len(types), types)], other + names)
+            new = [pa.array(c, kinds[kind]) for c, (_, kind) in zip(list(zip(*values)) or [()] * len(made), made)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, kept + [name for name, _ in made])
 
-    kept = [c for c in rows.columns if c not in ("text", "mark")]
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [columns])
-    keys = runs.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "runs")
+    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [columns])
+    keys = runs.select(F.col("doc_id").alias("other_id"), F.col("mark").alias("other_mark"), "runs")
     maybe = filter_rows(rows, "doc_id", bits)
-    joined = maybe.join(keys.hint("merge"), maybe["doc_id"].eqNullSafe(keys["__id"]) & (maybe["mark"] == keys["__mark"]), "left").drop("__id", "__mark")
-    clear = rows.withColumn("__slot", slot_of(rows["doc_id"]))
+    joined = maybe.join(keys.hint("merge"), maybe["doc_id"].eqNullSafe(keys["other_id"]) & (maybe["mark"] == keys["other_mark"]), "left").select("text", "runs", *kept)
+    clear = rows.select("text", slot_of(rows["doc_id"]).alias("slot"), *kept)
     return clear.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
 
 
@@ -215,13 +205,15 @@ def remove_word_windows(docs: DataFrame, window: int = 50, id_col: str = "doc_id
             kept = b" ".join(words)
         return (len(words), gone, hashlib.sha256(kept).hexdigest()) + ((kept.decode(),) if texts else ())
 
-    return _finish(rows, runs, "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts, make)
+    return finish(rows, runs, "n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts, make).withColumnRenamed("k0", "doc_id")
 
 
 def without_word_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents, columns as they are, with repeated windows removed: a text that loses words is its kept words joined
-    by blanks, and n_chars follows; other texts stay as they are."""
-    rows = docs.withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int"))
+    by blanks, and n_chars follows; other texts stay as they are, null as null."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    names = {c: f"k{i}" for i, c in enumerate(others)}
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), *(docs[c].alias(k) for c, k in names.items()), docs["text"].isNull().alias("k_null"))
     runs = repeated_word_windows(rows.select("doc_id", "text", "mark"), window, Scratch(docs.sparkSession, "windows"))
 
     def make(text, runs):
@@ -231,138 +223,7 @@ def without_word_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         cover = covered(runs, len(words), window).tolist()
         return (b" ".join([w for w, c in zip(words, cover) if not c]).decode(),)
 
-    out = _finish(rows, runs, "text string", make)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-
-
-def repeated_byte_windows(rows: DataFrame, window: int, scratch: Scratch, group_rows: int) -> DataFrame:
-    """(doc_id, mark, runs) of windows of bytes that occur elsewhere, ranked on sampled positions at growing lengths.
-
-    The sampled positions are the anchors. Their first rank is their gram; positions that are unique then are done. The
-    next rank is the whole segment around the anchor; of equal segments one stays. Only segments that are still unique
-    beside others with their gram are ranked at the length of the window itself, for each of its places.
-    """
-    gram = min(BYTE_GRAM, window)
-    bits = _sketch_of(rows, False, window, gram)
-    segments = scratch.save(_segments(rows, bits, False, window, gram, False), "segments")
-    one = F.struct("doc_id", "mark", "start", "count")
-    names = scratch.save(segments.groupBy("gram", "name").agg(F.count("*").alias("times"), F.min(one).alias("one")), "names")
-    whole = segments.join(names.where("times > 1").select("gram", "name"), ["gram", "name"], "left_semi").select("doc_id", "mark", "start", "count")
-    mixed = names.groupBy("gram").agg(F.count("*").alias("members"), F.min("times").alias("least")).where("members > 1 and least = 1").select("gram", "members")
-    asked = names.join(mixed, "gram").select("gram", "members", F.least("times", F.lit(2)).cast("int").alias("times"), "one.*")
-    by_doc = scratch.save(asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("gram", "members", "times", "start", "count")).alias("asked")), "asked")
-    keys = by_doc.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "asked")
-    some = filter_rows(rows, "doc_id", set_bits(by_doc.select(F.col("doc_id").alias("key"))))
-    joined = some.join(keys.hint("merge"), some["doc_id"].eqNullSafe(keys["__id"]) & (some["mark"] == keys["__mark"])).select("doc_id", "mark", "text", "asked")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches):
-        names = ["doc_id", "mark", "gram", "members", "times", "start", "count", "context"]
-        for batch in batches:
-            row, out, context, held = [], [], [], 0
-
-            def flush():
-                at = pa.array(row, pa.int64())
-                values = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("mark").take(at), *(pa.array(v, t) for v, t in zip(values, kinds)), pa.array(context, pa.binary())], names)
-
-            for i, (text, asked) in enumerate(zip(batch.column("text"), batch.column("asked"))):
-                raw = (text.as_py() or "").encode("utf-8")
-                for a in asked.as_py():
-                    part = raw[a["start"] : a["start"] + a["count"] - 1 + window]
-                    row.append(i)
-                    out.append((a["gram"], a["members"], a["times"], a["start"], a["count"]))
-                    context.append(part)
-                    held += len(part)
-                if held > 8_000_000:
-                    yield flush()
-                    row, out, context, held = [], [], [], 0
-            if row:
-                yield flush()
-
-    contexts = scratch.save(joined.mapInArrow(cut, f"doc_id {id_type}, mark int, gram bigint, members bigint, times int, start int, count int, context binary"), "contexts")
-
-    def codes(table):
-        """(row, place, hash) of each window of the contexts."""
-        raw, offsets = string_parts(table.column("context"))
-        count = table.column("count").to_numpy().astype(np.int64)
-        row = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at = offsets[row] + place
-        return row, place, mix(Rolling(PLAIN[raw]).of(at, at + window), 13)
-
-    def small(batches):
-        def emit(table):
-            row, place, code = codes(table)
-            code ^= mix(table.column("gram").to_numpy().view(np.uint64), 5)[row]
-            times = table.column("times").to_numpy()
-            values, back = np.unique(code, return_inverse=True)
-            total = np.bincount(back, times[row], len(values))
-            hit = (times[row] == 1) & (total[back] > 1)
-            # all windows of a segment hold its anchor, so what they cover together is one stretch
-            low, high = np.full(len(times), 1 << 30), np.full(len(times), -1)
-            np.minimum.at(low, row[hit], place[hit])
-            np.maximum.at(high, row[hit], place[hit])
-            keep = np.flatnonzero(high >= 0)
-            at = pa.array(keep)
-            start = table.column("start").to_numpy()[keep] + low[keep]
-            t = table.select(["doc_id", "mark"]).take(at).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array(t.column("doc_id").to_numpy(zero_copy_only=False), table.schema.field("doc_id").type, from_pandas=True), pa.array(t.column("mark").to_numpy()), pa.array(start.astype(np.int32)), pa.array((high - low + 1)[keep].astype(np.int32))], ["doc_id", "mark", "start", "count"])
-
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            g = rest.column("gram").to_numpy()
-            cut_at = len(g) if not len(g) else int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
-            if cut_at:
-                ready = rest.slice(0, cut_at)
-                edges = np.flatnonzero(np.append(True, np.diff(ready.column("gram").to_numpy()) != 0))
-                start = 0
-                for e in [*edges[1:].tolist(), cut_at]:
-                    if e - start > 4_000 or e == cut_at:
-                        yield emit(ready.slice(start, e - start))
-                        start = e
-                rest = rest.slice(cut_at)
-        if rest is not None and rest.num_rows:
-            yield emit(rest)
-
-    few = contexts.where(F.col("members") <= group_rows).repartition("gram").sortWithinPartitions("gram")
-    found = few.select("doc_id", "mark", "gram", "times", "start", "count", "context").mapInArrow(small, f"doc_id {id_type}, mark int, start int, count int")
-
-    def large(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                table = batch.slice(a, 2000)
-                row, place, code = codes(table)
-                at = pa.array(row)
-                start = (table.column("start").to_numpy()[row] + place).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").take(at), table.column("mark").take(at), pa.array(start), pa.array(code.view(np.int64)), table.column("times").take(at)], ["doc_id", "mark", "start", "code", "times"])
-
-    # a gram with very many different segments: its windows meet by their own hashes, counted before they are shuffled
-    single = contexts.where(F.col("members") > group_rows).select("doc_id", "mark", "times", "start", "count", "context").mapInArrow(large, f"doc_id {id_type}, mark int, start int, code bigint, times int")
-    again = single.groupBy("code").agg(F.sum("times").alias("total")).where("total > 1").select("code")
-    more = single.where("times = 1").join(again, "code").select("doc_id", "mark", "start", F.lit(1).alias("count"))
-    return scratch.save(_runs(whole.unionByName(found).unionByName(more)), "runs")
-
-
-def remove_byte_windows(docs: DataFrame, window: int = 400, group_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removes each byte that a string of ``window`` bytes covers which also starts anywhere else, overlaps included.
-
-    Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256. Texts are their UTF-8 bytes, null is
-    empty; strings never cross documents and are judged on the input. Every row counts, whatever its id.
-    """
-    rows = _columns(docs, id_col, text_col)
-    runs = repeated_byte_windows(rows, window, Scratch(docs.sparkSession, "bytes"), group_rows)
-
-    def make(text, runs):
-        raw = text.encode("utf-8")
-        if runs is None:
-            return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-        cover = covered(runs, len(raw), window)
-        kept = np.frombuffer(raw, np.uint8)[~cover].tobytes()
-        spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum()) if len(cover) else 0
-        return len(raw), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest()
-
-    return _finish(rows, runs, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make)
+    out = finish(rows, runs, "kept string", make)
+    text = F.when(~F.col("k_null"), F.col("kept"))
+    made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} | {c: F.col(k) for c, k in names.items()}
+    return out.select(*(made[c].alias(c) for c in docs.columns))
