@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 The plan depends on how many pieces there are of each length, at most ``max_len`` numbers, however many documents there
-are. From the longest length down, the gap that a piece leaves is looked up among single lengths, pair sums and triple
-sums with pieces left, and a combination that fills it exactly is used as often as the counts allow; where none is left,
-the gap takes the best-fitting lengths. Spark then numbers the pieces of each length and gives each its place.
+are. From the longest length down, the gap that a piece leaves is looked up in an index of the sums of one, two and three
+lengths with pieces left, and a choice that fills it exactly is used as often as the counts allow; where there is none, the
+gap takes the best-fitting length. Spark then numbers the pieces of each length and gives each its place.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from colloquy.llm._scratch import Scratch
 from colloquy.llm.bpe import WordTokenizer, byte_letters, tokenizer
 
-#: Most pieces that a Python worker keeps; the table is emptied beyond it.
-PIECES_KEPT = 400_000
+#: Most pieces that a task keeps; the table is emptied beyond it, and when the task ends.
+PIECES_KEPT = 200_000
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
@@ -61,58 +61,101 @@ class TokenBytes:
 _token_bytes: dict[str, TokenBytes] = {}
 
 
-def complement(left: np.ndarray, length: int, gap: int) -> list[int] | None:
-    """One, two or three lengths, none over ``length``, that fill the gap exactly and have pieces left."""
-    have = left[: length + 1] > 0
+class Sums:
+    """Index of the sums of one, two and three lengths that have pieces left: how many ordered choices make each sum.
 
-    def pair(total: int) -> tuple[int, int] | None:
-        if total > 2 * length:
-            return None
-        low = np.arange(total // 2, max(0, total - length - 1), -1)
-        low = low[low > 0]
-        hits = low[have[low] & have[total - low]]
-        return (int(total - hits[0]), int(hits[0])) if len(hits) else None
-
-    def fits(items: list[int]) -> bool:
-        return all(left[x] >= k for x, k in Counter([length, *items]).items())
+    A length that runs out is taken out of the index in one pass over it; pieces only ever become fewer, so a sum that no
+    choice makes stays so.
+    """
 
-    if gap <= length and fits([gap]):
-        return [gap]
-    if (two := pair(gap)) and fits([*two]):
-        return [*two]
-    for third in range(min(gap // 3, length), 0, -1):
-        if have[third] and (two := pair(gap - third)) and fits([third, *two]):
-            return [third, *two]
-    return None
+    def __init__(self, left: np.ndarray):
+        self.left, self.size = left, len(left)
+        self.one = np.zeros(self.size, np.int64)
+        self.two, self.three = self.one.copy(), self.one.copy()
+        for length in np.flatnonzero(left).tolist():
+            self.change(length, 1)
+
+    def change(self, length: int, sign: int) -> None:
+        """Puts a length in, or takes it out, of all sums."""
+        if sign < 0:
+            self.one[length] = 0
+            self.two[length:] -= 2 * self.one[: self.size - length]
+            if 2 * length < self.size:
+                self.two[2 * length] -= 1
+        self.three[length:] += sign * 3 * self.two[: self.size - length]
+        if 2 * length < self.size:
+            self.three[2 * length :] += sign * 3 * self.one[: self.size - 2 * length]
+        if 3 * length < self.size:
+            self.three[3 * length] += sign
+        if sign > 0:
+            self.two[length:] += 2 * self.one[: self.size - length]
+            if 2 * length < self.size:
+                self.two[2 * length] += 1
+            self.one[length] = 1
+
+    def take(self, use: Counter) -> int:
+        """Takes a sequence's lengths as often as they last, and says how often that is."""
+        times = min(int(self.left[x]) // k for x, k in use.items())
+        for x, k in use.items():
+            self.left[x] -= times * k
+            if not self.left[x]:
+                self.change(x, -1)
+        return times
+
+    def pair(self, spare: np.ndarray, total: int) -> list[int]:
+        if total < 2 or not self.two[total]:
+            return []
+        low = np.arange(total // 2, 0, -1)
+        hit = low[(spare[low] > 0) & (spare[total - low] > (2 * low == total))]
+        return [int(total - hit[0]), int(hit[0])] if len(hit) else []
+
+    def exact(self, used: Counter, gap: int) -> list[int]:
+        """One, two or three lengths that fill the gap beside those used, whichever have pieces left; empty if none do."""
+        if not (self.one[gap] or self.two[gap] or self.three[gap]):
+            return []
+        spare = self.left.copy()
+        for x, k in used.items():
+            spare[x] -= k
+        if spare[gap] > 0:
+            return [gap]
+        if two := self.pair(spare, gap):
+            return two
+        if self.three[gap]:
+            third = np.arange(gap // 3, 0, -1)
+            for x in third[(spare[third] > 0) & (self.two[gap - third] > 0)].tolist():
+                spare[x] -= 1
+                if two := self.pair(spare, gap - x):
+                    return [x, *two]
+                spare[x] += 1
+        return []
+
+    def largest(self, used: Counter, gap: int) -> int:
+        """The longest length that fits the gap beside those used, or 0."""
+        fits = np.flatnonzero(self.one[: gap + 1])
+        return next((int(x) for x in fits[::-1] if self.left[x] > used[int(x)]), 0)
 
 
 def plan(counts: dict[int, int], max_len: int) -> list[tuple[int, list[int]]]:
-    """(how many sequences, the lengths in each) for pieces counted by length."""
+    """(how many sequences, the lengths in each) for pieces counted by length.
+
+    From the longest length down: its gap is filled exactly if any choice can, else by the longest length that fits, whose
+    own gap is looked up again.
+    """
     left = np.zeros(max_len + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    out = []
+    sums, out = Sums(left), []
     for length in range(max_len, 0, -1):
-        exact = True
         while left[length] > 0:
-            gap = max_len - length
-            items = complement(left, length, gap) if gap and exact else [] if not gap else None
-            if items is None:
-                exact = False
-                items, used = [], Counter([length])
-                while gap > 0:
-                    near = np.flatnonzero(left[1 : min(gap, length) + 1]) + 1
-                    best = next((int(x) for x in near[::-1] if left[x] > used[int(x)]), 0)
-                    if not best:
-                        break
-                    items.append(best)
-                    used[best] += 1
-                    gap -= best
-            use = Counter([length, *items])
-            times = min(int(left[x]) // k for x, k in use.items())
-            for x, k in use.items():
-                left[x] -= times * k
-            out.append((times, [length, *items]))
+            items, gap = [length], max_len - length
+            while gap > 0:
+                used = Counter(items)
+                more = sums.exact(used, gap) or [x for x in [sums.largest(used, gap)] if x]
+                if not more:
+                    break
+                items += more
+                gap -= sum(more)
+            out.append((sums.take(Counter(items)), items))
     return out
 
 
@@ -148,6 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
                 [batch.column("doc_id").take(pa.array(rows["at"], pa.int64())), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[k], pa.int64()) for k in ("start", "length", "crc")), pa.array([part] * n, pa.int32()), pa.array(rows["nth"], pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
             )
+        tokens.table.clear()
 
     schema = PIECES.format(id=kept.schema["doc_id"].dataType.simpleString())
     pieces = Scratch(spark, "packing").save(kept.mapInArrow(cut, schema), "pieces")

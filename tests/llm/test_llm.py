@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from colloquy.llm import ann, bpe, components, jaccard, language, packing, spotsigs, substring, warc
+from colloquy.llm import ann, bpe, components, jaccard, language, packing, spotsigs, substring, suffix, warc
 from colloquy.llm._scratch import Scratch
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -130,19 +130,56 @@ def test_word_windows(spark, small, window):
     assert substring.remove_word_windows(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("window", "group_rows"), [(400, 4000), (40, 2)])
-def test_byte_windows(spark, small, window, group_rows):
-    raw = [(t or "").encode() for t in documents(spark, small, 80)]
+def removed_bytes(raw, window):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each text, by counting every string."""
     counts = collections.Counter(b[i : i + window] for b in raw for i in range(len(b) - window + 1))
-    rows = {r["doc_id"]: r for r in substring.remove_byte_windows(frame(spark, [b.decode() for b in raw]), window, group_rows).collect()}
-    for k, b in enumerate(raw):
+    out = []
+    for b in raw:
         gone = bytearray(len(b))
         for i in range(len(b) - window + 1):
             if counts[b[i : i + window]] > 1:
                 gone[i : i + window] = b"\1" * window
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        assert (rows[k]["n_bytes"], rows[k]["n_removed"], rows[k]["n_spans"], rows[k]["kept_sha256"]) == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
-    assert substring.remove_byte_windows(empty(spark)).count() == 0
+        out.append((len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def bytes_of(row):
+    return row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]
+
+
+@pytest.mark.parametrize(("window", "group_rows"), [(400, 4000), (40, 2), (40, 4000), (7, 4000), (2, 4000)])
+def test_byte_windows(spark, small, window, group_rows):
+    texts = documents(spark, small, 80 if window > 30 else 20)
+    texts += ["ab" * 700, "ba" * 300 + "c", "x" * 900, "y" + "x" * 450, texts[4][:700] + texts[6][-700:]]
+    rows = {r["doc_id"]: bytes_of(r) for r in suffix.remove_byte_windows(frame(spark, texts, extra=True), window, group_rows).collect()}
+    assert rows == dict(enumerate(removed_bytes([(t or "").encode() for t in texts], window)))
+    assert suffix.remove_byte_windows(empty(spark)).count() == 0
+
+
+def test_byte_windows_of_a_whole_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    ids, texts = zip(*[(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()])
+    rows = {r["doc_id"]: bytes_of(r) for r in suffix.remove_byte_windows(docs).collect()}
+    assert rows == dict(zip(ids, removed_bytes([t.encode() for t in texts], 400)))
+
+
+def test_byte_windows_of_odd_rows(spark, small):
+    """Null and repeated ids, repeated rows, null texts."""
+    texts = documents(spark, small, 12)
+    long = max((t for t in texts if t), key=len)
+    rows = [(None, long), (None, long), (None, texts[3]), (1, texts[3]), (1, "tail " + texts[3]), (2, None), (2, texts[5]), (2, texts[5]), (2, texts[5]), (None, None), (3, "short")]
+    got = sorted((str(r["doc_id"]), *bytes_of(r)) for r in suffix.remove_byte_windows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 60).collect())
+    assert got == sorted((str(i), *b) for (i, _), b in zip(rows, removed_bytes([(t or "").encode() for _, t in rows], 60)))
+
+
+def test_longest_copied(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+    passage, line = word(56), word(15)
+    texts = [word(200) + passage, word(100), word(80) + " " + passage + " " + word(80), word(90) + line, line + word(60)]
+    got = {r["doc_id"]: r["longest_copied"] for r in suffix.remove_byte_windows(frame(spark, texts)).collect()}
+    assert got[0] == got[1] == got[3] == 0 and got[2] > 100 > got[4]
 
 
 def test_packing(spark, small):
@@ -171,6 +208,49 @@ def test_packing(spark, small):
     assert packing.pack(empty(spark), BYTE).count() == 0
 
 
+def fewest(items, size):
+    """The fewest sequences that hold the items, by trying all ways."""
+    items, best, least = sorted(items, reverse=True), [len(items)], -(-sum(items) // size)
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in {have: b for b, have in enumerate(bins) if have + items[i] <= size}.values():
+            bins[b] += items[i]
+            go(i + 1, bins)
+            bins[b] -= items[i]
+            if best[0] == least:
+                return
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plan_is_best_for_few_pieces():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        items = rng.integers(1, 21, rng.integers(1, 12)).tolist()
+        assert sum(times for times, _ in packing.plan(collections.Counter(items), 20)) == fewest(items, 20), items
+
+
+def test_sums_follow_the_counts():
+    rng = np.random.default_rng(7)
+    left = np.zeros(50, np.int64)
+    left[rng.integers(1, 50, 14)] = 2
+    sums = packing.Sums(left)
+    while True:
+        have = (left > 0).astype(np.int64)
+        two = np.convolve(have, have)[:50]
+        assert (sums.one == have).all() and (sums.two == two).all() and (sums.three == np.convolve(two, have)[:50]).all()
+        if not have.any():
+            break
+        sums.take(collections.Counter({int(rng.choice(np.flatnonzero(left))): 1}))
+
+
 def test_plan_is_whole():
     rng = np.random.default_rng(2)
     for _ in range(20):
