@@ -7,8 +7,7 @@ forward-backward gives. A text's words are labelled by the same forward-backward
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,8 @@ SLOTS = 1 << 18
 WIDTH = 24
 #: The messages are scaled at every so many words.
 SCALED = 4
-KEPT = 300_000
+#: Most pieces whose scores a task keeps.
+KEPT = 100_000
 UNKNOWN = "und"
 
 
@@ -81,7 +81,6 @@ class Crf:
     weights: np.ndarray
     moves: np.ndarray
     start: np.ndarray
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, (n, labels)."""
@@ -222,7 +221,7 @@ class _Pieces(dict):
 
 
 class _Tagger:
-    """Emission scores of words, kept for each Python worker."""
+    """Emission scores of words, kept while a task runs: workers are reused, and another stage needs their memory."""
 
     def __init__(self, model: Crf):
         self.model = model
@@ -269,17 +268,6 @@ class _Tagger:
             out[i] = gamma[row, : lengths[row]]
 
 
-_taggers: dict[str, _Tagger] = {}
-
-
-def tagger_of(model: Crf) -> _Tagger:
-    """The tagger of a model, one for each Python worker; another model's is dropped."""
-    if model.name not in _taggers:
-        _taggers.clear()
-        _taggers[model.name] = _Tagger(model)
-    return _taggers[model.name]
-
-
 def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """The language of every whole text: the label with the highest mean probability over its words, and that mean.
 
@@ -290,7 +278,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     fields = [("doc_id", kept.schema["doc_id"].dataType.simpleString()), ("lang_pred", "string"), ("score", "double")] + [("word_labels", "array<string>")] * words
 
     def run(batches):
-        tagger = tagger_of(model)
+        tagger = _Tagger(model)
         for batch in batches:
             text = batch.column("text").to_pylist()
             for i in range(0, len(text), 500):
@@ -317,14 +305,15 @@ def cross_check(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Crf, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows, columns as they are, whose text has a letter and a language with at least this score."""
+    """The rows, columns as they are, whose text has a letter and whose words' likeliest languages have at least this mean
+    probability: words of several languages that are each sure count as known."""
     names = docs.columns
 
     def run(batches):
-        tagger = tagger_of(model)
+        tagger = _Tagger(model)
         for batch in batches:
             text = batch.column(text_col).to_pylist()
-            keep = [len(g) > 0 and g.shape[1] > 0 and float(g.mean(0, dtype=np.float64).max()) >= least_score for i in range(0, len(text), 500) for g in tagger.documents([t or "" for t in text[i : i + 500]])]
+            keep = [len(g) > 0 and g.shape[1] > 0 and float(g.max(1).mean(dtype=np.float64)) >= least_score for i in range(0, len(text), 500) for g in tagger.documents([t or "" for t in text[i : i + 500]])]
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
     return docs.mapInArrow(run, docs.schema)
