@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most different lengths of vectors, for each of which the driver holds pivots; more are an error.
+MOST_DIMS = 1000
+
+
 def lists(vectors: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     """For each vector, its closest pivots in order; ties to the earlier pivot."""
     d = (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T
@@ -42,7 +46,7 @@ class PivotFiles:
         return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, near: int = 64, share: float = 0.25, least: int = 400, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, near: int = 64, share: float = 0.25, least: int = 400, block_rows: int = 4096, query_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest found for each query among all rows of ``vectors`` but those with its id.
 
     Columns: query_id, rank (from 1), vec_id, score (Euclidean distance, double precision). Ties go to the smaller id; all
@@ -50,7 +54,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 2
     least ``least`` vectors. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
     null ids. Vectors of different length are never compared. Rows with the same vector count as one in the index and are
     told apart afterwards by their k + 1 smallest ids, so a vector that a third of all rows share costs as much as any
-    other; a row repeated with its id counts once.
+    other; a row repeated with its id counts once. A task holds ``block_rows`` vectors and ``query_rows`` queries, about.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
@@ -64,14 +68,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 2
     salted = Window.partitionBy("vector", "salt").orderBy("id")
     ranked = base.dropDuplicates(["id", "vector"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
     distinct = ranked.withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    dims = {r["d"]: r["n"] for r in base.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(1000).collect()}
+    dims = {r["d"]: r["n"] for r in base.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(MOST_DIMS + 1).collect()}
+    if len(dims) > MOST_DIMS:
+        raise ValueError(f"vectors of more than {MOST_DIMS} different lengths")
     schema = f"query_id {id_type}, vec_id {id_type}, score double"
     if not dims:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
     pivot_sets = {d: np.array([r["vector"] for r in base.where(F.size("vector") == d).select("vector", F.xxhash64("vector").alias("h")).distinct().orderBy("h", "vector").limit(pivots).collect()], float) for d in dims}
     blocks = F.create_map(*[F.lit(x) for d, n in dims.items() for x in (d, max(1, -(-n // block_rows)))])
     cells = distinct.withColumn("dim", F.size("vector")).withColumn("block", F.pmod(F.xxhash64("vector"), blocks[F.size("vector")]).cast("int"))
-    asked = usable(queries).withColumn("dim", F.size("vector")).where(F.col("dim").isin(list(dims))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("dim")] - 1)))
+    wanted = usable(queries)
+    tiles = max(1, -(-wanted.count() // query_rows))
+    if tiles > 1:
+        cells = cells.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    else:
+        cells = cells.withColumn("tile", F.lit(0))
+    asked = wanted.withColumns({"dim": F.size("vector"), "tile": F.pmod(F.xxhash64("id", "vector"), F.lit(tiles)).cast("int")}).where(F.col("dim").isin(list(dims))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("dim")] - 1)))
 
     def search(members: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out_q, out_v, out_s = [], [], []
@@ -93,6 +105,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 2
                 out_s += [s for s, _ in found]
         return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": np.array(out_s, float)})
 
-    found = cells.groupBy("dim", "block").cogroup(asked.groupBy("dim", "block")).applyInPandas(search, schema)
+    found = cells.groupBy("dim", "block", "tile").cogroup(asked.groupBy("dim", "block", "tile")).applyInPandas(search, schema)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
