@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from colloquy.llm import jaccard, language, packing, substring
 from colloquy.llm._scratch import Scratch
 
-#: A document is rejected if no language has this mean probability over its words.
+#: A document is rejected if its words' likeliest languages have a lower mean probability.
 LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those of no clear language. Null texts go too."""
+    """Rejects documents without a letter, and those whose words are of no known language. Null texts go too."""
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.fit(labelled.where(F.col("doc_id").isNotNull() & ~language.held_out(labelled["doc_id"])))
     return language.keep_known(docs, model, LEAST_SCORE)
