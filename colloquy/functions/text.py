@@ -186,15 +186,26 @@ SAID_AGAIN = r"(?<!\S)(?:(\S++)(?: \1(?!\S))++|(\S++ \S++) \2(?!\S)(?: \2(?= ))*
 def clean_repetitive(text: Column) -> Column:
     """A transcript without stock phrases, repeated words and phrases; empty if it is mostly repetition. Texts of one or two
     words stay."""
-    once = F.regexp_replace(F.array_join(collapse_repeats(all_words(text)), " "), SAID_TWICE, "$1$2$3$4")
-    low = F.split(F.lower(once), " ")
-    mostly = (F.size(low) >= 4) & ((F.size(low) - F.size(F.array_distinct(low))) / F.size(low) > 0.7)
-    return F.when((text == "") | is_meaningless(text) | (mostly & (F.size(all_words(text)) >= 3)), "").when(F.size(all_words(text)) < 3, text).otherwise(once)
+    def cleaned(words):
+        once = F.regexp_replace(F.array_join(collapse_repeats(words), " "), SAID_TWICE, "$1$2$3$4")
+        return F.when(F.size(words) < 3, text).otherwise(bound(F.split(once, " "), kept))
+
+    def kept(words):
+        low = F.transform(words, F.lower)
+        mostly = (F.size(words) >= 4) & ((F.size(words) - F.size(F.array_distinct(low))) / F.size(words) > 0.7)
+        return F.when(mostly, "").otherwise(F.array_join(words, " "))
+
+    return F.when((text == "") | is_meaningless(text), "").otherwise(bound(all_words(text), cleaned))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def drop_pair_repeats(text: Column) -> Column:
     """The background cleaner's rule: repeated words become one, and so do repeated pairs. Texts under four words stay."""
-    return F.when(F.size(all_words(text)) < 4, text).otherwise(F.regexp_replace(F.array_join(all_words(text), " "), SAID_AGAIN, "$1$2"))
+    return bound(all_words(text), lambda words: F.when(F.size(words) < 4, text).otherwise(F.regexp_replace(F.array_join(words, " "), SAID_AGAIN, "$1$2")))
 
 
 def post_process(text: Column, partial: Column) -> Column:
