@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm._bitset import filter_rows, set_bits, slot_of
@@ -21,7 +21,7 @@ from colloquy.llm.components import components
 
 #: Ratio of the size bands, and parts above the least number, so that a few empty parts do not count.
 BAND, SPARE = 1.5, 6
-BITMAP_LONGS = 16
+BITMAP_LONGS, MOST_LONGS = 16, 2048
 _edges = [1]
 while _edges[-1] < 1 << 40:
     _edges.append(max(_edges[-1] + 1, int(_edges[-1] * BAND)))
@@ -84,12 +84,18 @@ def parts_of(numbers: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bitmap_of(numbers: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_LONGS * 64, bool)
-    bits[(numbers & np.uint64(BITMAP_LONGS * 64 - 1)).astype(np.int64)] = True
+def bitmap_of(numbers: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
+    bits = np.zeros(longs * 64, bool)
+    bits[(numbers & np.uint64(longs * 64 - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def wide_bitmap_of(numbers: np.ndarray) -> np.ndarray | None:
+    """A bitmap of two bits and more for each number, if the plain one has fewer: full bitmaps bound nothing."""
+    longs = 1 << max(0, int(2 * len(numbers) - 1).bit_length() - 6)
+    return bitmap_of(numbers, min(longs, MOST_LONGS)) if longs > BITMAP_LONGS else None
+
+
 def _per_document(width: int, make, names: list[str], sets_of, wanted=None):
     """An Arrow function that calls make(id column, set list) over bounded runs of rows; with ``wanted``, only of rows
     whose column ``slot`` it wants."""
@@ -117,6 +123,13 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray)
     return np.minimum(nx - only_x, ny - only_y)
 
 
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    """Whether two bitmaps of one length, of sets of ``na`` and ``nb`` numbers, leave enough overlap."""
+    only = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, v: s + v)
+    top = F.least(F.col("na") - only(x, y), F.col("nb") - only(y, x))
+    return 100 * top >= percent * (F.col("na") + F.col("nb") - top)
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -197,9 +210,9 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     id_type = kept.schema["doc_id"].dataType.simpleString()
 
     def names(ids, sets):
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap_of(s) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap_of(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([wide_bitmap_of(s) for s in sets], pa.list_(pa.int64()))]
 
-    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node", "bits"], sets_of), f"doc_id {id_type}, n_shingles bigint, node bigint, bits array<bigint>"), "nodes")
+    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node", "bits", "wide"], sets_of), f"doc_id {id_type}, n_shingles bigint, node bigint, bits array<bigint>, wide array<bigint>"), "nodes")
     # the document with the smallest id stands for all with its set; the others are left out of all that follows
     known = nodes.where("doc_id is not null and node is not null")
     least = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "least")
@@ -242,12 +255,20 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         scratch.drop(f"{name}-asked", f"{name}-sets")
         return links
 
-    described = first_pairs
-    for side in ("a", "b"):
-        described = described.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
-    top = F.least(F.col("na") - only("bitsa", "bitsb"), F.col("nb") - only("bitsb", "bitsa"))
-    links = exact(scratch.save(described.where(100 * top >= percent * (F.col("na") + F.col("nb") - top)).select("a", "b"), "bounded"), "links")
+    def bounded(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that sizes and bitmaps don't rule out."""
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"), F.col("wide").alias(f"wide{side}")), side)
+        possible = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(_may_be_similar("bitsa", "bitsb", percent))
+        halved = lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda p, q: p.bitwiseOR(q))
+        # bitmaps of linked sets are of the same length, or one is of twice the other's
+        x = F.when(F.size("widea") == 2 * F.size("wideb"), halved("widea")).otherwise(F.col("widea"))
+        y = F.when(F.size("wideb") == 2 * F.size("widea"), halved("wideb")).otherwise(F.col("wideb"))
+        possible = possible.withColumns({"widea": x, "wideb": y})
+        unknown = F.coalesce(F.size("widea") != F.size("wideb"), F.lit(True)) | F.col("widea").isNull() | F.col("wideb").isNull()
+        return scratch.save(possible.where(unknown | _may_be_similar("widea", "wideb", percent)).select("a", "b"), name)
+
+    links = exact(bounded(first_pairs, "bounded"), "links")
     joined = components(links, scratch, "first")
 
     # groups with members that are still apart: compare those not yet compared
@@ -260,7 +281,9 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     rest = scratch.save(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
     scratch.drop("members", "central", "pairs", "bounded")
     if rest.take(1):
-        joined = components(links.unionByName(exact(rest, "more")), scratch, "second")
+        more = exact(bounded(rest, "more-bounded"), "more")
+        if more.take(1):
+            joined = components(links.unionByName(more), scratch, "second")
 
     # the smallest id of each set's component; sets without links have their own
     placed = least.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
