@@ -31,7 +31,7 @@ class Sampling:
         if window < 2:
             raise ValueError("strings of two bytes at least")
         self.window = window
-        self.reach = max(1, window // 6)
+        self.reach = max(1, window // 5)
         self.gram = max(1, min(16, window // 25))
         #: A run of phrases from the first position that is surely kept is within the string up to this length.
         self.threshold = window - self.gram - 3 * self.reach + 3
@@ -68,13 +68,13 @@ class Suffixes:
         return out
 
 
-def _suffixes(batch: pa.RecordBatch, how: Sampling):
-    """(row, suffixes) of each text that holds a string of the window's size."""
+def _suffixes(batch: pa.RecordBatch, how: Sampling, longest: int):
+    """(row, suffixes) of each text that holds a string of the window's size; slices are named up to ``longest`` bytes."""
     raw, offsets = string_parts(batch.column("text"))
     for a, b in chunks(offsets):
         if offsets[b] - offsets[a] < how.window:
             continue
-        names = Names(LETTERS[raw[offsets[a] : offsets[b]]], how.window + how.reach)
+        names = Names(LETTERS[raw[offsets[a] : offsets[b]]], longest)
         grams = mix(names.windows(how.gram), how.gram)
         for row in range(a, b):
             size = int(offsets[row + 1] - offsets[row])
@@ -110,7 +110,7 @@ def repeated_strings(keyed: DataFrame, how: Sampling, scratch: Scratch, group_ro
             for batch in batches:
                 batch = left(batch, bits)
                 times, found, held = batch.column("times").to_numpy(), [], 0
-                for row, s in _suffixes(batch, how):
+                for row, s in _suffixes(batch, how, 2 * max(how.reach, how.gram)):
                     found.append(np.repeat(s.rank, times[row]))
                     held += len(found[-1])
                     if held > 500_000:
@@ -136,7 +136,7 @@ def repeated_strings(keyed: DataFrame, how: Sampling, scratch: Scratch, group_ro
                     own = [batch.column(c).take(at) for c in ("key", "id", "times")]
                     return pa.RecordBatch.from_arrays(own + [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, kinds)], ["key", "id", "times", *COLUMNS])
 
-                for r, s in _suffixes(batch, how):
+                for r, s in _suffixes(batch, how, how.window + how.reach):
                     pick = np.flatnonzero(shared.value.among(s.rank))
                     if len(pick):
                         row.append((r, len(pick)))
@@ -296,7 +296,7 @@ def remove_byte_windows(docs: DataFrame, window: int = 400, group_rows: int = 4_
     """Removes each byte that a string of ``window`` bytes covers which also starts anywhere else, overlaps included.
 
     Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and longest_copied: the length of the
-    longest stretch covered by strings of two phrases, some ``window`` / 6 bytes each, that also start in a document with a
+    longest stretch covered by strings of two phrases, some ``window`` / 5 bytes each, that also start in a document with a
     smaller id. Texts are their UTF-8 bytes, null is empty; strings never cross documents and are judged on the input. Every
     row counts, whatever its id: repeated and null ids, and repeated rows. Shorter texts keep everything.
     """
