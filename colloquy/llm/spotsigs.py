@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import jaccard
-from colloquy.llm._text import mix
+from colloquy.llm._text import CHUNK, Words, mix
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -28,72 +29,84 @@ ANCHORS = frozenset(
     "aber als am auch auf aus bei das dass dem den der des die doch ein eine einem einen einer er es für hat ich im ist mit nach nicht noch nur oder sich sie sind so und von war wie wir zu zum zur "
     "al como con del el ella en es esta este fue ha las lo los más me mi no nos o para pero por se si sin su sus también te un una y ya yo".split()
 )
-#: Most different words that a Python worker keeps.
-KEPT = 150_000
+#: What a word leaves out: all but letters and digits.
+DROPPED = re.compile(r"[^\w\s]+|_+")
+#: ASCII and Latin letters: of these texts only ASCII characters can be dropped.
+_LATIN = re.compile("[\\x00-\\x7f\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]*")
+_ASCII_DROPPED = bytes(c for c in range(128) if not chr(c).isalnum() and not chr(c).isspace())
+_ASCII_BLANK = bytes(0x20 if c < 128 and chr(c).isspace() else c for c in range(256))
+
+
+def clean(text: str) -> bytes:
+    """The text's words between blanks: in lower case, letters and digits only."""
+    low = text.lower()
+    if low.isascii() or _LATIN.fullmatch(low):
+        return low.encode().translate(_ASCII_BLANK, _ASCII_DROPPED)
+    return " ".join(DROPPED.sub("", low).split()).encode("utf-8", "replace")
+
+
+def word_codes(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    return Words(np.frombuffer(b" ".join(raw), np.uint8), np.array([0, sum(map(len, raw)) + len(raw) - 1])).hash
 
 
 class Spots:
-    """Turns texts into fingerprints; one for each Python worker."""
+    """Turns texts into fingerprints."""
 
     def __init__(self, chain: int = 2):
         self.chain = chain
-        self.number: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.number.clear()
-        self.used = 1
-        self.codes = np.zeros(1 << 12, np.uint64)
-        self.kinds = np.zeros(1 << 12, np.int8)
-
-    def look(self, piece: str) -> int:
-        """The number of a new piece: 0 if it has no letter or digit."""
-        word = "".join(filter(str.isalnum, piece.lower()))
-        if not word:
-            self.number[piece] = 0
-            return 0
-        n = self.number[piece] = self.used
-        if n == len(self.codes):
-            self.codes, self.kinds = np.resize(self.codes, 2 * n), np.resize(self.kinds, 2 * n)
-        self.codes[n] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        self.kinds[n] = 1 if word in ANCHORS else 2
-        self.used += 1
-        return n
+        self.anchors = np.sort(word_codes(sorted(ANCHORS)))
 
     def numbers(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of a text's chains.
+        return self.sets([text])[0]
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Sorted distinct hashes of each text's chains.
 
         Without an anchor before a content word, every word begins a chain; without words, the text is its own chain.
         """
-        if self.used > KEPT:
-            self.clear()
-        pieces = text.split()
-        get = self.number.get
-        found = [get(p, -1) for p in pieces]
-        at = np.array(found, np.int32)
-        for i in np.flatnonzero(at < 0).tolist():
-            at[i] = get(pieces[i], -1)
-            if at[i] < 0:
-                at[i] = self.look(pieces[i])
-        at = at[at > 0]
-        if not len(at):
-            return np.unique(np.frombuffer(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=4).digest(), np.uint32)) if text else np.zeros(0, np.uint32)
-        codes, kinds = self.codes[at], self.kinds[at]
-        content = np.flatnonzero(kinds == 2)
-        anchor = np.flatnonzero(kinds == 1)
+        out, part, size = [], [], 0
+        for text in [*texts, None]:
+            if part and (text is None or size + len(text) > CHUNK):
+                raw = [clean(t) for t in part]
+                offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+                out += self.some(part, Words(np.frombuffer(b"".join(raw), np.uint8), offsets))
+                part, size = [], 0
+            if text is not None:
+                part.append(text)
+                size += len(text)
+        return out
+
+    def some(self, texts: list[str], words: Words) -> list[np.ndarray]:
+        codes, first = words.hash, words.first
+        text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+        common = self.anchors[np.minimum(np.searchsorted(self.anchors, codes), len(self.anchors) - 1)] == codes
+        content, anchor = np.flatnonzero(~common), np.flatnonzero(common)
         head = np.searchsorted(content, anchor)
-        keep = head < len(content)
-        anchor, head = anchor[keep], head[keep]
-        if len(anchor):
-            chain, first = codes[content], codes[anchor]
-        else:
-            chain, first, head = codes, np.zeros(len(codes), np.uint64), np.arange(len(codes))
-        h = mix(first)
+        owner = np.append(text_of[content], -1)
+        begins = owner[head] == text_of[anchor]
+        anchor, head = anchor[begins], head[begins]
+        hashes = self.chains(codes[anchor], np.append(codes[content], np.uint64(0)), head, owner, text_of[anchor])
+        edges = np.searchsorted(text_of[anchor], np.arange(len(texts) + 1)).tolist()
+        out = []
+        for i, text in enumerate(texts):
+            if edges[i] < edges[i + 1]:
+                out.append(np.unique(hashes[edges[i] : edges[i + 1]]))
+            elif first[i] < first[i + 1]:
+                own = codes[first[i] : first[i + 1]]
+                n = len(own)
+                out.append(np.unique(self.chains(np.zeros(n, np.uint64), np.append(own, np.uint64(0)), np.arange(n), np.append(np.zeros(n, int), -1), np.zeros(n, int))))
+            else:
+                out.append(np.unique(np.frombuffer(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=4).digest(), np.uint32)) if text else np.zeros(0, np.uint32))
+        return out
+
+    def chains(self, start: np.ndarray, codes: np.ndarray, head: np.ndarray, owner: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Hashes of a first code and the ``chain`` codes from ``head`` on, as far as they are of the same text."""
+        h = mix(start)
         for step in range(self.chain):
-            place = head + step
-            inside = place < len(chain)
-            h = mix(h ^ np.where(inside, chain[np.minimum(place, len(chain) - 1)], np.uint64(step + 1)))
-        return np.unique((h >> np.uint64(32)).astype(np.uint32))
+            place = np.minimum(head + step, len(codes) - 1)
+            h = mix(h ^ np.where(owner[place] == text, codes[place], np.uint64(step + 1)))
+        return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def encode(numbers: np.ndarray) -> str:
@@ -126,7 +139,7 @@ def fingerprints(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", text_c
     def run(batches):
         s = spots(chain)
         for batch in batches:
-            sets = [s.numbers(t.as_py() or "") for t in batch.column("text")]
+            sets = s.sets([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encode(x) for x in sets], pa.string()), pa.array([len(x) for x in sets], pa.int64())], ["doc_id", "fingerprint", "n_chains"])
 
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fingerprint string, n_chains bigint")
@@ -146,7 +159,7 @@ def near_copies(docs: DataFrame, percent: int = 80, chain: int = 2, tile_rows: i
 
     def sets_of(raw, offsets, width):
         s = spots(chain)
-        return [hashes(s.numbers(raw[a:b].tobytes().decode("utf-8"))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return [hashes(x) for x in s.sets([raw[a:b].tobytes().decode("utf-8") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])]
 
     out = jaccard.linked_components(docs, 0, percent, tile_rows, id_col, text_col, sets_of)
     return out.select("doc_id", F.col("n_shingles").alias("n_chains"), F.col("component_id").alias("class_id"), "node")
@@ -215,29 +228,26 @@ def compare_with_next(docs: DataFrame, chain: int = 2, id_col: str = "doc_id", t
         s = spots(chain)
         names = [f.split(" ")[0] for f in out.split(", ")]
         before, told_of, told = None, None, {}
-        for batch in batches:
-            made: list[list] = [[] for _ in names]
-            for doc_id, packed, last, block, node, other_class in zip(*(batch.column(c) for c in ("doc_id", "packed", "end", "range", "node", "class_id"))):
-                if node.is_valid:
-                    if told_of != doc_id.as_py():
-                        told_of, told = doc_id.as_py(), {}
-                    told[node.as_py()] = other_class.as_py()
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "end", "range", "node", "class_id"))))
+            texts = [zlib.decompress(packed).decode() for _, packed, _, _, node, _ in rows if node is None]
+            ready, pairs = iter(zip(texts, s.sets(texts))), []
+            for doc_id, _, last, block, node, other_class in rows:
+                if node is not None:
+                    if told_of != doc_id:
+                        told_of, told = doc_id, {}
+                    told[node] = other_class
                     continue
-                now = zlib.decompress(packed.as_py()).decode()
-                numbers = s.numbers(now)
-                if before is not None and before[3] == block.as_py():
-                    old_id, old, old_numbers, _, old_class = before
-                    other = edited(old, now)
-                    other_numbers = s.numbers(other)
-                    row = (old_id, len(old), hashlib.sha256(other.encode()).hexdigest(), encode(old_numbers), encode(other_numbers), likeness(old_numbers, other_numbers), likeness(old_numbers, numbers), old_class)
-                    for column, value in zip(made, row):
-                        column.append(value)
-                own = doc_id.as_py()
-                if told and told_of == own and len(numbers):
-                    own_class = told.get(jaccard.node_of(hashes(numbers)), own)
-                else:
-                    own_class = own
-                before = None if last.as_py() else (own, now, numbers, block.as_py(), own_class)
+                now, numbers = next(ready)
+                if before is not None and before[3] == block:
+                    pairs.append((*before[:3], before[4], edited(before[1], now), numbers))
+                own_class = told.get(jaccard.node_of(hashes(numbers)), doc_id) if told and told_of == doc_id and len(numbers) else doc_id
+                before = None if last else (doc_id, now, numbers, block, own_class)
+            made: list[list] = [[] for _ in names]
+            for (old_id, old, old_numbers, old_class, other, numbers), other_numbers in zip(pairs, s.sets([p[4] for p in pairs])):
+                row = (old_id, len(old), hashlib.sha256(other.encode()).hexdigest(), encode(old_numbers), encode(other_numbers), likeness(old_numbers, other_numbers), likeness(old_numbers, numbers), old_class)
+                for column, value in zip(made, row):
+                    column.append(value)
             types = [batch.column("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), batch.column("doc_id").type][: len(names)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, types)], names)
 

@@ -1,6 +1,5 @@
 """Cases that each operator defines: colliding sums, clashing columns, null and repeated ids, other kinds of ids."""
 
-import hashlib
 import re
 import zlib
 
@@ -58,7 +57,7 @@ ANCHORED = re.compile(r"\S+")
 def chains(text, size=2):
     """A text's chains by the rule, as hashes: the words behind each common word."""
     words = [w for w in ("".join(c for c in p.lower() if c.isalnum()) for p in text.split()) if w]
-    code = lambda w: np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")], np.uint64)
+    code = lambda w: Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hash
     content = [i for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
     heads = [(code(words[i]), [words[j] for j in content if j > i][:size]) for i in range(len(words)) if words[i] in spotsigs.ANCHORS]
     heads = [h for h in heads if h[1]] or [(np.zeros(1, np.uint64), words[i : i + size]) for i in range(len(words))]
@@ -71,9 +70,11 @@ def chains(text, size=2):
     return out
 
 
-@pytest.mark.parametrize("text", ["The cat sat on the mat", "the of and", "plain content words only", "a", "x the", "The, QUICK! (brown) of fox and the the dog", "le chat et la souris — 42 ans", "the cat the cat the cat"])
+@pytest.mark.parametrize("text", ["The cat sat on the mat", "the of and", "plain content words only", "a", "x the", "The, QUICK! (brown) of fox and the the dog", "le chat et la souris — 42 ans", "the cat the cat the cat", "snake_case of the_cat in_the \u2014 hat", "ΣΑΣ der Straße İ ½ x\u00a0the y"])
 def test_chains_follow_the_rule(text):
     assert set(spotsigs.Spots().numbers(text).tolist()) == chains(text)
+    # together with other texts as alone
+    assert [set(x.tolist()) for x in spotsigs.Spots().sets(["", "the other text", text, "?!", text])] == [set(), chains("the other text"), chains(text), set(spotsigs.Spots().numbers("?!").tolist()), chains(text)]
 
 
 def test_ids_of_other_kinds(spark):
