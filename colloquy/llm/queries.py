@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import ann, bpe, jaccard, language, licenses, packing, spotsigs, substring, suffix, warc
+from colloquy.llm import ann, bpe, jaccard, language, licenses, packing, spelling, spotsigs, substring, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.cross_check(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id, op13_spelling_variants)}
 
 
 #: Of the archives' records: what the pages say.
@@ -73,5 +77,31 @@ from p left join f on p.h = f.h
 """
 
 
+#: The crc32 table and, with it, the unsigned crc32 of {text}; {table} is a column with the table.
+CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce([n::ubigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end)) crc_of"
+CRC = "xor(4294967295::ubigint, list_reduce(list_concat([4294967295::ubigint], list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::ubigint)), lambda a, b: xor(crc_of[((xor(a, b) & 255) + 1)::bigint], a >> 8)))"
+
+#: Words one letter apart share what is left when a letter is taken out of one or both.
+OP13_SQL = f"""
+with recursive crc as ({CRC_TABLE}),
+     runs as (select coalesce(doc_id::varchar, '') || ':' id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run from documents),
+     each as (select id || run t, run, count(*) n from runs group by all),
+     coded as (select run, n, {CRC.format(text="t")} h from each, crc),
+     words as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, sum(n)::bigint n from coded group by 1),
+     v as (select word, n from words where length(word) >= 7 and n >= 2),
+     cut as (select word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) rest from (select word, n, unnest(range(1, length(word) + 1)) k from v)),
+     pairs as (select a.word, b.word other, b.n from cut a join cut b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+               union select a.word, b.word, b.n from cut a join v b on a.rest = b.word
+               union select b.word, a.word, a.n from cut a join v b on a.rest = b.word),
+     near as (select word, count(*) n_near, max(n) best_n from pairs group by word),
+     best as (select p.word, min(other) best from pairs p join near on p.word = near.word and p.n = near.best_n group by p.word),
+     f as (select v.word, v.n, coalesce(n_near, 0)::bigint n_near, case when best_n >= 10 * v.n then best end form, case when best_n >= 10 * v.n then best_n end form_n
+           from v left join near using (word) left join best using (word)),
+     walk as (select word, word place from f union all select walk.word, f.form from walk join f on f.word = walk.place where f.form is not null)
+select f.word, f.form, walk.place root, f.n, f.n_near, f.form_n
+from f join walk on walk.word = f.word join f last on last.word = walk.place where last.form is null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op7_warc": OP7_SQL, "op13_spelling_variants": OP13_SQL}
