@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import ann, bpe, jaccard, language, licenses, packing, spelling, spotsigs, substring, suffix, warc
+from colloquy.llm import ann, bpe, jaccard, language, licenses, merkle, packing, spelling, spotsigs, substring, suffix, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,12 +59,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.cross_check(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8")) % 7 == 0
+    return merkle.manifest(docs, claims={"n_chars": F.when(tampered, docs["n_chars"] + 1).otherwise(docs["n_chars"])}).drop("proof")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id, op11_merkle_manifest, op13_spelling_variants)}
 
 
 #: Of the archives' records: what the pages say.
@@ -81,6 +88,28 @@ from p left join f on p.h = f.h
 CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce([n::ubigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end)) crc_of"
 CRC = "xor(4294967295::ubigint, list_reduce(list_concat([4294967295::ubigint], list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::ubigint)), lambda a, b: xor(crc_of[((xor(a, b) & 255) + 1)::bigint], a >> 8)))"
 
+#: Each level of a tree as a list, then each leaf's siblings, the subroot's included.
+OP11_SQL = f"""
+with recursive crc as ({CRC_TABLE}),
+     fields as (select doc_id, lang, n_chars, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') a,
+                       coalesce(strlen(text) || ':' || text, '-') z, coalesce({CRC.format(text="doc_id::varchar")} % 7 = 0, false) tampered from documents, crc),
+     leaves as (select doc_id, lang, sha256(a || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || z) leaf,
+                       sha256(a || coalesce(strlen((n_chars + tampered::int)::varchar) || ':' || (n_chars + tampered::int), '-') || z) claimed from fields),
+     placed as (select *, row_number() over () id, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 place from leaves),
+     up as (select lang, 0 lvl, list(leaf order by place) d from placed group by lang
+            union all select lang, lvl + 1, list_transform(range(0, (len(d) + 1) // 2), lambda i: sha256(d[2 * i + 1] || coalesce(d[2 * i + 2], ''))) from up where len(d) > 1),
+     subroots as (select lang, lvl height, d[1] subroot, row_number() over (order by lang nulls first) - 1 slot from up where len(d) = 1),
+     crown as (select 0 lvl, list(subroot order by slot) d from subroots
+            union all select lvl + 1, list_transform(range(0, (len(d) + 1) // 2), lambda i: sha256(d[2 * i + 1] || coalesce(d[2 * i + 2], ''))) from crown where len(d) > 1),
+     steps as (select id, lvl, place >> lvl spot, d[xor(place >> lvl, 1) + 1] sibling from placed join up on placed.lang is not distinct from up.lang where len(d) > 1
+            union all select id, 1000 + crown.lvl, slot >> crown.lvl, d[xor(slot >> crown.lvl, 1) + 1] from placed join subroots on placed.lang is not distinct from subroots.lang, crown where len(d) > 1),
+     proofs as (select id, string_agg(sibling, '' order by lvl) proof, list(case when sibling is null then '-' when spot % 2 = 1 then '<' || sibling else '>' || sibling end order by lvl) path from steps group by id),
+     folded as (select p.doc_id, p.leaf, s.subroot, (select d[1] from crown where len(d) = 1) root, sha256(coalesce(proof, '')) proof_sha256,
+                       list_reduce(list_concat([claimed], coalesce(path, [])), lambda a, x: case x[1] when '<' then sha256(substr(x, 2) || a) when '>' then sha256(a || substr(x, 2)) else sha256(a) end) folded_root
+                from placed p join subroots s on p.lang is not distinct from s.lang left join proofs using (id))
+select *, folded_root = root verified from folded
+"""
+
 #: Words one letter apart share what is left when a letter is taken out of one or both.
 OP13_SQL = f"""
 with recursive crc as ({CRC_TABLE}),
@@ -104,4 +133,4 @@ from f join walk on walk.word = f.word join f last on last.word = walk.place whe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op13_spelling_variants": OP13_SQL}
