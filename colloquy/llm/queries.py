@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import ann, bpe, jaccard, language, licenses, merkle, packing, spelling, spotsigs, substring, suffix, warc
+from colloquy.llm import ann, bpe, jaccard, language, licenses, merkle, packing, spelling, spotsigs, substring, suffix, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,12 +65,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, claims={"n_chars": F.when(tampered, docs["n_chars"] + 1).otherwise(docs["n_chars"])}).drop("proof")
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id, op11_merkle_manifest, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_ngram_jaccard, op4_substring_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_warc, op8_spotsigs, op9_permutation_index, op10_language_id, op11_merkle_manifest, op12_url_filter, op13_spelling_variants)}
 
 
 #: Of the archives' records: what the pages say.
@@ -110,6 +117,28 @@ with recursive crc as ({CRC_TABLE}),
 select *, folded_root = root verified from folded
 """
 
+#: All combinations of each labelled URL's tokens are counted.
+OP12_SQL = r"""
+with given as (select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(v, h, b)),
+     rest as (select row_number() over () id, page_id, url, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end r from pages),
+     parsed as (select *, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) path from rest),
+     fits as (select id, max_by(v, length(h || b)) v, max_by(h || b, length(h || b)) rule from parsed join given on (host = h or ends_with(host, '.' || h)) and starts_with(path, b) group by id),
+     pieces as (select parsed.*, fits.v, fits.rule, string_split(host, '.') l, list_filter(string_split(path, '/'), lambda x: x <> '') p,
+                       list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> ''))) q
+                from parsed left join fits using (id)),
+     named as (select id, page_id, host, path, rule, v,
+                      list_sort(list_filter(['host:' || nullif(host, ''), case when len(l) > 1 then 'site:' || l[-2] || '.' || l[-1] end, 'top:' || nullif(l[-1], ''), case when len(l) > 2 then 'sub:' || nullif(l[1], '') end,
+                        'first:' || regexp_replace(p[1], '[0-9]+', '#', 'g'), 'second:' || regexp_replace(p[2], '[0-9]+', '#', 'g'),
+                        'ending:' || nullif(case when ends_with(path, '/') then '/' else regexp_extract(path, '\.[A-Za-z0-9]{1,8}$') end, ''), 'parts:' || len(p), 'query:' || nullif(array_to_string(q, '&'), '')], lambda x: x is not null)) t from pieces),
+     masks as (select v, t, unnest(range(1, 1 << len(t))) k from named where v is not null),
+     combos as (select v, list_filter(t, lambda x, i: (k >> (i - 1)) & 1 = 1) c from masks),
+     counted as (select v, c, count(*) hits, sum(count(*)) over (partition by c) seen from combos group by v, c),
+     mined as (select v, c, hits, hits::double / seen::double conf from counted where hits >= ceil(0.02::double * (select count(*) from named where v is not null)) and hits::double / seen::double >= 0.8),
+     best as (select t, first(mined.v order by conf desc, hits desc, len(c), c, mined.v) v from (select distinct t from named where v is null) n join mined on list_has_all(n.t, c) group by t),
+     usual as (select coalesce(first(v order by n desc, v), 'allow') v from (select v, count(*) n from named where v is not null group by v))
+select page_id, host, path, rule, coalesce(named.v, best.v, usual.v) verdict from named left join best using (t), usual
+"""
+
 #: Words one letter apart share what is left when a letter is taken out of one or both.
 OP13_SQL = f"""
 with recursive crc as ({CRC_TABLE}),
@@ -133,4 +162,4 @@ from f join walk on walk.word = f.word join f last on last.word = walk.place whe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_url_filter": OP12_SQL, "op13_spelling_variants": OP13_SQL}
