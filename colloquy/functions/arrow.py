@@ -45,3 +45,43 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], reads: list[str
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {name} {kind}"
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], reads: list[str], step: Callable, finish: Callable, fields: str) -> DataFrame:
+    """The rows that a fold of each key's sorted rows gives: step(state or None, row) gives (state, list of tuples), and
+    finish(state), after a key's last row, a list of tuples. Columns: the keys and ``fields`` (DDL).
+
+    Like ``in_order``, a task sees one batch at a time and keeps one state.
+    """
+    schema = ", ".join(f"{rows.schema[k].name} {rows.schema[k].dataType.simpleString()}" for k in keys) + f", {fields}"
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind, held, state, out = None, None, None, []
+
+        def flush():
+            nonlocal out
+            done, out = out, []
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), kind)], schema=kind)
+
+        for batch in batches:
+            kind = kind or to_arrow_schema(result)
+            for key, *row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), *(batch.column(c).to_pylist() for c in reads)):
+                if key != held:
+                    if held is not None:
+                        out += [(*held, *x) for x in finish(state)]
+                    held, state = key, None
+                state, made = step(state, dict(zip(reads, row)))
+                out += [(*key, *x) for x in made]
+                if len(out) >= 4096:
+                    yield flush()
+        if held is not None:
+            out += [(*held, *x) for x in finish(state)]
+        if out:
+            yield flush()
+
+    from pyspark.sql.types import StructType
+
+    result = StructType.fromDDL(schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, result)
