@@ -102,3 +102,24 @@ def stable_labels(matrix: DataFrame, speakers: DataFrame, previous: DataFrame) -
         return pd.DataFrame({"meeting_id": pdf.meeting_id.iloc[0], "speaker": list(range(size)), "speaker_key": [got[i] for i in range(size)]})
 
     return rows.groupBy("meeting_id").applyInPandas(label, "meeting_id string, speaker int, speaker_key string")
+
+
+def best_speakers(matrix: DataFrame) -> DataFrame:
+    """(meeting_id, speaker, speaker_key): each speaker of an overlap matrix with one key at most, so that most time is shared.
+
+    Pairs without common time are left out. One task per meeting reads its few speakers.
+    """
+    import numpy as np
+
+    from colloquy.operators.vectors import best_mapping
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = pdf.pivot_table(index="speaker", columns="speaker_key", values="overlap_ms", fill_value=0).astype(float)
+        wide = np.hstack([grid.to_numpy(), np.zeros((len(grid), len(grid)))])
+        pairs = [(grid.index[i], grid.columns[g]) for i, g in enumerate(best_mapping(wide)) if g < grid.shape[1] and wide[i, g] > 0]
+        out = pd.DataFrame(pairs, columns=["speaker", "speaker_key"])
+        out.insert(0, "meeting_id", [pdf.meeting_id.iloc[0]] * len(pairs))
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
+    return matrix.groupBy("meeting_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("meeting_id", "speaker", "speaker_key")))

@@ -45,31 +45,66 @@ def match_self(centroids: DataFrame, profile: DataFrame, group: str, speaker: st
     return best.select(group, speaker, "similarity", F.when((F.col("similarity") >= AUTO) & ahead, "Auto").when(F.col("similarity") >= SUGGEST, "Suggest").otherwise("None").alias("decision"))
 
 
+#: A group's distances are held at once: 200 MB at this number of vectors.
+MOST_VECTORS = 5000
+
+
+def linkage(distances: np.ndarray) -> list[tuple[float, int, int]]:
+    """(height, a, b) of all average-linkage merges of a square matrix, which is used up.
+
+    Nearest-neighbour chains: from any cluster to its nearest one, on until two are each other's nearest, which merge. Each
+    step reads a row, and there are about three for each vector, so the time is quadratic.
+    """
+    d = distances
+    np.fill_diagonal(d, np.inf)
+    size, merges, chain, free = np.ones(len(d)), [], [], 0
+    while len(merges) < len(d) - 1:
+        if not chain:
+            while size[free] == 0:
+                free += 1
+            chain.append(free)
+        row = d[chain[-1]]
+        nearest = int(row.argmin())
+        if len(chain) > 1 and row[chain[-2]] <= row[nearest]:
+            x, y = sorted((chain.pop(), chain.pop()))
+            merges.append((float(row[nearest]), x, y))
+            d[x] = (size[x] * d[x] + size[y] * d[y]) / (size[x] + size[y])
+            d[x, x], d[x, y] = np.inf, np.inf
+            d[:, x] = d[x]
+            d[y], d[:, y] = np.inf, np.inf
+            size[x], size[y] = size[x] + size[y], 0
+        else:
+            chain.append(nearest)
+    return merges
+
+
 def average_linkage(vectors: np.ndarray, threshold: float = 0.6, clusters: int | None = None) -> np.ndarray:
-    """Labels by first appearance: the two closest clusters merge until they are further than the threshold apart."""
+    """Labels by first appearance: the two closest clusters merge until they are further than the threshold apart, or until
+    ``clusters`` are left. More than ``MOST_VECTORS`` vectors are an error."""
     n = len(vectors)
+    if n > MOST_VECTORS:
+        raise ValueError(f"{n} vectors of one group; at most {MOST_VECTORS} can be clustered")
     if not n:
         return np.zeros(0, int)
     u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = np.maximum(0, 1 - u @ u.T)
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(n - 1):
-        i, j = sorted(divmod(int(d.argmin()), n))
-        if clusters is None and d[i, j] > threshold or clusters is not None and len(np.unique(label)) <= clusters:
-            break
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-    _, first = np.unique(label, return_index=True)
-    names = {label[f]: k for k, f in enumerate(sorted(first))}
-    return np.array([names[x] for x in label])
+    merges = sorted(linkage(np.maximum(0, 1 - u @ u.T)), key=lambda m: m[0])
+    apply = sum(h <= threshold for h, _, _ in merges) if clusters is None else n - max(1, clusters)
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for _, a, b in merges[: max(0, apply)]:
+        parent[top(b)] = top(a)
+    names: dict[int, int] = {}
+    return np.array([names.setdefault(top(x), len(names)) for x in range(n)])
 
 
 def cluster(rows: DataFrame, group: str, item: str, vector: str, threshold: float = 0.6) -> DataFrame:
-    """(group, item, label) by average linkage in each group: one recording's embeddings, a few hundred at most."""
+    """(group, item, label) by average linkage in each group: one recording's embeddings, ``MOST_VECTORS`` at most."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
@@ -147,3 +182,24 @@ def assign_windows(rows: DataFrame, window: str, local: str, vector: str, centro
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.select(window, local, vector).groupBy(window).applyInPandas(run, f"{window} {kinds[window]}, {local} {kinds[local]}, speaker bigint")
+
+
+def map_windows(rows: DataFrame, centroids: DataFrame, group: str, window: str, local: str, vector: str) -> DataFrame:
+    """(group, window, local, speaker): the local speakers of each window mapped one to one to their group's centroids
+    (group, speaker, centroid), so that the similarity in all is largest; each to its best where there are too few.
+
+    A window's locals are joined with their group's centroids as similarities, and only each local's best ones come
+    together: as many as the window has locals, more can't be needed.
+    """
+    keys = [group, window]
+    here = Window.partitionBy(*keys, local).orderBy(F.desc("sim"), "speaker")
+    sims = rows.select(*keys, local, vector).join(centroids, group).select(*keys, local, "speaker", cosine(F.col(vector), F.col("centroid")).alias("sim"))
+    best = sims.withColumn("__r", F.row_number().over(here)).join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys).where("__r <= __n")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = pdf.pivot(index=local, columns="speaker", values="sim")
+        chosen = best_mapping(grid.fillna(-1e6).to_numpy(float)) if grid.shape[1] >= grid.shape[0] else [int(c) for c in grid.fillna(-1e6).to_numpy(float).argmax(1)]
+        return pd.DataFrame({group: pdf[group].iloc[0], window: pdf[window].iloc[0], local: grid.index, "speaker": [grid.columns[c] for c in chosen]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in best.schema}
+    return best.select(*keys, local, "speaker", "sim").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*keys, local, "speaker")))

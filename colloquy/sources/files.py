@@ -38,3 +38,11 @@ def write_whole(rows: DataFrame, path: str) -> None:
     store.delete(target, True)
     if not store.rename(made, target):
         raise OSError(f"{beside} can't be renamed to {path}")
+
+
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what is built on them reads it instead of working them out again, and an
+    executor that is lost takes nothing along."""
+    path = f"{shared_dir(rows.sparkSession)}/colloquy/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
