@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import fold_in_order
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: list[str] = (), keep_old: list[str] = (), drop_missing: bool = False) -> DataFrame:
     """New rows over old ones by key. ``keep_if_null``: old values stay where new ones are null; ``keep_old``: old values
@@ -38,6 +40,26 @@ def first_terminal(events: DataFrame, key: str, order: str, status: str, start:
     return started.join(ends, key, "left").select(key, "start_t", F.coalesce("end", F.lit(start)).alias("status"))
 
 
+def summary_states(log: DataFrame, key: str, order: str, time: str) -> DataFrame:
+    """(key, status, started, summary, backup) after a log of rows (key, order, time, kind, run, summary).
+
+    A ``start`` makes a run pending and copies the summary there is to ``backup``. ``completed``, ``failed`` and
+    ``cancelled`` name the run by the time of its ``start``; they count only while that very run is pending. The first puts
+    the new summary in place, the others the backup; all of them clear the backup. One state a key is kept, and the rows of
+    a key are read in order.
+    """
+
+    def step(state, row):
+        status, started, summary, backup = state or ("none", None, None, None)
+        if row["kind"] == "start":
+            return ("pending", row[time], summary, summary), []
+        if status != "pending" or row["run"] != started:
+            return (status, started, summary, backup), []
+        return (row["kind"], started, row["summary"] if row["kind"] == "completed" else summary if backup is None else backup, None), []
+
+    return fold_in_order(log, [key], [order], [time, "kind", "run", "summary"], step, lambda state: [state], "status string, started bigint, summary string, backup string")
+
+
 def replace_partition(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of the keys in ``new`` replaced by its rows; on files, the same as dynamic partition overwrite."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

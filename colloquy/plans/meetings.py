@@ -13,6 +13,7 @@ from colloquy.operators import merges
 from colloquy.plans.registry import query
 from colloquy.sources import files
 from colloquy.sources.tables import MEET, SEG, load, meetings, transcripts, words
+from colloquy.sources.versions import Versions, save_meetings
 
 SECONDS = "start_ms / 1000.0 audio_start_time, end_ms / 1000.0 audio_end_time"
 
@@ -431,12 +432,51 @@ def k24(spark, d):
 
 @query("k12_atomic_sink", "select n_nationkey::bigint id, n_name as name from nation")
 def k12(spark, d):
-    """Written beside the target, renamed, replaced once more in the same way, and read back."""
-    path = f"{files.shared_dir(spark)}/atomic-{uuid.uuid4().hex[:12]}"
+    """A table written, and replaced by a second version, which is read back."""
+    store = Versions(spark, f"{files.shared_dir(spark)}/atomic-{uuid.uuid4().hex[:12]}")
     n = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    files.write_whole(n.where("id < 3"), path)
-    files.write_whole(n, path)
-    return spark.read.parquet(path)
+    store.write({"nations": n.where("id < 3")})
+    store.write({"nations": n})
+    return store.read("nations")
+
+
+@query("k1_k10_whole_writes", f"with {SEG}, {MEET} select s.id, s.meeting_id, case when m.title like '%7' then 'Renamed ' || m.id else m.title end title, case when m.title like '%7' then 'Renamed ' || m.id else m.title end chunk_name, s.transcript from seg s join meet m on m.id = s.meeting_id")
+def k1(spark, d):
+    """Meetings and segments saved in two writes, each as a whole; then some meetings renamed in both tables at once."""
+    store = Versions(spark, f"{files.shared_dir(spark)}/saved-{uuid.uuid4().hex[:12]}")
+    m, t = meetings(spark, d).select("id", "title"), transcripts(spark, d).select("id", "meeting_id", "transcript").join(meetings(spark, d).select(F.col("id").alias("meeting_id"), F.col("title").alias("chunk_name")), "meeting_id").select("id", "meeting_id", "chunk_name", "transcript")
+    even = F.col("number") % 2 == 0
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("bigint")
+    for part in (even, ~even):
+        save_meetings(store, m.withColumn("number", number("id")).where(part).drop("number"), t.withColumn("number", number("meeting_id")).where(part).drop("number"))
+
+    def renamed(meeting, segment):
+        named = lambda title, key: F.when(title.endswith("7"), F.concat(F.lit("Renamed "), key)).otherwise(title)
+        return {"meetings": meeting.withColumn("title", named(F.col("title"), F.col("id"))), "segments": segment.withColumn("chunk_name", named(F.col("chunk_name"), F.col("meeting_id")))}
+
+    store.change("meetings", "segments", by=renamed)
+    return store.read("segments").join(store.read("meetings").withColumnRenamed("id", "meeting_id"), "meeting_id").select("id", "meeting_id", "title", "chunk_name", "transcript")
+
+
+RUN_LOG = """log as (select o_custkey m, o_orderkey t, row_number() over (partition by o_custkey order by o_orderkey, o_totalprice) i, (['start', 'completed', 'failed', 'start', 'cancelled'])[o_orderkey % 5 + 1] kind, 'summary ' || o_orderkey summary, o_orderkey % 7 = 0 stale from orders),
+runs as (select distinct m, 0::bigint i, 'none' status, null::bigint started, null::varchar summary, null::varchar backup from log
+  union all
+  select r.m, l.i, case when l.kind = 'start' then 'pending' when r.status = 'pending' and not l.stale then l.kind else r.status end, case when l.kind = 'start' then l.t else r.started end,
+         case when l.kind = 'start' or r.status <> 'pending' or l.stale then r.summary when l.kind = 'completed' then l.summary else coalesce(r.backup, r.summary) end,
+         case when l.kind = 'start' then r.summary when r.status = 'pending' and not l.stale then null else r.backup end
+  from runs r join log l on l.m = r.m and l.i = r.i + 1)"""
+
+
+@query("k5_k7_summary_backup", f"with recursive {RUN_LOG} select m, status, started, summary, backup from runs qualify row_number() over (partition by m order by i desc) = 1")
+def k5(spark, d):
+    """Summaries over their runs: a start keeps a copy of the summary, a run that fails puts it back, one that completes
+    drops it; what a superseded run says is ignored."""
+    kind = F.element_at(F.array(*map(F.lit, ["start", "completed", "failed", "start", "cancelled"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice")
+    log = load(spark, d, "orders").select(F.col("o_custkey").alias("m"), F.col("o_orderkey").alias("t"), F.row_number().over(own).alias("i"), kind.alias("kind"), F.concat(F.lit("summary "), "o_orderkey").alias("summary"), (F.col("o_orderkey") % 7 == 0).alias("stale"))
+    # a run's end names its start; the stale ones name another
+    begun = F.last(F.when(F.col("kind") == "start", F.col("t")), ignorenulls=True).over(Window.partitionBy("m").orderBy("i"))
+    return merges.summary_states(log.withColumn("run", F.when(F.col("stale"), F.lit(-1)).otherwise(begun)), "m", "i", "t")
 
 
 @query("u8_sql_functions", "select doc_id, ceil((length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) * 7 + (strlen(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) * 8) / 20)::bigint tokens, length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::bigint n_letters, printf('[%02d:%02d]', n_chars // 60, n_chars % 60) shown from documents")

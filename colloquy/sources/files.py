@@ -1,4 +1,4 @@
-"""Files that executors and driver share: scratch folders and writes that are there whole or not at all."""
+"""Folders that executors and driver share."""
 
 from __future__ import annotations
 
@@ -27,19 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def write_whole(rows: DataFrame, path: str) -> None:
-    """Writes Parquet beside ``path`` and renames it, so that readers see the old files or all of the new ones."""
-    spark = rows.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex[:12]}.tmp"
-    rows.write.parquet(beside)
-    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, made = to_path(path), to_path(beside)
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(target, True)
-    if not store.rename(made, target):
-        raise OSError(f"{beside} can't be renamed to {path}")
-
-
 def settled(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: what is built on them reads it instead of working them out again, and an
     executor that is lost takes nothing along."""

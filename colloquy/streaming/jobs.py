@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import streams as ST
+from colloquy.sources.versions import Versions
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -34,26 +34,14 @@ def deduplicated(rows: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return rows.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["session_id", "sequence_id"])
 
 
-def last_write_wins(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64) -> None:
-    """ST9, ST11, ST12, K14: each micro-batch is merged into the table at ``path``, the last row of a key wins.
+def last_write_wins(stream: DataFrame, store: Versions, name: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64) -> None:
+    """ST9, ST11, ST12, K14: each micro-batch is merged into a versioned table, the last row of a key wins.
 
-    The table is partitioned by the key's ``bucket``; a batch reads and overwrites the buckets of its own keys alone. A batch
-    that is merged again, after a failure, changes nothing.
+    The old buckets stay until the new version is published, and a batch that has been published is left out when Spark
+    repeats it, so a failure at any point loses and doubles nothing. A stream is known by its checkpoint folder.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", bucket)
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
-        try:
-            old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            old = rows.limit(0)
-        rest = [c for c in batch.columns if c not in keys]
-        last = rows.unionByName(old).groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*", "bucket")
-        last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        Versions(batch.sparkSession, store.root).merge(name, batch, keys, order, checkpoint, number, buckets)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,6 +2,10 @@
 
 import ast
 import pathlib
+import subprocess
+import sys
+
+import pytest
 
 ROOT = pathlib.Path(__file__).parent.parent
 
@@ -24,3 +28,9 @@ def test_entry_needs_no_session():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "colloquy.llm", "public_tokenizers", "tokenizers"])
+def test_entry_without_the_subpackage_or_what_it_needs(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

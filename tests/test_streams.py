@@ -28,14 +28,6 @@ def test_first_of_each_number_stays(spark, tmp_path):
     assert out.count() == 20 and out.select("sequence_id").distinct().count() == 20
 
 
-def test_last_write_wins(spark, tmp_path):
-    rows = spark.createDataFrame([(i % 5, i) for i in range(40)], "k int, n int")
-    rows.repartitionByRange(4, "n").write.parquet(str(tmp_path / "in"))
-    jobs.last_write_wins(jobs.source(spark, str(tmp_path / "in")), str(tmp_path / "out"), ["k"], "n", str(tmp_path / "check"))
-    table = spark.read.parquet(str(tmp_path / "out"))
-    assert table.count() == 5 and {r["k"]: r["n"] for r in table.collect()} == {i % 5: i for i in range(35, 40)}
-
-
 def test_reorder_buffer(spark, tmp_path):
     rows = spark.createDataFrame([("s", i, f"t{i}") for i in (3, 1, 2, 2, 5, 4)], "session_id string, sequence_id long, text string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
