@@ -81,6 +81,44 @@ class Names:
         return join(level[:n], level[size - (1 << k) : size - (1 << k) + n], np.uint64(size << 8))
 
 
+class ByteNames:
+    """Names of slices of a run of bytes. ``grams`` names the ``gram`` bytes (16 at most) from each place on, read as two
+    numbers; longer slices are named by the grams they consist of."""
+
+    def __init__(self, raw: np.ndarray, gram: int):
+        n, low = len(raw), min(gram, 8)
+        padded = np.zeros(n + 16, np.uint8)
+        padded[:n] = raw
+        eight = np.empty(n + 8 - n % 8, np.uint64)
+        for k in range(8):
+            eight[k::8] = padded[k : k + len(eight)].view("<u8")
+        if gram < 8:
+            eight &= np.uint64((1 << 8 * gram) - 1)
+        self.gram, self.size = gram, n
+        places = max(0, n - gram + 1)
+        self.grams = join(eight[:places], eight[gram - low : gram - low + places], np.uint64(gram))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of some slices start..end. A slice shorter than a gram is named with the bytes that follow it."""
+        size = np.maximum(end - start, self.gram)
+        steps = -(-size // self.gram)
+        out = self.grams[start]
+        for step in range(1, int(steps.max(initial=0))):
+            more = np.flatnonzero(steps > step)
+            at = start[more] + np.minimum(step * self.gram, size[more] - self.gram)
+            out[more] = join(out[more], self.grams[at], np.uint64(step))
+        return join(out, (end - start).astype(np.uint64), np.uint64(1 << 20))
+
+    def windows(self, size: int) -> np.ndarray:
+        """Names of all slices of one size, a gram's at least."""
+        level, width = self.grams, self.gram
+        while 2 * width <= size:
+            level = join(level[: max(0, len(level) - width)], level[width:], np.uint64(width))
+            width *= 2
+        n = max(0, self.size - size + 1)
+        return join(level[:n], level[size - width : size - width + n], np.uint64(size << 8))
+
+
 def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from colloquy.llm import _sketch
 from colloquy.llm._bitset import filter_rows, set_bits, slot_of
 from colloquy.llm._scratch import Scratch
-from colloquy.llm._text import LETTERS, Names, chunks, minimizers, mix, string_parts
+from colloquy.llm._text import ByteNames, chunks, minimizers, mix, string_parts
 from colloquy.llm.substring import covered, finish, runs_of
 
 
@@ -40,8 +40,8 @@ class Sampling:
 class Suffixes:
     """The sampled suffixes of one text, of which ``names`` name any slice from ``base`` on."""
 
-    def __init__(self, names: Names, grams: np.ndarray, base: int, size: int, how: Sampling):
-        at = minimizers(grams[base : base + size - how.gram + 1], how.reach)
+    def __init__(self, names: ByteNames, base: int, size: int, how: Sampling):
+        at = minimizers(names.grams[base : base + size - how.gram + 1], how.reach)
         change = np.ones(len(at), bool)
         change[1:] = at[1:] != at[:-1]
         place = at[change]
@@ -68,18 +68,17 @@ class Suffixes:
         return out
 
 
-def _suffixes(batch: pa.RecordBatch, how: Sampling, longest: int):
-    """(row, suffixes) of each text that holds a string of the window's size; slices are named up to ``longest`` bytes."""
+def _suffixes(batch: pa.RecordBatch, how: Sampling):
+    """(row, suffixes) of each text that holds a string of the window's size."""
     raw, offsets = string_parts(batch.column("text"))
     for a, b in chunks(offsets):
         if offsets[b] - offsets[a] < how.window:
             continue
-        names = Names(LETTERS[raw[offsets[a] : offsets[b]]], longest)
-        grams = mix(names.windows(how.gram), how.gram)
+        names = ByteNames(raw[offsets[a] : offsets[b]], how.gram)
         for row in range(a, b):
             size = int(offsets[row + 1] - offsets[row])
             if size >= how.window:
-                yield row, Suffixes(names, grams, int(offsets[row] - offsets[a]), size, how)
+                yield row, Suffixes(names, int(offsets[row] - offsets[a]), size, how)
 
 
 COLUMNS = ["number", "place", "span", "rounds", "step", "rank", "first", "count", "segment"]
@@ -110,7 +109,7 @@ def repeated_strings(keyed: DataFrame, how: Sampling, scratch: Scratch, group_ro
             for batch in batches:
                 batch = left(batch, bits)
                 times, found, held = batch.column("times").to_numpy(), [], 0
-                for row, s in _suffixes(batch, how, 2 * max(how.reach, how.gram)):
+                for row, s in _suffixes(batch, how):
                     found.append(np.repeat(s.rank, times[row]))
                     held += len(found[-1])
                     if held > 500_000:
@@ -136,7 +135,7 @@ def repeated_strings(keyed: DataFrame, how: Sampling, scratch: Scratch, group_ro
                     own = [batch.column(c).take(at) for c in ("key", "id", "times")]
                     return pa.RecordBatch.from_arrays(own + [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, kinds)], ["key", "id", "times", *COLUMNS])
 
-                for r, s in _suffixes(batch, how, how.window + how.reach):
+                for r, s in _suffixes(batch, how):
                     pick = np.flatnonzero(shared.value.among(s.rank))
                     if len(pick):
                         row.append((r, len(pick)))
@@ -238,7 +237,7 @@ def _strings(table, window: int):
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = offsets[row] + place
-    return row, place, Names(LETTERS[raw], window).of(at, at + window) if len(at) else np.zeros(0, np.uint64)
+    return row, place, ByteNames(raw, min(16, window)).windows(window)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def _within_groups(window: int, rows_at_once: int = 1_000):

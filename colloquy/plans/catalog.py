@@ -1,3 +1,3 @@
 """All query modules, imported so that they register."""
 
-from colloquy.plans import audio, diarize, embeddings, events, intervals, live, meetings, peripheral, streams, texts  # noqa: F401
+from colloquy.plans import audio, diarize, embeddings, events, intervals, live, meetings, peripheral, sources, streams, texts  # noqa: F401
