@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.arrow import arrow
+from colloquy.functions.loudness import Biquad
 
 
 @arrow("binary")
@@ -25,17 +26,7 @@ def high_pass(v: pd.Series) -> pd.Series:
     """One-pole high pass at 80 Hz of 16 kHz samples."""
     rc, dt = 1 / (2 * np.pi * 80), 1 / 16000
     alpha = rc / (rc + dt)
-
-    def one(a):
-        x = np.asarray(a, float)
-        y, last, before = np.empty_like(x), 0.0, 0.0
-        for i, s in enumerate(x):
-            last = alpha * (last + s - before)
-            before = s
-            y[i] = last
-        return np.round(y, 6)
-
-    return v.map(one)
+    return v.map(lambda a: np.round(Biquad((alpha, -alpha, 0.0), (-alpha, 0.0)).run(np.asarray(a, float)), 6))
 
 
 @arrow("array<double>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import audio as A
+from colloquy.functions import loudness as L
+from colloquy.functions import resampling as R
 from colloquy.functions import signal as S
 from colloquy.plans.registry import query
 from colloquy.sources.tables import load
@@ -113,6 +115,23 @@ def m11(spark, d):
     return v.select("vec_id", S.high_pass("e").alias("high_passed"), S.normalise("e").alias("normalised"), S.spectral_subtraction("e").alias("denoised"), F.size(S.filterbank(F.flatten(F.array_repeat("e", 20)))).cast("long").alias("bank_frames"))
 
 
+@query("m12_loudness")
+def m12(spark, d):
+    """Loudness of each vector, repeated for most of a second, before and after the gain to -23 LUFS. Chunks of a recording
+    of forty vectors, one after the other."""
+    v = vectors(spark, d).select(F.floor(F.col("vec_id") / 40).alias("recording"), F.col("vec_id").alias("chunk"), F.transform(F.flatten(F.array_repeat("e", 100)), lambda x: x / 50).alias("samples"))
+    after = L.normalise_chunks(v, 8000).select("recording", "chunk", F.col("samples").alias("normalised"))
+    both = v.join(after, ["recording", "chunk"])
+    return both.select("chunk", F.round(L.integrated_loudness("samples", F.lit(8000)), 6).alias("before_lufs"), F.round(L.integrated_loudness("normalised", F.lit(8000)), 6).alias("after_lufs"))
+
+
+@query("m15_resample_chunks")
+def m15b(spark, d):
+    """Recordings of forty vectors, a chunk each, from 48 to 16 kHz without a seam."""
+    v = vectors(spark, d).select(F.floor(F.col("vec_id") / 40).alias("recording"), F.col("vec_id").alias("chunk"), F.flatten(F.array_repeat("e", 40)).alias("samples"))
+    return R.resample_chunks(v, 48_000, 16_000).select("recording", "chunk", "first", F.transform("samples", lambda x: F.round(x, 6)).alias("samples"))
+
+
 def _sinc(points: int, at: str, cut: float) -> str:
     """DuckDB list of ``points`` values, each a windowed sinc around the place ``at`` (of output i) over the samples j."""
     k = f"(j - {at})"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import health as H
 from colloquy.operators import live as L
 from colloquy.plans.registry import query
 from colloquy.sources.tables import load
@@ -86,3 +87,53 @@ def st1(spark, d):
     """Windows of 600 ms once both streams fill them or one is starved for 500 ms, and what is left at the end."""
     windows = L.aligned(chunks(spark, d)).where("event <> 'placed'")
     return windows.select("session_id", "at", "n", "mic_lacks", "system_lacks", (F.col("event") == "rest").alias("final"))
+
+
+def capture_log(spark, d):
+    """Each user's events as the log of a capture stream, twenty seconds as a millisecond."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.col("event_id") % 11
+    kind = F.when(F.row_number().over(own) == 1, "installed").when(k.isin(0, 1), "rebuilt").when(k == 2, "failed").when(k == 3, "disconnected").when(k.isin(4, 5), "error").when((k == 6) & (F.col("event_id") % 7 == 0), "removed").otherwise("audio")
+    return load(spark, d, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 20_000_000).alias("at"), kind.alias("kind"))
+
+
+#: The state after each log row; what was due before it is a stall and a number of tries.
+HEALTH = """log as (select user_id, epoch_us(ts) // 20000000 "at", case when row_number() over (partition by user_id order by ts, event_id) = 1 then 'installed' when event_id % 11 in (0, 1) then 'rebuilt' when event_id % 11 = 2 then 'failed'
+                when event_id % 11 = 3 then 'disconnected' when event_id % 11 in (4, 5) then 'error' when event_id % 11 = 6 and event_id % 7 = 0 then 'removed' else 'audio' end kind from events),
+steps as (select *, row_number() over (partition by user_id order by "at", list_position(['installed', 'rebuilt', 'audio', 'error', 'disconnected', 'failed', 'removed'], kind)) i from log),
+life as (
+  select user_id, 0::bigint i, 0::bigint "at", '' kind, 'Absent' status, 0::bigint since, null::bigint heard, false rebuilt, false awaited, false told, null::bigint told_at, 0 short, 30000::bigint retry, 0::bigint failed_at, []::bigint[] errors,
+         null::bigint stalled, ''::varchar stall_status, false stall_degraded, 0 stall_short, 30000::bigint stall_retry, 0::bigint tried_from, 0::bigint tries, false recovered, false degraded from (select distinct user_id from log)
+  union all
+  select user_id, i, "at", kind,
+         case when dies then case when short2 >= 3 then 'Failed' else 'Dead' end when kind in ('installed', 'rebuilt') then 'Running' when kind = 'failed' then 'Failed' when kind = 'removed' then 'Absent' else status1 end,
+         case when kind in ('installed', 'rebuilt') then "at" else since end, case when kind in ('installed', 'rebuilt') then null when kind = 'audio' then "at" else heard end,
+         case when kind in ('installed', 'rebuilt') then kind = 'rebuilt' else rebuilt end,
+         case when kind in ('installed', 'rebuilt') then kind = 'rebuilt' when dies or kind in ('failed', 'removed') or back then false else awaited1 end,
+         case when kind = 'installed' then false when back then false when kind = 'failed' or degraded2 or dies and short2 >= 3 then true else told1 end,
+         case when degraded2 then "at" else told_at1 end, short2,
+         case when dies and short2 >= 3 then least(2 * retry2, 300000) when dies then retry2 when kind = 'failed' then case when status1 = 'Failed' or short1 >= 3 then least(2 * retry1, 300000) else 30000 end else retry1 end,
+         case when dies and short2 >= 3 or kind = 'failed' then "at" else failed1 + tries * retry1 end, case when kind in ('installed', 'rebuilt') then [] when hurts then errors2 else errors end,
+         stalled, case when stalled is not null then status0 end, stall_degraded, short1, retry1, failed1, tries, back and told1, degraded2
+  from (select *, dies and not told1 and (told_at1 is null or "at" - told_at1 >= 10000) degraded2
+  from (select *, case when not dies then short1 when not rebuilt or delivered >= 3000 then 0 else short1 + 1 end short2, case when dies and (not rebuilt or delivered >= 3000) then 30000 else retry1 end retry2
+  from (select *, hurts and (kind = 'disconnected' or len(errors2) > 5) dies, kind = 'audio' and status1 = 'Running' and awaited1 and "at" - since >= 3000 back
+  from (select *, list_append(list_filter(errors, lambda x: "at" - x <= 2000), "at") errors2, kind in ('error', 'disconnected') and status0 = 'Running' hurts, status0 status1,
+               case when status0 = 'Failed' then greatest(0, ("at" - failed1) // retry1) else 0 end tries
+  from (select *, case when stalled is null then status when short1 >= 3 then 'Failed' else 'Dead' end status0, case when stalled is not null then false else awaited end awaited1,
+               told or stall_degraded or stalled is not null and short1 >= 3 told1, case when stall_degraded then stalled else told_at end told_at1,
+               case when stalled is not null and short1 >= 3 then least(2 * retry0, 300000) else retry0 end retry1, case when stalled is not null and short1 >= 3 then stalled else failed_at end failed1
+  from (select *, case when stalled is null then short when not rebuilt or delivered >= 3000 then 0 else short + 1 end short1, case when stalled is not null and (not rebuilt or delivered >= 3000) then 30000 else retry end retry0,
+               stalled is not null and not told and (told_at is null or stalled - told_at >= 10000) stall_degraded
+  from (select l.user_id, s.i, s."at", s.kind, l.status, l.since, l.heard, l.rebuilt, l.awaited, l.told, l.told_at, l.short, l.retry, l.failed_at, l.errors, greatest(0, coalesce(l.heard - l.since, 0)) delivered,
+               case when l.status = 'Running' and greatest(l.since, coalesce(l.heard, 0)) + 3001 <= s."at" then greatest(l.since, coalesce(l.heard, 0)) + 3001 end stalled
+        from life l join steps s on s.user_id = l.user_id and s.i = l.i + 1))))))))"""
+
+
+@query("st17_w14_lifecycle", f"""with recursive {HEALTH}
+select user_id, "at", kind, status, recovered, degraded, short::int short_lived, retry retry_ms from life where i > 0
+union all select user_id, stalled, 'stall', stall_status, false, stall_degraded, stall_short::int, stall_retry from life where stalled is not null
+union all select user_id, unnest(range(tried_from + stall_retry, tried_from + (tries + 1) * stall_retry, stall_retry)), 'retry', 'Failed', false, false, stall_short::int, stall_retry from life where tries > 0""")
+def st17(spark, d):
+    """The life of each stream: stalls, recoveries, streams given up and tried again at doubling times."""
+    return H.lifecycle(capture_log(spark, d), "user_id")
