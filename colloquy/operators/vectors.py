@@ -165,6 +165,19 @@ def best_mapping(sims: np.ndarray) -> list[int]:
     return [place[r] for r in range(n)]
 
 
+#: Centroids that may go to every task; 8 MB at 256 numbers each.
+MOST_CENTROIDS = 4096
+
+
+def few_centroids(centroids: DataFrame, order: str) -> list[list[float]]:
+    """The centroids by ``order``, for ``assign_windows``. More than ``MOST_CENTROIDS`` are an error: ``map_windows`` joins
+    any number of them instead."""
+    rows = centroids.orderBy(order).limit(MOST_CENTROIDS + 1).collect()
+    if len(rows) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids; map_windows joins them")
+    return [r["centroid"] for r in rows]
+
+
 def assign_windows(rows: DataFrame, window: str, local: str, vector: str, centroids: list[list[float]]) -> DataFrame:
     """Maps each window's local speakers (three at most) one to one to the global centroids, any number of them.
 

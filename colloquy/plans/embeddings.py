@@ -123,9 +123,9 @@ x as (select * from s union all select * from blank),
 t as (select a.w, a.k a, b.k b, c.k c, row_number() over (partition by a.w order by a.sim + b.sim + c.sim desc) r from x a join x b on b.w = a.w and b.k <> a.k join x c on c.w = a.w and c.k <> a.k and c.k <> b.k where a.l = 0 and b.l = 1 and c.l = 2)
 select w "window", l "local", case l when 0 then a when 1 then b else c end::bigint speaker from t join (select vec_id // 3 w2, vec_id % 3 l from v) o on o.w2 = t.w where r = 1""")
 def j13(spark, d):
-    """Local speakers of each window mapped to the corpus's centroids, one for each label; all of them go to every executor."""
+    """Local speakers of each window mapped to the corpus's centroids, one for each label."""
     v = vecs(spark, d)
-    cents = [r["centroid"] for r in V.mean_vector(v, "label", "e").orderBy("label").collect()]
+    cents = V.few_centroids(V.mean_vector(v, "label", "e"), "label")
     w = v.select(F.floor(F.col("vec_id") / 3).alias("window"), (F.col("vec_id") % 3).alias("local"), "e")
     return V.assign_windows(w, "window", "local", "e", cents)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
+from colloquy.functions.captions import captions
 from colloquy.functions import udfs as U
 from colloquy.plans.registry import query
 from colloquy.sources.tables import SEG, load, role_key, transcripts
@@ -343,3 +344,19 @@ def w4(spark, d):
     """Lines of one speaker's consecutive segments, of at most 1000 UTF-16 units."""
     t = transcripts(spark, d).select("meeting_id", "seq", "start_ms", role_key(F.col("speaker")).alias("speaker_key"), "transcript")
     return U.speaker_lines(t, cap=1000)
+
+
+STAMP = "printf('%02d:%02d:%02d{m}%03d', {t} // 3600000, ({t} // 60000) % 60, ({t} // 1000) % 60, {t} % 1000)"
+
+
+def spanned(mark):
+    return STAMP.format(m=mark, t="start_ms") + " || ' --> ' || " + STAMP.format(m=mark, t="end_ms") + " || chr(10)"
+
+
+@query("k17_captions", f"""with {SEG}, n as (select *, row_number() over (partition by meeting_id order by seq) i from seg)
+select meeting_id, string_agg(i || chr(10) || {spanned(',')} || speaker || ': ' || transcript || chr(10) || chr(10), '' order by i) srt, 'WEBVTT' || chr(10) || chr(10) || string_agg({spanned('.')} || '<v ' || speaker || '>' || transcript || chr(10) || chr(10), '' order by i) vtt,
+       string_agg(speaker || ': ' || transcript || chr(10), '' order by i) "plain", to_json({{'text': string_agg(speaker || ': ' || transcript || chr(10), '' order by i)}})::varchar "json",
+       to_json({{'task': 'transcribe', 'language': 'en', 'duration': max(end_ms) / 1000, 'text': string_agg(speaker || ': ' || transcript || chr(10), '' order by i), 'segments': list({{'id': i - 1, 'text': transcript, 'start': start_ms / 1000, 'end': end_ms / 1000}} order by i)}})::varchar verbose_json from n group by meeting_id""")
+def k17b(spark, d):
+    """Each meeting as subtitles, as plain text, and as JSON with and without times."""
+    return captions(transcripts(spark, d), speaker="speaker")
