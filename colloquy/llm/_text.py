@@ -196,11 +196,10 @@ def minimizers(grams: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.int64)
     low_bits = np.uint64((1 << 30) - 1)
-    blocks = -(-len(grams) // width)
-    key = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    key[: len(grams)] = (grams & ~low_bits) | np.arange(len(grams), dtype=np.uint64)
-    key = key.reshape(blocks, width)
-    # a run is the end of one block and the beginning of the next
-    left = np.minimum.accumulate(key, axis=1).ravel()
-    right = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & low_bits).astype(np.int64)
+    key = (grams & ~low_bits) | np.arange(len(grams), dtype=np.uint64)
+    # the least of runs twice as long, until two of them make up a run
+    size = 1
+    while 2 * size <= width:
+        key = np.minimum(key[: len(key) - size], key[size:])
+        size *= 2
+    return (np.minimum(key[:n], key[width - size : width - size + n]) & low_bits).astype(np.int64)

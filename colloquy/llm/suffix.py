@@ -38,47 +38,51 @@ class Sampling:
 
 
 class Suffixes:
-    """The sampled suffixes of one text, of which ``names`` name any slice from ``base`` on."""
-
-    def __init__(self, names: ByteNames, base: int, size: int, how: Sampling):
-        at = minimizers(names.grams[base : base + size - how.gram + 1], how.reach)
-        change = np.ones(len(at), bool)
-        change[1:] = at[1:] != at[:-1]
-        place = at[change]
-        number = np.arange(len(place))
-        phrases = np.searchsorted(place, place + how.threshold, "right") - 1 - number
+    """The sampled suffixes of a run of texts: ``row`` numbers a suffix's text, ``number`` the sampled place within it."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, how: Sampling):
+        self.names, self.window = ByteNames(raw, how.gram), how.window
+        size = np.diff(offsets)
+        # runs of grams within one text
+        runs = np.where(size >= how.window, size - how.gram - how.reach + 2, 0)
+        row = np.repeat(np.arange(len(size)), runs)
+        start = np.arange(len(row)) + (offsets[:-1] - np.cumsum(runs) + runs)[row]
+        found = minimizers(self.names.grams, how.reach)[start] if len(start) else np.zeros(0, np.int64)
+        change = np.ones(len(found), bool)
+        change[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+        at, row = found[change], row[change]
+        begin, end = np.searchsorted(row, np.arange(len(size)), "left"), np.searchsorted(row, np.arange(len(size)), "right")
+        index = np.arange(len(at))
+        number, place = index - begin[row], at - offsets[row]
+        phrases = np.minimum(np.searchsorted(at, at + how.threshold, "right"), end[row]) - 1 - index
+        before = np.concatenate([[0], place[:-1] - how.reach + 2])[: len(place)]
+        first = np.maximum(np.where(number == 0, 0, before), 0)
+        count = np.maximum(np.minimum(place - how.reach + 1, size[row] - how.window) - first + 1, 0)
         used = np.flatnonzero(phrases > 0)
-        first = np.maximum(np.concatenate([[0], place[:-1] - how.reach + 2]), 0)
-        count = np.maximum(np.minimum(place - how.reach + 1, size - how.window) - first + 1, 0)
-        self.number, self.place, self.first, self.count = used, place[used], first[used], count[used]
         phrases = phrases[used]
-        self.span = place[used + np.minimum(phrases, 2)] - self.place
+        self.row, self.number, self.place, self.first, self.count = row[used], number[used], place[used], first[used], count[used]
+        self.base = offsets[self.row]
+        self.span = at[used + np.minimum(phrases, 2)] - at[used]
         #: Rounds of doubling from two phrases on, and how many phrases further the last pairing reaches.
         self.rounds = np.maximum(np.frexp(phrases.astype(float))[1] - 2, 0)
         self.step = np.where(phrases > 1, phrases - (2 << self.rounds), 0)
-        self.rank = names.of(base + self.place, base + self.place + self.span)
-        self.base, self.names, self.window = base, names, how.window
+        self.rank = self.names.of(at[used], at[used] + self.span)
 
     def segment(self, pick: np.ndarray) -> np.ndarray:
         """Names of all bytes that the strings of a segment cover."""
         out = np.zeros(len(pick), np.uint64)
         some = np.flatnonzero(self.count[pick])
-        start = self.base + self.first[pick[some]]
+        start = self.base[pick[some]] + self.first[pick[some]]
         out[some] = self.names.of(start, start + self.count[pick[some]] - 1 + self.window)
         return out
 
 
 def _suffixes(batch: pa.RecordBatch, how: Sampling):
-    """(row, suffixes) of each text that holds a string of the window's size."""
+    """(first row, suffixes) of runs of texts, of which those count that hold a string of the window's size."""
     raw, offsets = string_parts(batch.column("text"))
     for a, b in chunks(offsets):
-        if offsets[b] - offsets[a] < how.window:
-            continue
-        names = ByteNames(raw[offsets[a] : offsets[b]], how.gram)
-        for row in range(a, b):
-            size = int(offsets[row + 1] - offsets[row])
-            if size >= how.window:
-                yield row, Suffixes(names, int(offsets[row] - offsets[a]), size, how)
+        if offsets[b] - offsets[a] >= how.window:
+            yield a, Suffixes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], how)
 
 
 COLUMNS = ["number", "place", "span", "rounds", "step", "rank", "first", "count", "segment"]
@@ -110,7 +114,7 @@ def repeated_strings(keyed: DataFrame, how: Sampling, scratch: Scratch, group_ro
                 batch = left(batch, bits)
                 times, found, held = batch.column("times").to_numpy(), [], 0
                 for row, s in _suffixes(batch, how):
-                    found.append(np.repeat(s.rank, times[row]))
+                    found.append(np.repeat(s.rank, times[row + s.row]))
                     held += len(found[-1])
                     if held > 500_000:
                         yield _sketch.partial(np.concatenate(found))
@@ -131,14 +135,14 @@ def repeated_strings(keyed: DataFrame, how: Sampling, scratch: Scratch, group_ro
                 row, columns, held = [], [[] for _ in COLUMNS], 0
 
                 def flush():
-                    at = pa.array(np.repeat(np.array([r for r, _ in row], np.int64), [n for _, n in row]))
+                    at = pa.array(np.concatenate(row))
                     own = [batch.column(c).take(at) for c in ("key", "id", "times")]
                     return pa.RecordBatch.from_arrays(own + [pa.array(np.concatenate(c), kind) for c, kind in zip(columns, kinds)], ["key", "id", "times", *COLUMNS])
 
                 for r, s in _suffixes(batch, how):
                     pick = np.flatnonzero(shared.value.among(s.rank))
                     if len(pick):
-                        row.append((r, len(pick)))
+                        row.append(r + s.row[pick])
                         for c, v in zip(columns, (s.number, s.place, s.span, s.rounds, s.step, s.rank.view(np.int64), s.first, s.count)):
                             c.append(v[pick])
                         columns[-1].append(s.segment(pick).view(np.int64))
