@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from colloquy.operators.search_index import Index
 from colloquy.plans.intervals import ALL, turns
 from colloquy.plans.registry import query
 from colloquy.sources import transcripts as T
@@ -44,3 +45,18 @@ def s9(spark, d):
     path = folder(spark, "rttm")
     T.write_rttm(turns(spark, d), path)
     return T.read_rttm(spark, path).select(meeting_of("file").alias("meeting_id"), "speaker", "name", "start_ms", "end_ms")
+
+
+SEARCHES = ["Then", "th_n%tion", "nt the", "%an", "%", "é", "_he"]
+
+
+@query("j1_p2_indexed_search", f"with {SEG}, q as (select unnest({SEARCHES!r}) q) select q query, meeting_id, id from seg, q where lower(transcript) like '%' || lower(q) || '%'")
+def j1(spark, d):
+    """Searches over an index of the transcripts, wildcards included."""
+    t = transcripts(spark, d).select("meeting_id", "id", "transcript")
+    index = Index.build(t, folder(spark, "grams"))
+    out = None
+    for q in SEARCHES:
+        found = index.find(t, q).select(F.lit(q).alias("query"), "meeting_id", "id")
+        out = found if out is None else out.unionByName(found)
+    return out
