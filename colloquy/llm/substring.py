@@ -48,9 +48,11 @@ class Segments:
         start, count = self.first[pick], self.count[pick]
         return self.names.of(start, start + count - 1 + self.window)
 
-    def windows(self, i: int) -> np.ndarray:
-        start = np.arange(self.first[i], self.first[i] + self.count[i])
-        return self.names.of(start, start + self.window)
+    def windows(self, pick: np.ndarray) -> np.ndarray:
+        """Names of the windows of some segments, one after the other."""
+        count = self.count[pick]
+        before = np.cumsum(count) - count
+        return self.names.windows(self.window)[np.arange(count.sum()) + np.repeat(self.first[pick] - before, count)]
 
 
 def _documents(batch: pa.RecordBatch, window: int):
@@ -88,13 +90,13 @@ def _segments(rows: DataFrame, bits: _sketch.Repeated, window: int, gram: int) -
 
     def run(batches):
         for batch in batches:
-            row, parts, arrays, held = [], [[] for _ in types], [], 0
+            row, parts, windows, held = [], [[] for _ in types], [], 0
 
             def flush():
                 at = pa.array(np.repeat(np.array([r for r, _ in row], np.int64), [n for _, n in row]))
                 columns = [batch.column("doc_id").take(at), batch.column("mark").take(at)] + [pa.array(np.concatenate(p), t) for p, t in zip(parts, types)]
-                sizes = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-                return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(arrays).view(np.int64)))], names)
+                sizes = np.concatenate([[0], np.cumsum(np.concatenate(parts[1]))]).astype(np.int32)
+                return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(windows).view(np.int64)))], names)
 
             for r, codes in _documents(batch, window):
                 s = Segments(codes, window, gram)
@@ -104,11 +106,11 @@ def _segments(rows: DataFrame, bits: _sketch.Repeated, window: int, gram: int) -
                 row.append((r, len(pick)))
                 for p, v in zip(parts, (s.first[pick], s.count[pick], s.gram[pick].view(np.int64), s.name(pick).view(np.int64))):
                     p.append(v)
-                arrays += [s.windows(i) for i in pick.tolist()]
+                windows.append(s.windows(pick))
                 held += int(s.count[pick].sum())
                 if held > 500_000:
                     yield flush()
-                    row, parts, arrays, held = [], [[] for _ in types], [], 0
+                    row, parts, windows, held = [], [[] for _ in types], [], 0
             if row:
                 yield flush()
 
