@@ -160,7 +160,7 @@ class Watcher(StatefulProcessor):
 
     def _frame(self, key, rows):
         out = pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])
-        out.insert(0, self.stream, [key[0]] * len(rows))
+        out.insert(0, self.stream, pd.Series([key[0]] * len(rows), dtype=object))  # no rows have no type of their own
         return out
 
     def handleInputRows(self, key, rows, timerValues):

@@ -253,7 +253,7 @@ class Aligner(StatefulProcessor):
 
     def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=NAMES, dtype=object)
-        out.insert(0, self.session, [key[0]] * len(rows))
+        out.insert(0, self.session, pd.Series([key[0]] * len(rows), dtype=object))  # no rows have no type of their own
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:

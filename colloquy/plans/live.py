@@ -1,10 +1,11 @@
-"""The live path: alignment of two streams, mixed windows, stream health, batches by count or time, jitter."""
+"""The live path: alignment of two streams, mixed windows, stream health, batches by count or time, jitter, checkpoints."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import buffers as B
 from colloquy.operators import health as H
 from colloquy.operators import live as L
 from colloquy.plans.registry import query
@@ -137,3 +138,50 @@ union all select user_id, unnest(range(tried_from + stall_retry, tried_from + (t
 def st17(spark, d):
     """The life of each stream: stalls, recoveries, streams given up and tried again at doubling times."""
     return H.lifecycle(capture_log(spark, d), "user_id")
+
+
+def ticks(spark, d):
+    """Each user's events, thirty seconds as a millisecond."""
+    return load(spark, d, "events").select("user_id", "event_id", "value", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 30_000_000).alias("at"))
+
+
+TICKS = 'e as (select user_id, event_id, value, epoch_us(ts) // 30000000 "at" from events)'
+
+
+@query("st11_batches", f"""with {TICKS}, g as (select *, coalesce("at" - lag("at") over (partition by user_id order by "at", event_id) >= 5000, false)::int idle from e),
+b as (select *, sum(idle) over (partition by user_id order by "at", event_id rows between unbounded preceding and current row) burst from g),
+p as (select *, (row_number() over (partition by user_id, burst order by "at", event_id) - 1) // 50 batch from b)
+select user_id, min("at") first_at, max("at") last_at, max("at") + case when count(*) = 50 then 0 else 5000 end closed_at, count(*) n, round(sum(value), 4) total, count(*) = 50 "full" from p group by user_id, burst, batch""")
+def st11(spark, d):
+    """Batches of 50 rows, or of what there is once five seconds bring none."""
+    return B.batches(ticks(spark, d), "user_id", "at", "event_id", "value").withColumn("total", F.round("total", 4))
+
+
+@query("st16_jitter_reads", f"""with recursive {TICKS}, chunk as (select user_id, "at", 160 + 16 * (event_id % 11) n from e where event_id % 3 <> 0),
+asks as (select user_id, "at", row_number() over (partition by user_id order by "at") i from e where event_id % 3 = 0),
+seen as (select r.user_id, r.i, r."at", coalesce(sum(c.n) filter (c."at" <= r."at"), 0)::bigint come, coalesce(sum(c.n) filter (c."at" + 3000 <= r."at"), 0)::bigint old from asks r left join chunk c on c.user_id = r.user_id group by 1, 2, 3),
+f as (select user_id, 0::bigint i, 0::bigint "at", 0::bigint taken, null::bigint given, 0::bigint silence, 0::bigint "left" from (select distinct user_id from asks)
+      union all select s.user_id, s.i, s."at", f.taken + case when s.old > f.taken then least(320, s.come - f.taken) else 0 end, case when s.old > f.taken then least(320, s.come - f.taken) end,
+                       case when s.old > f.taken then 320 - least(320, s.come - f.taken) else 0 end, s.come - f.taken - case when s.old > f.taken then least(320, s.come - f.taken) else 0 end
+      from f join seen s on s.user_id = f.user_id and s.i = f.i + 1)
+select user_id, "at", given, silence, "left" from f where i > 0""")
+def st16(spark, d):
+    """What reads get from a buffer that holds chunks back for three seconds, and the silence for what has not come."""
+    e = ticks(spark, d)
+    chunk = e.where("event_id % 3 != 0").select("user_id", "at", (160 + 16 * (F.col("event_id") % 11)).alias("n"))
+    return B.jitter_reads(chunk, e.where("event_id % 3 = 0").select("user_id", "at", F.lit(320).alias("n")), "user_id", 3000)
+
+
+@query("k15_saver", f"""with recursive {TICKS}, l as (select user_id, "at", 48000 * (event_id % 97) n, ("at" // 20000) % 2 = 0 ok, row_number() over (partition by user_id order by "at", event_id) i, count(*) over (partition by user_id) most from e),
+f as (select user_id, 0::bigint i, 0::bigint most, 0::bigint "at", ''::varchar "event", 0::bigint samples, 0::bigint pending, 0::bigint dropped, 0::bigint failures, null::bigint retry_at, 0::bigint number from (select distinct user_id from l)
+      union all select user_id, i, most, "at", "event", case when "event" = 'written' then x end, case when "event" = 'written' then 0 else x - lost end, lost, case "event" when 'written' then 0 when 'failed' then failures + 1 else failures end,
+                       case "event" when 'written' then null when 'failed' then "at" + least(5000 * 2 ** least(failures, 4), 60000)::bigint else retry_at end, case when "event" = 'written' then number + 1 else number end
+      from (select *, case when "event" in ('waits', 'failed') then greatest(0, x - 28800000) else 0 end lost
+      from (select f.user_id, l.i, l.most, l."at", f.pending + l.n x, case when f.pending + l.n < 1440000 then '' when f.retry_at > l."at" then 'waits' when l.ok then 'written' else 'failed' end "event", f.failures, f.retry_at, f.number
+            from f join l on l.user_id = f.user_id and l.i = f.i + 1)))
+select user_id, "at", "event", case when "event" = 'written' then number - 1 end::int "checkpoint", coalesce(samples, 0) samples, pending, dropped, retry_at from f where "event" <> ''
+union all select user_id, "at", 'rest', number::int, pending, 0, 0, null from f where i > 0 and i = most and pending > 0""")
+def k15(spark, d):
+    """The checkpoints of each user's audio, with writes that fail for twenty seconds of every forty."""
+    log = ticks(spark, d).withColumns({"n": 48000 * (F.col("event_id") % 97), "ok": F.floor(F.col("at") / 20000) % 2 == 0})
+    return B.checkpoints(log, "user_id", ["at", "event_id"])
