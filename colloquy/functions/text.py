@@ -266,3 +266,28 @@ def snake_keys(rows: DataFrame, group: str, order: str, title: str) -> DataFrame
     key = F.regexp_replace(F.replace(F.lower(title), F.lit(" & "), F.lit("_")), " ", "_")
     nth = F.row_number().over(Window.partitionBy(group, key).orderBy(order))
     return rows.withColumn("section_key", F.when(nth == 1, key).otherwise(F.concat(key, F.lit("_"), order)))
+
+
+#: What a summary's template and its instructions say.
+TEMPLATE_TITLE = "# <Add Title here>\n\n"
+TITLE_INSTRUCTION = "- **For the main title (`# [AI-Generated Title]`):** Analyze the entire transcript and create a concise, descriptive title for the meeting.\n"
+SECTION_INSTRUCTION = ("- **For the '", "' section:** ", ".\n")
+ITEM_INSTRUCTION = ("  - Items in this section should follow the format: `", "`.\n")
+
+
+def template_markdown(sections: Column) -> Column:
+    """The empty summary of a template's sections (title, ...), in their order."""
+    return F.concat(F.lit(TEMPLATE_TITLE), F.array_join(F.transform(sections, lambda s: F.concat(F.lit("**"), s["title"], F.lit("**\n\n"))), ""))
+
+
+def template_instructions(sections: Column) -> Column:
+    """What a model is told of each section (title, instruction, item_format, example_item_format); the example stands in for
+    a format that is null."""
+
+    def told(s: Column) -> Column:
+        for_the, section, end = map(F.lit, SECTION_INSTRUCTION)
+        before, after = map(F.lit, ITEM_INSTRUCTION)
+        form = F.concat(before, F.coalesce(s["item_format"], s["example_item_format"]), after)
+        return F.concat(for_the, s["title"], section, s["instruction"], end, F.coalesce(form, F.lit("")))
+
+    return F.concat(F.lit(TITLE_INSTRUCTION), F.array_join(F.transform(sections, told), ""))

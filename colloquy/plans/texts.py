@@ -128,6 +128,18 @@ def f17(spark, d):
     return s.select("o_custkey", F.concat(F.lit("# Notes\n"), F.array_join(F.transform("s", lambda x: F.concat(F.lit("**"), x["title"], F.lit("**"))), "\n")).alias("markdown"))
 
 
+@query("f17_instructions", f"""with {TEMPLATE}, s as (select *, case when o_orderkey % 2 = 0 then '| ' || title || ' |' end form, case when o_orderkey % 5 = 0 then '- ' || fmt end example from t)
+select o_custkey, '# <Add Title here>' || chr(10) || chr(10) || string_agg('**' || title || '**' || chr(10) || chr(10), '' order by o_orderkey) markdown,
+       '- **For the main title (`# [AI-Generated Title]`):** Analyze the entire transcript and create a concise, descriptive title for the meeting.' || chr(10) || string_agg('- **For the ' || chr(39) || title || chr(39) || ' section:** Write a ' || fmt || '.' || chr(10)
+       || coalesce('  - Items in this section should follow the format: `' || coalesce(form, example) || '`.' || chr(10), ''), '' order by o_orderkey) instructions from s group by 1""")
+def f17b(spark, d):
+    """The empty summary of each customer's template, and what a model is told of its sections."""
+    form, example = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("| "), "title", F.lit(" |"))), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("- "), "fmt"))
+    section = F.struct("o_orderkey", "title", F.concat(F.lit("Write a "), "fmt").alias("instruction"), form.alias("item_format"), example.alias("example_item_format"))
+    sections = template_sections(spark, d).groupBy("o_custkey").agg(F.sort_array(F.collect_list(section)).alias("s"))
+    return sections.select("o_custkey", X.template_markdown(F.col("s")).alias("markdown"), X.template_instructions(F.col("s")).alias("instructions"))
+
+
 @query("f18_template_errors", f"with {TEMPLATE} select o_custkey, min_by(case when fmt not in ('paragraph','list','string') then 'bad format in ' || title end, o_orderkey) filter (fmt not in ('paragraph','list','string')) error from t group by 1")
 def f18(spark, d):
     bad = F.when(~F.col("fmt").isin("paragraph", "list", "string"), F.concat(F.lit("bad format in "), "title"))

@@ -212,3 +212,25 @@ def test_windows_with_many_labels(spark, tmp_path):
         own = [got[w, i] for i in range(3)]
         assert len(set(own)) == 3 and abs(sum(part[i, g] for i, g in enumerate(own)) - best) < 1e-5
     assert max(got.values()) > 15
+
+
+def test_fingerprints_of_many_texts(spark):
+    texts = [None, "", *("é日😀"[: k % 4] + "x" * (k * 7 % 90) for k in range(200))]
+
+    def plain(t):
+        h = 0xCBF29CE484222325
+        for b in t.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}:{len(t.encode())}"
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").coalesce(1)
+    assert {r["i"]: r["f"] for r in rows.select("i", U.fnv1a(F.col("t")).alias("f")).collect()} == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+def test_template_instructions(spark):
+    kind = "s array<struct<title:string,instruction:string,item_format:string,example_item_format:string>>"
+    rows = spark.createDataFrame([([("One", "Say it", None, "- x"), ("Two", "Short", "a", "b"), ("Three", "List", None, None)],)], kind)
+    out = rows.select(X.template_markdown(F.col("s")).alias("m"), X.template_instructions(F.col("s")).alias("i")).first()
+    assert out["m"] == "# <Add Title here>\n\n**One**\n\n**Two**\n\n**Three**\n\n"
+    form = "  - Items in this section should follow the format: `%s`.\n"
+    assert out["i"].split("\n", 1)[1] == "- **For the 'One' section:** Say it.\n" + form % "- x" + "- **For the 'Two' section:** Short.\n" + form % "a" + "- **For the 'Three' section:** List.\n"
