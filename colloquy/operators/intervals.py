@@ -48,10 +48,12 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, nearest_ms: int = 100
     # a margin on the turns' side brings the nearest turns into the same buckets
     left = time_buckets(seg, F.col("s"), F.col("e"), bucket_ms)
     right = time_buckets(turn, F.col("ts") - nearest_ms, F.col("te") + nearest_ms, bucket_ms)
-    both = left.join(right, ["meeting_id", "bucket"]).where((F.col("ts") - nearest_ms <= F.col("e")) & (F.col("te") + nearest_ms >= F.col("s"))).dropDuplicates(["meeting_id", "id", "speaker_key", "ts", "te"])
-    part = F.greatest(F.lit(0), F.least("e", "te") - F.greatest("s", "ts"))
+    both = left.join(right, ["meeting_id", "bucket"]).where((F.col("ts") - nearest_ms <= F.col("e")) & (F.col("te") + nearest_ms >= F.col("s")))
+    # a pair that meets in several buckets counts in each the time within it
+    part = F.greatest(F.lit(0), F.least("e", "te", (F.col("bucket") + 1) * bucket_ms) - F.greatest("s", "ts", F.col("bucket") * bucket_ms))
     gap = F.greatest(F.lit(0), F.greatest(F.col("ts") - F.col("e"), F.col("s") - F.col("te")))
-    by_speaker = both.withColumn("part", part).withColumn("gap", gap).groupBy("meeting_id", "id", "s", "e", "speaker_key", "speaker_index").agg(F.sum("part").alias("total"), F.min(F.struct("gap", "ts", "te")).alias("near"))
+    # dealt once by segment: sums and ranks need no other shuffle
+    by_speaker = both.withColumn("part", part).withColumn("gap", gap).repartition("meeting_id", "id").groupBy("meeting_id", "id", "s", "e", "speaker_key", "speaker_index").agg(F.sum("part").alias("total"), F.min(F.struct("gap", "ts", "te")).alias("near"))
     best = Window.partitionBy("meeting_id", "id").orderBy(F.desc("total"), F.when(F.col("total") > 0, F.col("speaker_index")), "near.gap", "near.ts", "speaker_index")
     ranked = by_speaker.withColumn("r", F.row_number().over(best)).where("r = 1 and (total > 0 or near.gap <= %d)" % nearest_ms)
     return ranked.select("meeting_id", "id", "speaker_key", F.least(F.lit(1.0), F.col("total") / (F.col("e") - F.col("s"))).alias("overlap"))
