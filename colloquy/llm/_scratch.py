@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.sources.files import shared_dir
@@ -18,6 +22,23 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def lean(run: Callable) -> Callable:
+    """The same function over batches, whose worker gives its free memory back when a task ends: workers are reused, and
+    what the allocators keep counts against the executor while other stages run."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc has it
+                trim(0)
+
+    return task
+
+
 class Scratch:
     """Parquet tables of one run. Writing one cuts the lineage and survives lost executors."""
 

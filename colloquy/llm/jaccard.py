@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm._bitset import filter_rows, set_bits, slot_of
-from colloquy.llm._scratch import Scratch
+from colloquy.llm._scratch import Scratch, lean
 from colloquy.llm._text import Words, chunks, join, mix, string_parts
 from colloquy.llm.components import components
 
@@ -212,7 +212,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     def names(ids, sets):
         return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap_of(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([wide_bitmap_of(s) for s in sets], pa.list_(pa.int64()))]
 
-    nodes = scratch.save(kept.mapInArrow(_per_document(width, names, ["doc_id", "n_shingles", "node", "bits", "wide"], sets_of), f"doc_id {id_type}, n_shingles bigint, node bigint, bits array<bigint>, wide array<bigint>"), "nodes")
+    nodes = scratch.save(kept.mapInArrow(lean(_per_document(width, names, ["doc_id", "n_shingles", "node", "bits", "wide"], sets_of)), f"doc_id {id_type}, n_shingles bigint, node bigint, bits array<bigint>, wide array<bigint>"), "nodes")
     # the document with the smallest id stands for all with its set; the others are left out of all that follows
     known = nodes.where("doc_id is not null and node is not null")
     least = scratch.save(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "least")
@@ -232,7 +232,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         return [pa.array(group), pa.array(node)]
 
     slotted = kept.where("doc_id is not null").select("doc_id", "text", slot_of("doc_id").alias("slot"))
-    shuffled = slotted.mapInArrow(_per_document(width, parts, ["grp", "node"], sets_of, stands), "grp bigint, node bigint").repartition("grp")
+    shuffled = slotted.mapInArrow(lean(_per_document(width, parts, ["grp", "node"], sets_of, stands)), "grp bigint, node bigint").repartition("grp")
     members = scratch.save(shuffled.dropDuplicates(["grp", "node"]).withColumn("many", F.count("*").over(Window.partitionBy("grp"))).where("many > 1"), "members")
     central = scratch.save(members.groupBy("node").agg(F.sum("many").alias("weight")), "central")
     leaders = members.join(central, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("best")).select("grp", F.col("best.node").alias("leader"))
@@ -248,10 +248,10 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         asked = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-asked")
         ids = set_bits(least.join(asked, "node", "left_semi").select(F.col("doc_id").alias("key")))
         told = spark.sparkContext.broadcast(ids)
-        full = slotted.mapInArrow(_per_document(width, arrays, ["node", "set"], sets_of, lambda slots: told.value.among(slots)), "node bigint, set array<bigint>")
+        full = slotted.mapInArrow(lean(_per_document(width, arrays, ["node", "set"], sets_of, lambda slots: told.value.among(slots))), "node bigint, set array<bigint>")
         full = scratch.save(full.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
         both = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint"), name)
+        links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a bigint, b bigint"), name)
         scratch.drop(f"{name}-asked", f"{name}-sets")
         return links
 
@@ -277,7 +277,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     tiled = apart.join(open_groups, "grp").join(sets.select("node", "n", "bits"), "node").withColumn("tiles", F.ceil(F.col("most") / tile_rows).cast("int"))
     tiled = tiled.withColumn("left", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select(F.col("grp").alias("group"), F.least("left", "other").alias("i"), F.greatest("left", "other").alias("j"), "left", "node", "component", "n", "bits")
-    rest = tiled.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(_sub_tiles(percent), "a bigint, b bigint")
+    rest = tiled.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lean(_sub_tiles(percent)), "a bigint, b bigint")
     rest = scratch.save(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
     scratch.drop("members", "central", "pairs", "bounded")
     if rest.take(1):

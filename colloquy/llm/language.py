@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm._scratch import lean
+
 SLOTS = 1 << 18
 WIDTH = 24
 #: The messages are scaled at every so many words.
@@ -289,7 +291,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
                     columns.append(pa.array([[model.labels[j] for j in g.argmax(1)] if m is not None else [] for g, m in zip(some, mean)], pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays(columns, [f[0] for f in fields])
 
-    return kept.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
+    return kept.mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in fields))
 
 
 def held_out(column: Column) -> Column:
@@ -316,4 +318,4 @@ def keep_known(docs: DataFrame, model: Crf, least_score: float, text_col: str =
             keep = [len(g) > 0 and g.shape[1] > 0 and float(g.max(1).mean(dtype=np.float64)) >= least_score for i in range(0, len(text), 500) for g in tagger.documents([t or "" for t in text[i : i + 500]])]
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm._scratch import Scratch
+from colloquy.llm._scratch import Scratch, lean
 from colloquy.llm.bpe import WordTokenizer, byte_letters, tokenizer
 
 #: Most pieces that a task keeps; the table is emptied beyond it, and when the task ends.
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
         tokens.table.clear()
 
     schema = PIECES.format(id=kept.schema["doc_id"].dataType.simpleString())
-    pieces = Scratch(spark, "packing").save(kept.mapInArrow(cut, schema), "pieces")
+    pieces = Scratch(spark, "packing").save(kept.mapInArrow(lean(cut), schema), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -220,4 +220,4 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
             yield pa.RecordBatch.from_arrays([*columns, pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(base, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, schema.split(", part")[0] + ", sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(place), schema.split(", part")[0] + ", sequence_id bigint, offset bigint")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import _sketch
 from colloquy.llm._bitset import filter_rows, set_bits, slot_of
-from colloquy.llm._scratch import Scratch
+from colloquy.llm._scratch import Scratch, lean
 from colloquy.llm._text import SEPARATOR, Names, Words, chunks, minimizers, mix, string_parts
 
 WORD_GRAM = 24
@@ -78,7 +78,7 @@ def _sketch_of(rows: DataFrame, window: int, gram: int, scratch: Scratch) -> _sk
             if grams:
                 yield _sketch.partial(np.concatenate(grams))
 
-    return _sketch.merge(rows.select("text").mapInArrow(run, _sketch.SCHEMA), scratch)
+    return _sketch.merge(rows.select("text").mapInArrow(lean(run), _sketch.SCHEMA), scratch)
 
 
 def _segments(rows: DataFrame, bits: _sketch.Repeated, window: int, gram: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _segments(rows: DataFrame, bits: _sketch.Repeated, window: int, gram: int) -
             if row:
                 yield flush()
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, mark bigint, start int, count int, gram bigint, name bigint, windows array<bigint>")
+    return rows.mapInArrow(lean(run), f"doc_id {id_type}, mark bigint, start int, count int, gram bigint, name bigint, windows array<bigint>")
 
 
 def repeated_word_windows(rows: DataFrame, window: int, scratch: Scratch) -> DataFrame:
@@ -176,7 +176,7 @@ def finish(rows: DataFrame, runs: DataFrame, columns: str, make) -> DataFrame:
     maybe = filter_rows(rows, "doc_id", bits)
     joined = maybe.join(keys.hint("merge"), maybe["doc_id"].eqNullSafe(keys["other_id"]) & (maybe["mark"] == keys["other_mark"]), "left").select("text", "runs", *kept)
     clear = rows.select("text", slot_of(rows["doc_id"]).alias("slot"), *kept)
-    return clear.mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
+    return clear.mapInArrow(lean(run), schema).unionByName(joined.mapInArrow(lean(run), schema))
 
 
 def _words(text: str) -> list[bytes]:
