@@ -142,14 +142,30 @@ def diarize(windows: DataFrame, embedded: DataFrame, lengths: DataFrame, how: Fr
     return speaker_turns(speaker_runs(windows, mapping, lengths, how), how, min_on_ms, min_off_ms)
 
 
+def count_errors(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    """(recording, speech, missed, false_alarm, confused) in frames, from runs (recording, who, s, e) of frames that do not
+    overlap for one ``who``; a hypothesis is right where the reference has the same ``who``.
+
+    Turn boundaries are events of +1 and -1; running sums over them tell how many speak and how many are right in each
+    stretch, so nothing has a row for each frame.
+    """
+    edges = lambda rows, r, h: rows.select("recording", "who", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(r).alias("dr"), F.lit(h).alias("dh")), F.struct(F.col("e").alias("t"), F.lit(-r).alias("dr"), F.lit(-h).alias("dh")))).alias("x")).select("recording", "who", "x.*")
+    steps = edges(reference, 1, 0).unionByName(edges(hypothesis, 0, 1)).groupBy("recording", "who", "t").agg(F.sum("dr").alias("dr"), F.sum("dh").alias("dh"))
+    own = Window.partitionBy("recording", "who").orderBy("t")
+    right = steps.withColumn("both", F.sum("dr").over(own) * F.sum("dh").over(own)).withColumn("dc", F.col("both") - F.coalesce(F.lag("both").over(own), F.lit(0)))
+    moments = right.groupBy("recording", "t").agg(F.sum("dr").alias("dr"), F.sum("dh").alias("dh"), F.sum("dc").alias("dc"))
+    order = Window.partitionBy("recording").orderBy("t")
+    run = moments.select("recording", (F.lead("t").over(order) - F.col("t")).alias("n"), *(F.sum(f"d{k}").over(order).alias(k) for k in "rhc"))
+    total = lambda c, name: F.coalesce(F.sum(F.col("n") * c), F.lit(0)).cast("bigint").alias(name)
+    return run.groupBy("recording").agg(total(F.col("r"), "speech"), total(F.greatest(F.col("r") - F.col("h"), F.lit(0)), "missed"), total(F.greatest(F.col("h") - F.col("r"), F.lit(0)), "false_alarm"), total(F.least("r", "h") - F.col("c"), "confused"))
+
+
 def error_rate(reference: DataFrame, hypothesis: DataFrame, frame_ms: int = 10) -> DataFrame:
     """(recording, speech, missed, false_alarm, confused, rate), in frames of ``frame_ms``, without a collar.
 
     Both sides are turns (recording, speaker, start_ms, end_ms). Hypothesis speakers stand for the reference speakers that
     the mapping with the most shared time gives them; each stands for one at most. Overlapping turns of one speaker count
     once. ``speech`` counts each reference speaker, ``rate`` is the errors' share of it (of one frame, if there is none).
-    Turn boundaries are events of +1 and -1; running sums over them tell how many speak and how many are right in each
-    stretch, so nothing has a row for each frame.
     """
     frame = lambda c: F.floor((F.col(c) + frame_ms / 2) / frame_ms).cast("bigint")
     quantised = lambda rows: rows.select("recording", "speaker", F.greatest(frame("start_ms"), F.lit(0)).alias("s"), F.greatest(frame("end_ms"), F.lit(0)).alias("e")).where("e > s")
@@ -159,14 +175,5 @@ def error_rate(reference: DataFrame, hypothesis: DataFrame, frame_ms: int = 10)
     named = hyp.join(mapping, ["recording", "speaker"], "left")
     # one name for each reference speaker and for each hypothesis speaker that stands for none
     who = F.when(F.col("stands_for").isNotNull(), F.struct(F.lit(True).alias("known"), F.col("stands_for").cast("string").alias("name"))).otherwise(F.struct(F.lit(False).alias("known"), F.col("speaker").cast("string").alias("name")))
-    edges = lambda rows, r, h: rows.select("recording", "who", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(r).alias("dr"), F.lit(h).alias("dh")), F.struct(F.col("e").alias("t"), F.lit(-r).alias("dr"), F.lit(-h).alias("dh")))).alias("x")).select("recording", "who", "x.*")
-    both = edges(ref.withColumn("who", F.struct(F.lit(True).alias("known"), F.col("speaker").cast("string").alias("name"))), 1, 0).unionByName(edges(named.withColumn("who", who), 0, 1))
-    steps = both.groupBy("recording", "who", "t").agg(F.sum("dr").alias("dr"), F.sum("dh").alias("dh"))
-    own = Window.partitionBy("recording", "who").orderBy("t")
-    right = steps.withColumn("both", F.sum("dr").over(own) * F.sum("dh").over(own)).withColumn("dc", F.col("both") - F.coalesce(F.lag("both").over(own), F.lit(0)))
-    moments = right.groupBy("recording", "t").agg(F.sum("dr").alias("dr"), F.sum("dh").alias("dh"), F.sum("dc").alias("dc"))
-    order = Window.partitionBy("recording").orderBy("t")
-    run = moments.select("recording", (F.lead("t").over(order) - F.col("t")).alias("n"), *(F.sum(f"d{k}").over(order).alias(k) for k in "rhc"))
-    total = lambda c, name: F.coalesce(F.sum(F.col("n") * c), F.lit(0)).cast("bigint").alias(name)
-    sums = run.groupBy("recording").agg(total(F.col("r"), "speech"), total(F.greatest(F.col("r") - F.col("h"), F.lit(0)), "missed"), total(F.greatest(F.col("h") - F.col("r"), F.lit(0)), "false_alarm"), total(F.least("r", "h") - F.col("c"), "confused"))
+    sums = count_errors(ref.withColumn("who", F.struct(F.lit(True).alias("known"), F.col("speaker").cast("string").alias("name"))), named.withColumn("who", who))
     return sums.withColumn("rate", (F.col("missed") + F.col("false_alarm") + F.col("confused")) / F.greatest("speech", F.lit(1)))

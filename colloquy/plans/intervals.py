@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.operators import diarize as D
 from colloquy.operators import intervals as I
 from colloquy.plans.registry import query
 from colloquy.sources.tables import RAW, SEG, TURNS, load, raw_turns, role_key, transcripts
@@ -144,14 +145,10 @@ def a22(spark, d):
 
     def frames(shift):
         first, end = F.ceil((F.col("start_ms") + shift) / 100), F.ceil((F.col("end_ms") + shift) / 100)
-        return t.where(end > first).select("meeting_id", F.explode(F.sequence(first, end - 1)).alias("f"), "speaker_key").distinct()
-
-    ref, hyp = frames(0), frames(300)
-    n = ref.groupBy("meeting_id", "f").agg(F.count("*").alias("a"))
-    m = hyp.groupBy("meeting_id", "f").agg(F.count("*").alias("b"))
-    both = ref.join(hyp, ["meeting_id", "f", "speaker_key"]).groupBy("meeting_id", "f").agg(F.count("*").alias("c"))
-    j = n.join(m, ["meeting_id", "f"], "left").join(both, ["meeting_id", "f"], "left").na.fill(0, ["b", "c"])
-    return j.groupBy("meeting_id").agg(F.sum("a").alias("reference"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("missed"), F.sum(F.least("a", "b") - F.col("c")).alias("confused"))
+        runs = t.select(F.col("meeting_id").alias("recording"), F.col("speaker_key").alias("who"), first.alias("s"), end.alias("e")).where("e > s")
+        return I.merge_runs(runs, ["recording", "who"], "s", "e", 1, 0)
+
+    return D.count_errors(frames(0), frames(300)).where("speech > 0").select(F.col("recording").alias("meeting_id"), F.col("speech").alias("reference"), "missed", "confused")
 
 
 @query("a14_w11_frame_votes", f"{ALL}, f as (select meeting_id, speaker_key k, unnest(range(start_ms // 1000, end_ms // 1000 + 1)) f from raw), v as (select meeting_id, f, k, count(*) n from f group by all), r as (select *, row_number() over (partition by meeting_id, f order by n desc, k) r from v) select meeting_id, f::bigint frame, k speaker_key from r where r <= 1")
