@@ -7,6 +7,7 @@ tasks, and a tile meets only the windows that reach into it.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import parts_of
 from colloquy.operators import intervals as I
 from colloquy.operators import vectors as V
 from colloquy.sources.files import settled
@@ -46,15 +48,38 @@ def embed_jobs(windows: DataFrame, how: Frames = Frames(), least: int = 10) -> D
     ``ranges`` are the runs of those frames as samples of the recording, from the first to behind the last; a run up to the
     window's end stops at its last frame. Windows without frames, or with null ones, have no jobs.
     """
-    local = windows.where(F.size("activity") > 0).select("recording", "window", "activity", F.explode(F.sequence(F.lit(0), F.lit(LOCALS - 1))).alias("local"))
-    n = F.size("activity")
-    on = lambda i: F.coalesce(F.get("activity", i) == bit_of(F.col("local")), F.lit(False))
-    every = F.sequence(F.lit(0), n)
-    begins, ends = F.filter(every, lambda i: on(i) & ~on(i - 1)), F.filter(every, lambda i: ~on(i) & on(i - 1))
-    sample = lambda k: (F.floor(k / n * how.window) + F.col("window") * how.step).cast("bigint")
-    ranges = F.zip_with(begins, ends, lambda a, b: F.struct(sample(a).alias("start"), sample(F.least(b, n - 1)).alias("end")))
-    clean = F.size(F.filter("activity", lambda m: m == bit_of(F.col("local"))))
-    return local.where(clean >= least).select("recording", "window", "local", clean.alias("clean"), ranges.alias("ranges"))
+    kind = windows.schema["recording"].dataType.simpleString()
+    start = windows.schema["window"].dataType.simpleString()
+    rows = windows.where(F.size("activity") > 0).select("recording", "window", F.col("activity").cast("array<int>").alias("activity"))
+    return rows.mapInArrow(functools.partial(_jobs, how, least), f"recording {kind}, window {start}, local int, clean int, ranges array<struct<start:bigint,end:bigint>>")
+
+
+def _jobs(how: Frames, least: int, batches):
+    for batch in parts_of(batches):
+        column = batch.column("activity")
+        mask, size = column.flatten().fill_null(0).to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+        first, window = np.concatenate([[0], np.cumsum(size)]), batch.column("window").to_numpy().astype(np.int64)
+        rows = np.repeat(np.arange(len(size)), size)
+        out = []
+        for local in range(LOCALS):
+            on = mask == 1 << local
+            clean = np.bincount(rows[on], minlength=len(size))
+            keep = clean >= least
+            # a run begins where the frame before is off or of another window, and likewise ends
+            here = np.flatnonzero(on & keep[rows])
+            new = np.diff(here, prepend=-2) != 1
+            new[1:] |= rows[here[1:]] != rows[here[:-1]]
+            head = np.flatnonzero(new)
+            begins, ends = here[head], here[np.append(head[1:], len(here)) - 1] + 1 if len(here) else here
+            row = rows[begins]
+            sample = lambda k: (np.floor(k / size[row] * how.window)).astype(np.int64) + window[row] * how.step
+            out.append((np.flatnonzero(keep), clean[keep], np.bincount(row, minlength=len(size))[keep], sample(begins - first[row]), sample(np.minimum(ends - first[row], size[row] - 1))))
+        picked, clean, count, begins, ends = (np.concatenate(x) for x in zip(*out))
+        local = np.repeat(np.arange(LOCALS, dtype=np.int32), [len(x[0]) for x in out])
+        spans = pa.StructArray.from_arrays([pa.array(begins), pa.array(ends)], ["start", "end"])
+        ranges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), spans)
+        at = pa.array(picked)
+        yield pa.RecordBatch.from_arrays([batch.column("recording").take(at), batch.column("window").take(at), pa.array(local), pa.array(clean.astype(np.int32)), ranges], ["recording", "window", "local", "clean", "ranges"])
 
 
 def speaker_runs(windows: DataFrame, mapping: DataFrame, lengths: DataFrame, how: Frames = Frames()) -> DataFrame:
@@ -65,7 +90,8 @@ def speaker_runs(windows: DataFrame, mapping: DataFrame, lengths: DataFrame, how
     least one. Frames behind the recording's end are left out.
     """
     named = mapping.groupBy("recording", "window").agg(F.collect_list(F.struct(F.col("local").cast("int").alias("local"), F.col("speaker").cast("bigint").alias("speaker"))).alias("names"))
-    known = windows.join(named, ["recording", "window"], "left").join(lengths, "recording")
+    # arrays take much more room than their files say: never sent to the driver
+    known = windows.join(named.hint("merge"), ["recording", "window"], "left").join(lengths.hint("merge"), "recording")
     first = F.floor(F.col("window") * how.step / how.shift + 0.5).cast("bigint")
     placed = known.where(F.size("activity") > 0).select("recording", "activity", "names", first.alias("first"), F.floor(F.col("samples") / how.shift).alias("last"))
     tiles = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("first") / TILE), F.floor((F.col("first") + F.size("activity") - 1) / TILE))))
@@ -78,17 +104,22 @@ def speaker_runs(windows: DataFrame, mapping: DataFrame, lengths: DataFrame, how
 
 
 def _vote(batches):
-    for batch in batches:
+    for batch in parts_of(batches):
         rows, speakers, firsts, ends = [], [], [], []
-        for k, (tile, last, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "last", "parts")))):
+        column = batch.column("parts")
+        parts, upto = column.flatten(), column.offsets.to_numpy()
+        upto, places, called = upto - upto[0], parts.field("at").to_numpy(), parts.field("names").to_pylist()
+        masks, edges = parts.field("part").flatten().to_numpy(zero_copy_only=False), parts.field("part").offsets.to_numpy()
+        edges = edges - edges[0]
+        for k, (tile, last) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("last").to_pylist())):
             active, covered = np.zeros(TILE), np.zeros(TILE)
             votes: dict[int, np.ndarray] = {}
-            for p in parts:
-                mask = np.array(p["part"], np.int64)
-                here = slice(p["at"], p["at"] + len(mask))
+            for p in range(upto[k], upto[k + 1]):
+                mask = masks[edges[p] : edges[p + 1]]
+                here = slice(places[p], places[p] + len(mask))
                 active[here] += np.bitwise_count(mask)
                 covered[here] += 1
-                for n in p["names"] or ():
+                for n in called[p] or ():
                     votes.setdefault(n["speaker"], np.zeros(TILE))[here] += mask >> n["local"] & 1
             if not votes:
                 continue

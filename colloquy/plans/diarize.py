@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import parts_of
 from colloquy.operators import diarize as D
 from colloquy.operators import intervals as I
 from colloquy.plans.intervals import ALL, J5, RANK, new_turns, turns
@@ -23,12 +26,30 @@ def windows(spark, d):
     last = F.greatest(F.lit(0), F.ceil((F.col("samples") - 160_000) / 48_000))
     spans = lengths(spark, d).select("recording", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("window"))
     t = turns(spark, d).select(F.col("meeting_id").alias("recording"), (F.substring("speaker_key", 2, 1).cast("int") - 1).alias("k"), (F.col("start_ms") * 16).alias("s"), (F.col("end_ms") * 16).alias("e"))
-    # a turn meets the windows that it reaches into
+    # a turn meets the windows that it reaches into; spans come along as rows, so there is no join
     near = t.withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("s") - 160_000) / 48_000)).cast("int"), F.greatest(F.lit(0), F.floor(F.col("e") / 48_000)).cast("int"))))
-    here = near.groupBy("recording", "window").agg(F.collect_list(F.struct("k", "s", "e")).alias("turns"))
-    bit = lambda x, f: F.when((x["s"] <= F.col("window") * 48_000 + f * 270) & (F.col("window") * 48_000 + f * 270 < x["e"]), D.bit_of(F.pmod(x["k"] + F.col("window"), F.lit(3)))).otherwise(0)
-    mask = lambda f: F.aggregate(F.coalesce("turns", F.array()), F.lit(0), lambda m, x: m.bitwiseOR(bit(x, f)))
-    return spans.join(here, ["recording", "window"], "left").select("recording", "window", F.transform(F.sequence(F.lit(0), F.lit(FRAMES_PER_WINDOW - 1)), mask).alias("activity"))
+    rows = near.select("recording", "window", F.struct("k", "s", "e").alias("turn")).unionByName(spans.withColumn("turn", F.lit(None).cast("struct<k:int,s:bigint,e:bigint>")))
+    here = rows.groupBy("recording", "window").agg(F.collect_list("turn").alias("turns"), F.max(F.col("turn").isNull()).alias("is_window")).where("is_window").drop("is_window")
+    return here.mapInArrow(_activity, "recording string, window int, activity array<int>")
+
+
+def _activity(batches):
+    for batch in parts_of(batches, 1 << 17):
+        n, turns = batch.num_rows, batch.column("turns")
+        row = np.repeat(np.arange(n), np.diff(turns.offsets.to_numpy()))
+        k, s, e = (turns.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "s", "e"))
+        window = batch.column("window").to_numpy().astype(np.int64)
+        # the first frame at or behind a time
+        frame = lambda t: np.clip(-((window[row] * 48_000 - t) // 270), 0, FRAMES_PER_WINDOW)
+        # frames at which a local speaker's turns begin and end, summed up along the window
+        place = (row * D.LOCALS + (k + window[row]) % D.LOCALS) * (FRAMES_PER_WINDOW + 1)
+        cells = n * D.LOCALS * (FRAMES_PER_WINDOW + 1)
+        begins, ends = frame(s), np.maximum(frame(s), frame(e))
+        edges = np.bincount(place + begins, minlength=cells) - np.bincount(place + ends, minlength=cells)
+        on = edges.reshape(n, D.LOCALS, -1)[:, :, :-1].cumsum(2) > 0
+        mask = (on << np.arange(D.LOCALS)[:, None]).sum(1).astype(np.int32)
+        activity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * FRAMES_PER_WINDOW), pa.array(mask.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("window"), activity], ["recording", "window", "activity"])
 
 
 ACTIVE = f"""{ALL},

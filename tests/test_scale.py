@@ -10,3 +10,9 @@ def plan(frame):
 def test_frame_errors_have_no_row_for_each_frame(spark, small):
     text = plan(registry.queries()["a22_frame_errors"](spark, small))
     assert "sequence(" not in text and "Join" not in text
+
+
+def test_embed_ranges_read_each_activity_once(spark, small):
+    """The activity of a window is made by one step and read by one, not anew for each of its frames."""
+    text = plan(registry.queries()["e11_embed_ranges"](spark, small))
+    assert text.count("MapInArrow") == 2 and "lambdafunction" not in text and "Join" not in text
