@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import by_key
+
 AUTO, MARGIN, SUGGEST = 0.5, 0.15, 0.35
 
 
@@ -207,12 +211,20 @@ def map_windows(rows: DataFrame, centroids: DataFrame, group: str, window: str,
     keys = [group, window]
     here = Window.partitionBy(*keys, local).orderBy(F.desc("sim"), "speaker")
     sims = rows.select(*keys, local, vector).join(centroids, group).select(*keys, local, "speaker", cosine(F.col(vector), F.col("centroid")).alias("sim"))
-    best = sims.withColumn("__r", F.row_number().over(here)).join(rows.groupBy(*keys).agg(F.count("*").alias("__n")), keys).where("__r <= __n")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index=local, columns="speaker", values="sim")
-        chosen = best_mapping(grid.fillna(-1e6).to_numpy(float)) if grid.shape[1] >= grid.shape[0] else [int(c) for c in grid.fillna(-1e6).to_numpy(float).argmax(1)]
-        return pd.DataFrame({group: pdf[group].iloc[0], window: pdf[window].iloc[0], local: grid.index, "speaker": [grid.columns[c] for c in chosen]})
+    best = sims.withColumn("__r", F.row_number().over(here)).join(rows.groupBy(*keys).agg(F.count("*").alias("__n")).hint("merge"), keys).where("__r <= __n")
+
+    def run(found):
+        sims: dict = {}
+        for x in found:
+            sims.setdefault(x[local], {})[x["speaker"]] = -1e6 if x["sim"] is None or np.isnan(x["sim"]) else x["sim"]
+        locals_, names = sorted(sims), sorted({n for own in sims.values() for n in own})
+        if len(names) < len(locals_):
+            return [(k, max(sorted(sims[k]), key=sims[k].get)) for k in locals_]
+        if len(locals_) <= 3:
+            ways = (w for w in itertools.product(*(sorted(sims[k].items(), key=lambda x: (-x[1], x[0])) for k in locals_)) if len({n for n, _ in w}) == len(w))
+            return list(zip(locals_, (n for n, _ in max(ways, key=lambda w: sum(x for _, x in w)))))
+        grid = np.array([[sims[k].get(n, -1e6) for n in names] for k in locals_])
+        return list(zip(locals_, (names[c] for c in best_mapping(grid))))
 
     kinds = {f.name: f.dataType.simpleString() for f in best.schema}
-    return best.select(*keys, local, "speaker", "sim").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*keys, local, "speaker")))
+    return by_key(best, keys, [local, "speaker", "sim"], run, f"{local} {kinds[local]}, speaker {kinds['speaker']}")

@@ -16,3 +16,13 @@ def test_embed_ranges_read_each_activity_once(spark, small):
     """The activity of a window is made by one step and read by one, not anew for each of its frames."""
     text = plan(registry.queries()["e11_embed_ranges"](spark, small))
     assert text.count("MapInArrow") == 2 and "lambdafunction" not in text and "Join" not in text
+
+
+def test_windows_are_mapped_without_a_table_each(spark):
+    from colloquy.operators import vectors as V
+
+    items = spark.createDataFrame([("r", w, k, [float(k == i) + 0.1 * w for i in range(3)]) for w in range(3) for k in range(3)], "recording string, window int, local int, e array<double>")
+    cents = spark.createDataFrame([("r", 10 + i, [float(i == (j + 1) % 3) for j in range(3)]) for i in range(3)], "recording string, speaker int, centroid array<double>")
+    frame = V.map_windows(items, cents, "recording", "window", "local", "e")
+    assert "FlatMapGroupsInPandas" not in plan(frame)
+    assert {(r["window"], r["local"], r["speaker"]) for r in frame.collect()} == {(w, k, 10 + (k + 1) % 3) for w in range(3) for k in range(3)}
