@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.arrow import by_key
+
 
 def merge_runs(rows: DataFrame, keys: list[str], start: str, end: str, min_gap: int, min_length: int) -> DataFrame:
     """Joins intervals of a key whose gap is below ``min_gap`` and keeps those longer than ``min_length``."""
@@ -90,20 +91,17 @@ def stable_labels(matrix: DataFrame, speakers: DataFrame, previous: DataFrame) -
     rows = rows.unionByName(speakers.select("meeting_id", F.lit("n").alias("kind"), F.col("n").cast("int").alias("speaker"), F.lit(None).cast("string").alias("speaker_key"), F.lit(0).cast("long").alias("overlap_ms")))
     rows = rows.unionByName(previous.select("meeting_id", F.lit("p").alias("kind"), F.lit(0).alias("speaker"), "speaker_key", F.lit(0).cast("long").alias("overlap_ms")).distinct())
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf.loc[pdf.kind == "n", "speaker"].max()) if (pdf.kind == "n").any() else 0
-        known = set(pdf.loc[pdf.kind == "p", "speaker_key"])
+    def label(found):
+        size = max((x["speaker"] for x in found if x["kind"] == "n" and x["speaker"] is not None), default=0)
+        known = {x["speaker_key"] for x in found if x["kind"] == "p"}
         got: dict[int, str] = {}
-        for r in pdf[pdf.kind == "o"].sort_values(["overlap_ms", "speaker", "speaker_key"], ascending=[False, True, True]).itertuples():
-            if r.speaker not in got and r.speaker_key not in got.values() and r.overlap_ms > 0:
-                got[r.speaker] = r.speaker_key
+        for x in sorted((x for x in found if x["kind"] == "o"), key=lambda x: (-x["overlap_ms"], x["speaker"], x["speaker_key"])):
+            if x["speaker"] not in got and x["speaker_key"] not in got.values() and x["overlap_ms"] > 0:
+                got[x["speaker"]] = x["speaker_key"]
         free = (f"S{i}" for i in range(1, 10**6) if f"S{i}" not in known)
-        for i in range(size):
-            if i not in got:
-                got[i] = next(free)
-        return pd.DataFrame({"meeting_id": pdf.meeting_id.iloc[0], "speaker": list(range(size)), "speaker_key": [got[i] for i in range(size)]})
+        return [(i, got[i] if i in got else next(free)) for i in range(size)]
 
-    return rows.groupBy("meeting_id").applyInPandas(label, "meeting_id string, speaker int, speaker_key string")
+    return by_key(rows, ["meeting_id"], ["kind", "speaker", "speaker_key", "overlap_ms"], label, "speaker int, speaker_key string")
 
 
 def best_speakers(matrix: DataFrame) -> DataFrame:
@@ -115,13 +113,13 @@ def best_speakers(matrix: DataFrame) -> DataFrame:
 
     from colloquy.operators.vectors import best_mapping
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index="speaker", columns="speaker_key", values="overlap_ms", fill_value=0).astype(float)
-        wide = np.hstack([grid.to_numpy(), np.zeros((len(grid), len(grid)))])
-        pairs = [(grid.index[i], grid.columns[g]) for i, g in enumerate(best_mapping(wide)) if g < grid.shape[1] and wide[i, g] > 0]
-        out = pd.DataFrame(pairs, columns=["speaker", "speaker_key"])
-        out.insert(0, "meeting_id", [pdf.meeting_id.iloc[0]] * len(pairs))
-        return out
+    def run(found):
+        shared: dict = {}
+        for x in found:
+            shared[x["speaker"], x["speaker_key"]] = shared.get((x["speaker"], x["speaker_key"]), 0) + x["overlap_ms"]
+        speakers, keys = sorted({s for s, _ in shared}), sorted({k for _, k in shared})
+        wide = np.array([[float(shared.get((s, k), 0)) for k in keys] + [0.0] * len(speakers) for s in speakers])
+        return [(speakers[i], keys[g]) for i, g in enumerate(best_mapping(wide)) if g < len(keys) and wide[i, g] > 0]
 
     kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
-    return matrix.groupBy("meeting_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("meeting_id", "speaker", "speaker_key")))
+    return by_key(matrix.dropna(subset=["speaker", "speaker_key"]), ["meeting_id"], ["speaker", "speaker_key", "overlap_ms"], run, f"speaker {kinds['speaker']}, speaker_key {kinds['speaker_key']}")

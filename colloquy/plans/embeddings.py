@@ -141,17 +141,7 @@ def j14(spark, d):
     from colloquy.plans.intervals import new_turns, turns
 
     m = I.overlap_matrix(new_turns(spark, d), turns(spark, d))
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index="speaker", columns="speaker_key", values="overlap_ms", fill_value=0)
-        wide = np.hstack([grid.to_numpy(float), np.zeros((len(grid), len(grid)))])
-        best = V.best_mapping(wide)
-        pairs = [(int(s), grid.columns[g]) for i, (s, g) in enumerate(zip(grid.index, best)) if g < grid.shape[1] and wide[i, g] > 0]
-        return pd.DataFrame([(pdf.meeting_id.iloc[0], *p) for p in pairs], columns=["meeting_id", "speaker", "speaker_key"])
-
-    return m.groupBy("meeting_id").applyInPandas(run, "meeting_id string, speaker int, speaker_key string")
+    return I.best_speakers(m.withColumn("speaker", F.col("speaker").cast("int")))
 
 
 @query("p5_voiceprint_state", "select vec_id, case when vec_id % 30 < 10 then 'too_short' when vec_id % 4 = 0 or (case when vec_id % 5 = 0 then null when vec_id % 7 = 0 then 'old' else 'm1' end) is distinct from 'm1' then 'voice_missing' when vec_id % 2 = 1 and label not in (select label from embeddings where vec_id < 5) then 'not_saved' else 'ready' end state from embeddings")

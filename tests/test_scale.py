@@ -26,3 +26,7 @@ def test_windows_are_mapped_without_a_table_each(spark):
     frame = V.map_windows(items, cents, "recording", "window", "local", "e")
     assert "FlatMapGroupsInPandas" not in plan(frame)
     assert {(r["window"], r["local"], r["speaker"]) for r in frame.collect()} == {(w, k, 10 + (k + 1) % 3) for w in range(3) for k in range(3)}
+
+
+def test_der_mapping_has_no_table_for_each_meeting(spark, small):
+    assert "FlatMapGroupsInPandas" not in plan(registry.queries()["j14_der_mapping"](spark, small))
