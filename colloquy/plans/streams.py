@@ -126,7 +126,8 @@ def st19(spark, d):
 @query("k15_checkpoints", "with c as (select user_id, value, sum((value * 1000)::bigint) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row)::bigint total from events) select user_id, (total - 1) // 300000 checkpoint, count(*) n from c group by 1, 2")
 def k15(spark, d):
     """Flushes by cumulative sample count."""
-    n = F.round(F.col("value") * 1000).cast("long")
+    # a cast to a whole number rounds halves to even
+    n = F.rint(F.col("value") * 1000).cast("long")
     total = F.sum(n).over(Window.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     return events(spark, d).withColumn("total", total).groupBy("user_id", F.floor((F.col("total") - 1) / 300000).alias("checkpoint")).agg(F.count("*").alias("n"))
 
