@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Halves away from zero of the number times a power of ten, as SQL engines and C do it; a
+    negative number that rounds to nothing is -0.0. ``F.round`` rounds the digits that are printed instead, to 0.0 there."""
+    scaled = x * float(10**places)
+    out = F.round(F.abs(scaled)) * F.signum(scaled) / float(10**places)
+    return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
