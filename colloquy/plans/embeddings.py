@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from colloquy.functions import audio as A
 from colloquy.operators import vectors as V
 from colloquy.plans.registry import query
 from colloquy.sources.tables import RAW, SEG, TURNS, load
@@ -23,24 +24,24 @@ c0 as (select label, list(m order by i) c from pm group by 1), cent as (select l
 def e1(spark, d):
     v = vecs(spark, d)
     b = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f"))
-    return v.join(b, "vec_id").select("vec_id", F.round(V.cosine(F.col("e"), F.col("f")), 6).alias("cosine"))
+    return v.join(b, "vec_id").select("vec_id", A.rounded(V.cosine(F.col("e"), F.col("f")), 6).alias("cosine"))
 
 
 @query("e2_unit", f"with {VEC} select vec_id, list_transform(e, lambda x: round(x * 3 / greatest(sqrt(list_sum(list_transform(e, lambda y: 9 * y * y))), 1e-12), 6)) unit from v")
 def e2(spark, d):
-    return vecs(spark, d).select("vec_id", F.transform(V.unit(F.transform("e", lambda x: x * 3)), lambda x: F.round(x, 6)).alias("unit"))
+    return vecs(spark, d).select("vec_id", F.transform(V.unit(F.transform("e", lambda x: x * 3)), lambda x: A.rounded(x, 6)).alias("unit"))
 
 
 @query("a12_e5_weighted_profile", f"with {VEC}, pl as (select vec_id, label, (vec_id % 50)::double w, unnest(e) x, generate_subscripts(e, 1) i from v where vec_id % 50 >= 10), pm as (select label, i, sum(x * w) / sum(w) m from pl group by 1, 2), c0 as (select label, list(m order by i) c from pm group by 1) select label::bigint label, list_transform(c, lambda x: round(x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-12), 5)) profile from c0")
 def a12(spark, d):
     """Profiles from sources with at least ten seconds, weighted by their seconds."""
     rows = vecs(spark, d).withColumn("secs", (F.col("vec_id") % 50).cast("double"))
-    return V.mean_vector(rows.where("secs >= 10"), "label", "e", F.col("secs")).select(F.col("label").cast("long").alias("label"), F.transform("centroid", lambda x: F.round(x, 5)).alias("profile"))
+    return V.mean_vector(rows.where("secs >= 10"), "label", "e", F.col("secs")).select(F.col("label").cast("long").alias("label"), F.transform("centroid", lambda x: A.rounded(x, 5)).alias("profile"))
 
 
 @query("a13_centroids", f"with {CENT} select label::bigint label, list_transform(c, lambda x: round(x, 5)) centroid from cent")
 def a13(spark, d):
-    return V.mean_vector(vecs(spark, d), "label", "e").select(F.col("label").cast("long").alias("label"), F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
+    return V.mean_vector(vecs(spark, d), "label", "e").select(F.col("label").cast("long").alias("label"), F.transform("centroid", lambda x: A.rounded(x, 5)).alias("centroid"))
 
 
 MATCH = f"{CENT}, p as (select c from cent where label = 0), s as (select label % 3 g, label, list_cosine_similarity(cent.c, p.c) sim from cent, p), r as (select *, row_number() over (partition by g order by sim desc, label desc) r, lead(sim) over (partition by g order by sim desc, label desc) nx from s)"
@@ -50,7 +51,7 @@ MATCH = f"{CENT}, p as (select c from cent where label = 0), s as (select label
 def e3(spark, d):
     cents = V.mean_vector(vecs(spark, d), "label", "e")
     m = V.match_self(cents.withColumn("g", (F.col("label") % 3).cast("long")), cents.where("label = 0"), "g", "label")
-    return m.select("g", F.col("label").cast("long").alias("label"), F.round("similarity", 5).alias("similarity"), "decision")
+    return m.select("g", F.col("label").cast("long").alias("label"), A.rounded(F.col("similarity"), 5).alias("similarity"), "decision")
 
 
 @query("e4_apply_match", f"with {MATCH} select g::bigint g, label::bigint label from r where r = 1 and sim >= 0.5 and sim - coalesce(nx, '-inf'::double) >= 0.15 and g not in (select label % 3 from v where label = 4)")
@@ -70,7 +71,7 @@ def e7(spark, d):
     """Within recordings of 25 embeddings."""
     q = vecs(spark, d).withColumn("g", F.floor(F.col("vec_id") / 25))
     a, b = q.select("g", F.col("vec_id").alias("a"), F.col("e").alias("x")), q.select("g", F.col("vec_id").alias("b"), F.col("e").alias("y"))
-    return a.join(b, "g").where("a < b").select("a", "b", F.round(F.greatest(F.lit(0.0), 1 - V.cosine(F.col("x"), F.col("y"))), 6).alias("distance"))
+    return a.join(b, "g").where("a < b").select("a", "b", A.rounded(F.greatest(F.lit(0.0), 1 - V.cosine(F.col("x"), F.col("y"))), 6).alias("distance"))
 
 
 def recordings(spark, d):
