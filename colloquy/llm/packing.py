@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm._scratch import Scratch, lean
-from colloquy.llm.bpe import WordTokenizer, byte_letters, tokenizer
+from colloquy.llm.bpe import PLAIN_TEXT, WordTokenizer, byte_letters, tokenizer
 
-#: Most pieces that a task keeps; the table is emptied beyond it, and when the task ends.
-PIECES_KEPT = 200_000
+#: Most words that a task keeps; the table is emptied beyond it, and when the task ends.
+WORDS_KEPT = 400_000
 PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
 class TokenBytes:
-    """Token ids of texts as little-endian 32-bit numbers, by the tokenizers library: each word is given to its model once,
-    and pieces between which no word reaches are kept."""
+    """Token ids of texts as little-endian 32-bit numbers, by the tokenizers library: texts are cut into words, each word is
+    given to its model once, and words are kept. Pieces between blanks are more various: 1.4 times as many differ."""
 
     def __init__(self, splitter: WordTokenizer):
         self.splitter = splitter
@@ -38,23 +38,23 @@ class TokenBytes:
 
     def of(self, texts: list[str]) -> list[bytes]:
         out, table, special = [], self.table, self.splitter.special
-        if len(table) > PIECES_KEPT:
-            table.clear()
+        words_of = self.splitter.words.findall
         for text in texts:
-            pieces = None if any(s in text for s in special) else self.splitter.chunks(text)
-            if pieces is None:
+            if any(s in text for s in special) or PLAIN_TEXT.fullmatch(text) is None:
                 out.append(array("I", self.splitter.library.encode(text, add_special_tokens=False).ids).tobytes())
                 continue
-            found = list(map(table.get, pieces))
+            if len(table) > WORDS_KEPT:
+                table.clear()
+            words = words_of(text)
+            found = list(map(table.get, words))
             if None in found:
-                found = [self.learn(p) if x is None else x for x, p in zip(found, pieces)]
+                found = [self.learn(w) if x is None else x for x, w in zip(found, words)]
             out.append(b"".join(found))
         return out
 
-    def learn(self, piece: str) -> bytes:
-        tokenize, letter = self.model.tokenize, self.letter
-        ids = [t.id for w in self.splitter.words.findall(piece) for t in tokenize(w.encode().decode("latin-1").translate(letter))]
-        value = self.table[piece] = array("I", ids).tobytes()
+    def learn(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letter)
+        value = self.table[word] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return value
 
 

@@ -134,3 +134,19 @@ def test_code_switched_words(spark):
     docs = spark.createDataFrame([(1, mixed), (2, None), (3, "12 34")], "doc_id bigint, text string")
     assert [r["doc_id"] for r in language.keep_known(docs, model, 0.6).collect()] == [1]
     assert zlib.crc32(b"x") and bpe.encode_decode(frame(spark, [mixed]), WORD).count() == 1
+
+
+def test_a_word_is_given_to_the_model_once_whatever_it_is_next_to():
+    tokens = packing.TokenBytes(bpe.tokenizer(BYTE))
+    model, asked = tokens.model, []
+
+    class Asked:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    tokens.model = Asked()
+    texts = ["one two.\nThree", "one two, Three\ttwo", "(one) two... Three's", "\n one  two.", "İ one", ""]
+    got = tokens.of(texts)
+    assert len(asked) == len(set(asked))
+    assert got == [np.array(tokens.splitter.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
