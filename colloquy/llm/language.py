@@ -21,7 +21,9 @@ WIDTH = 24
 #: The messages are scaled at every so many words.
 SCALED = 4
 #: Most pieces whose scores a task keeps.
-KEPT = 100_000
+KEPT = 60_000
+#: What is worked out at once: new words, texts, and words of padded texts.
+WORDS, TEXTS, PADDED = 4_000, 200, 100_000
 UNKNOWN = "und"
 
 
@@ -87,12 +89,12 @@ class Crf:
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores of words, (n, labels)."""
         out = np.zeros((len(words), len(self.labels)), np.float32)
-        for i in range(0, len(words), 20_000):
-            slots, used = features(words[i : i + 20_000])
+        for i in range(0, len(words), WORDS):
+            slots, used = features(words[i : i + WORDS])
             total = np.zeros((len(slots), len(self.labels)), np.float32)
             for f in range(slots.shape[1]):
                 total += self.weights[slots[:, f]] * used[:, f, None]
-            out[i : i + 20_000] = total / np.sqrt(used.sum(1))[:, None]
+            out[i : i + WORDS] = total / np.sqrt(used.sum(1))[:, None]
         return out
 
     def posteriors(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -252,7 +254,7 @@ class _Tagger:
         order = sorted((i for i in range(len(words)) if len(words[i])), key=lambda i: len(words[i]))
         group: list[int] = []
         for i in order:
-            if group and len(words[i]) * (len(group) + 1) > 400_000:
+            if group and len(words[i]) * (len(group) + 1) > PADDED:
                 self.group(group, words, out)
                 group = []
             group.append(i)
@@ -270,6 +272,11 @@ class _Tagger:
             out[i] = gamma[row, : lengths[row]]
 
 
+def texts_of(batch: pa.RecordBatch, column: str, at: int) -> list[str]:
+    """TEXTS of a batch's texts, as only so many are held as Python's."""
+    return [t or "" for t in batch.column(column).slice(at, TEXTS).to_pylist()]
+
+
 def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """The language of every whole text: the label with the highest mean probability over its words, and that mean.
 
@@ -282,11 +289,10 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
     def run(batches):
         tagger = _Tagger(model)
         for batch in batches:
-            text = batch.column("text").to_pylist()
-            for i in range(0, len(text), 500):
-                some = tagger.documents([t or "" for t in text[i : i + 500]])
+            for i in range(0, batch.num_rows, TEXTS):
+                some = tagger.documents(texts_of(batch, "text", i))
                 mean = [g.mean(0, dtype=np.float64) if len(g) and g.shape[1] else None for g in some]
-                columns = [batch.column("doc_id").slice(i, 500), pa.array([UNKNOWN if m is None else model.labels[int(m.argmax())] for m in mean], pa.string()), pa.array([0.0 if m is None else float(min(1.0, m.max())) for m in mean], pa.float64())]
+                columns = [batch.column("doc_id").slice(i, TEXTS), pa.array([UNKNOWN if m is None else model.labels[int(m.argmax())] for m in mean], pa.string()), pa.array([0.0 if m is None else float(min(1.0, m.max())) for m in mean], pa.float64())]
                 if words:
                     columns.append(pa.array([[model.labels[j] for j in g.argmax(1)] if m is not None else [] for g, m in zip(some, mean)], pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays(columns, [f[0] for f in fields])
@@ -314,8 +320,7 @@ def keep_known(docs: DataFrame, model: Crf, least_score: float, text_col: str =
     def run(batches):
         tagger = _Tagger(model)
         for batch in batches:
-            text = batch.column(text_col).to_pylist()
-            keep = [len(g) > 0 and g.shape[1] > 0 and float(g.max(1).mean(dtype=np.float64)) >= least_score for i in range(0, len(text), 500) for g in tagger.documents([t or "" for t in text[i : i + 500]])]
+            keep = [len(g) > 0 and g.shape[1] > 0 and float(g.max(1).mean(dtype=np.float64)) >= least_score for i in range(0, batch.num_rows, TEXTS) for g in tagger.documents(texts_of(batch, text_col, i))]
             yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
     return docs.mapInArrow(lean(run), docs.schema)

@@ -175,8 +175,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("at", "piece", "start", "length", "crc", "nth")}
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at, ids in enumerate(x for i in range(0, len(texts), 200) for x in tokens.of(texts[i : i + 200])):
+            texts = batch.column("text")
+            for at, ids in enumerate(x for i in range(0, len(texts), 200) for x in tokens.of([t or "" for t in texts.slice(i, 200).to_pylist()])):
                 ids += tail
                 n = len(ids) // 4
                 first = n if n <= max_len else n % max_len or max_len

@@ -1,6 +1,7 @@
 """Cases that each operator defines: colliding sums, clashing columns, null and repeated ids, other kinds of ids."""
 
 import re
+import tracemalloc
 import zlib
 
 import corpus_pipeline
@@ -150,3 +151,16 @@ def test_a_word_is_given_to_the_model_once_whatever_it_is_next_to():
     got = tokens.of(texts)
     assert len(asked) == len(set(asked))
     assert got == [np.array(tokens.splitter.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_the_memory_of_language_labels_is_bounded():
+    """Texts of many new words: features and messages are worked out for a part of them at once."""
+    rng = np.random.default_rng(3)
+    model = language.Crf(list("abcd"), np.zeros((language.SLOTS, 4), np.float32), np.zeros((4, 4), np.float32), np.zeros(4, np.float32))
+    texts = [" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (300, 8))) for _ in range(200)]
+    tracemalloc.start()
+    got = language._Tagger(model).documents(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g.shape for g in got] == [(300, 4)] * 200 and np.allclose(got[0], 0.25)
+    assert peak < 40 << 20
