@@ -10,18 +10,10 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.functions.arrow import small_batches
 from colloquy.sources.files import shared_dir
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Bounds the bytes of an Arrow batch, so that a Python worker holds little of a table with long texts at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "64m").lower().rstrip("b")
-    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
-    if int(now.rstrip("kmg")) << unit > most:
-        spark.conf.set(name, str(most))
-
-
 def lean(run: Callable) -> Callable:
     """The same function over batches, whose worker gives its free memory back when a task ends: workers are reused, and
     what the allocators keep counts against the executor while other stages run."""

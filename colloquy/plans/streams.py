@@ -147,7 +147,9 @@ case when regexp_matches(trim(text), '[.?!]\s') then regexp_extract(trim(text),
 def u1(spark, d):
     """Speech, language and summary models behind Arrow hooks, with deterministic stubs."""
     from colloquy.functions import models as M
+    from colloquy.functions.arrow import PART_BYTES, small_batches
 
+    small_batches(spark, PART_BYTES)
     docs = load(spark, d, "documents")
     out = docs.select("doc_id", M.transcribe("text").alias("t"), M.detect_language("text").alias("l"), M.summarise("text").alias("s"))
     return out.select("doc_id", F.col("t.text").alias("heard"), F.round("t.confidence", 6).alias("confidence"), "t.is_partial", "l.lang", "l.reliable", F.col("s.content").alias("summary"))

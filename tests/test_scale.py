@@ -1,5 +1,7 @@
 """What must not grow faster than the input: plans without a row for each frame, batches that are handled in parts."""
 
+import pytest
+
 from colloquy.plans import registry
 
 
@@ -55,3 +57,14 @@ def iter_nodes(node):
     children = node.children()
     for k in range(children.size()):
         yield from iter_nodes(children.apply(k))
+
+
+@pytest.mark.parametrize("name", ["m9_m11_m12_m14_m16_signal", "m15_resample_chunks", "m18_split_at_silence", "u1_u4_model_hooks"])
+def test_batches_of_arrays_and_texts_are_small(spark, small, name):
+    """Python workers hold several times a batch: its bytes are bounded, whatever a row's size."""
+    from colloquy.functions.arrow import PART_BYTES
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    assert registry.queries()[name](spark, small).columns
+    assert int(spark.conf.get(conf)) == PART_BYTES
