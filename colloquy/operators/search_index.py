@@ -32,6 +32,13 @@ def bucket_of(gram: Column) -> Column:
     return F.pmod(F.crc32(F.encode(gram, "UTF-8")), F.lit(BUCKETS)).cast("int")
 
 
+def postings_of(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, bucket), sorted in partitions of a bounded size: what grows is their number, frequent grams' included."""
+    posted = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(grams_of(F.col(text))).alias("gram"))
+    salted = posted.withColumns({"bucket": bucket_of(F.col("gram")), "salt": F.pmod(F.xxhash64("key"), F.lit(8))})
+    return salted.hint("rebalance", "bucket", "salt").sortWithinPartitions("bucket", "gram", "key").drop("salt")
+
+
 class Index:
     """Postings (gram, key) under a folder, in buckets by gram and sorted, so that a read skips files and row groups."""
 
@@ -41,10 +48,7 @@ class Index:
     @classmethod
     def build(cls, rows: DataFrame, path: str, key: str = "id", text: str = "transcript") -> Index:
         """Posts (key, text); a key is a text of its own. Null texts and keys are found by no search."""
-        posted = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(grams_of(F.col(text))).alias("gram"))
-        # a frequent gram's postings go to several tasks
-        salted = posted.withColumns({"bucket": bucket_of(F.col("gram")), "salt": F.pmod(F.xxhash64("key"), F.lit(8))})
-        salted.repartition("bucket", "salt").sortWithinPartitions("bucket", "gram", "key").drop("salt").write.partitionBy("bucket").parquet(path)
+        postings_of(rows, key, text).write.partitionBy("bucket").parquet(path)
         return cls(rows.sparkSession, path)
 
     def postings(self, grams: list[str]) -> DataFrame:

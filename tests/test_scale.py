@@ -1,6 +1,7 @@
 """What must not grow faster than the input: plans without a row for each frame, batches that are handled in parts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.plans import registry
 
@@ -68,3 +69,21 @@ def test_batches_of_arrays_and_texts_are_small(spark, small, name):
     spark.conf.unset(conf)
     assert registry.queries()[name](spark, small).columns
     assert int(spark.conf.get(conf)) == PART_BYTES
+
+
+def test_postings_are_dealt_in_partitions_of_bounded_size(spark):
+    """Partitions are split by their size, so that one bucket's sort doesn't grow with the table."""
+    from colloquy.operators.search_index import postings_of
+
+    rows = spark.range(3000).selectExpr("cast(id as string) id", "'the same words' transcript")
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        out = postings_of(rows.repartition(8), "id", "transcript")
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+        assert out.count() == 3000 * 12 and out.columns == ["key", "gram", "bucket"]
+        assert len(sizes) > 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
