@@ -38,9 +38,11 @@ def read_csv(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
     # a file is read by one task from its beginning, so ids rise along it
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.regexp_replace(F.col(text), r"^\s+|\s+$", "").alias("text")).where("text != ''")
     same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    empty = _files(spark, path, "*.csv").select(same("file").alias("name")).join(rows.select(same("file").alias("name")).distinct(), "name", "left_anti").orderBy("name").take(5)
-    if empty:
-        raise NoRows("no text is left in " + ", ".join(r["name"] for r in empty))
+    # files are listed once more only if some have no rows
+    if rows.select("file").distinct().count() < len(raw._jdf.inputFiles()):
+        empty = _files(spark, path, "*.csv").select(same("file").alias("name")).join(rows.select(same("file").alias("name")).distinct(), "name", "left_anti").orderBy("name").take(5)
+        if empty:
+            raise NoRows("no text is left in " + ", ".join(r["name"] for r in empty))
     order = Window.partitionBy("file").orderBy("line")
     timed = rows.withColumn("d", duration_ms(F.col("text")))
     end = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -87,3 +87,18 @@ def test_postings_are_dealt_in_partitions_of_bounded_size(spark):
     finally:
         for k, v in keep.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_csv_files_are_listed_once(spark, tmp_path, monkeypatch):
+    """A second listing is made only to name files without a text."""
+    from colloquy.sources import transcripts as T
+
+    real, asked = T._files, []
+    monkeypatch.setattr(T, "_files", lambda *a: asked.append(a) or real(*a))
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("text\nsome words\n")
+    assert T.read_csv(spark, str(tmp_path)).count() == 3 and not asked
+    (tmp_path / "3.csv").write_text("text\n  \n")
+    with pytest.raises(T.NoRows, match="3.csv"):
+        T.read_csv(spark, str(tmp_path))
+    assert len(asked) == 1
