@@ -3,8 +3,9 @@
 Sets of one size band meet in a tile. Within a tile the hash space is cut into one more part than two similar sets of the
 band can differ by, so two linked sets agree in a whole part; equal parts name a group. A group's sets are compared with
 the group's most central set first; what is then still apart is compared in square sub-tiles of bounded size. Hashed
-bitmaps bound each overlap from above, and pairs that pass intersect their sorted arrays. Equal sets count as one node,
-so copies never multiply.
+bitmaps bound each overlap from above, and pairs that pass intersect their sorted arrays. Sub-tiles give no pairs: those on
+bitmaps give the sets that have a candidate, those on arrays as many links as join what is linked. Equal sets count as one
+node, so copies never multiply.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from colloquy.llm.components import components
 #: Ratio of the size bands, and parts above the least number, so that a few empty parts do not count.
 BAND, SPARE = 1.5, 6
 BITMAP_LONGS, MOST_LONGS = 16, 2048
+#: So many of a set's smallest groups go along with it: two sets that share several groups are compared in one of them.
+LEAST_GROUPS = 16
 _edges = [1]
 while _edges[-1] < 1 << 40:
     _edges.append(max(_edges[-1] + 1, int(_edges[-1] * BAND)))
@@ -143,54 +146,99 @@ def _verify(percent: int):
     return run
 
 
-def _sub_tiles(percent: int):
-    """Pairs of different components in one sub-tile that pass the size and bitmap bounds; rows arrive sorted by tile."""
-
-    def pairs(rows):
-        group, node, component, n, bits, left, i, j = rows
-        a, b = np.flatnonzero(left == i), np.flatnonzero(left == j)
-        out = []
-        for p, x in enumerate(a.tolist()):
-            ys = b[p + 1 :] if i == j else b
-            ys = ys[component[ys] != component[x]]
-            if len(ys):
-                small, large = np.minimum(n[ys], n[x]), np.maximum(n[ys], n[x])
-                ys = ys[small * 100 >= large * percent]
-            if len(ys):
-                top = overlap_bound(bits[ys], bits[x], n[ys], n[x])
-                ys = ys[similar(n[ys], n[x], top, percent)]
-                out += [(int(node[x]), int(node[y])) for y in ys]
-        return out
+def _whole_tiles(batches):
+    """Tables of whole tiles, of rows that arrive sorted by tile, with the number where each tile starts and the last ends."""
+    rest = None
 
-    def run(batches):
-        rest = None
-        names = ["group", "i", "j", "left", "node", "component", "n", "bits"]
-
-        def emit(table):
-            key = [table.column(c).to_numpy() for c in ("group", "i", "j")]
-            columns = {c: table.column(c).to_numpy() for c in ("left", "node", "component", "n")}
-            bits = np.array(table.column("bits").combine_chunks().flatten()).reshape(-1, BITMAP_LONGS).view(np.uint64)
-            change = np.ones(len(key[0]), bool)
-            change[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
-            starts = np.flatnonzero(change).tolist()
-            found = []
-            for s, e in zip(starts, [*starts[1:], len(change)]):
-                c = {k: v[s:e] for k, v in columns.items()}
-                found += pairs((key[0][s], c["node"], c["component"], c["n"], bits[s:e], c["left"], key[1][s], key[2][s]))
-            a = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+    def starts(table):
+        key = [table.column(c).to_numpy() for c in ("group", "i", "j")]
+        return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])]))
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).select(names)
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            g = [rest.column(c).to_numpy() for c in ("group", "i", "j")]
-            same = (g[0] == g[0][-1]) & (g[1] == g[1][-1]) & (g[2] == g[2][-1])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield emit(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield emit(rest)
+            edge = starts(rest)
+            if len(edge) > 1:
+                yield rest.slice(0, edge[-1]), edge
+                rest = rest.slice(edge[-1])
+    if rest is not None:
+        yield rest, np.append(starts(rest), rest.num_rows)
+
+
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    values = np.array(column.flatten()).view(np.uint64)
+    return np.split(values, np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def _as_long(bits: np.ndarray, longs: int) -> np.ndarray:
+    """The same set's bitmap of fewer bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, longs), 0)
+
+
+def _candidates(tile: dict, bits: np.ndarray, percent: int):
+    """For one row of a tile after the other, the rows of other components that the bounds leave, if the pair belongs to
+    this group: the two share no smaller group by what is known of each one's smallest groups."""
+    left, component, n, least, group = (tile[k] for k in ("left", "component", "n", "least", "group"))
+    a, b = np.flatnonzero(left == tile["i"]), np.flatnonzero(left == tile["j"])
+    for p, x in enumerate(a.tolist()):
+        ys = b[p + 1 :] if tile["i"] == tile["j"] else b
+        ys = ys[component[ys] != component[x]]
+        ys = ys[np.minimum(n[ys], n[x]) * 100 >= np.maximum(n[ys], n[x]) * percent]
+        if len(ys):
+            ys = ys[similar(n[ys], n[x], overlap_bound(bits[ys], bits[x], n[ys], n[x]), percent)]
+        if len(ys):
+            ys = ys[~np.isin(least[ys], least[x][least[x] < group]).any(1)]
+        if len(ys):
+            yield x, ys
+
+
+def _tiles_of(batches):
+    """(rows, columns, lists of ``data``) of each tile."""
+    for table, edge in _whole_tiles(batches):
+        columns = {c: table.column(c).to_numpy() for c in ("group", "i", "j", "left", "node", "component", "n")}
+        columns["least"] = np.array(table.column("least").combine_chunks().flatten()).reshape(-1, LEAST_GROUPS)
+        data = _lists(table.column("data"))
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            tile = {c: v[s] if c in ("group", "i", "j") else v[s:e] for c, v in columns.items()}
+            yield table.slice(s, e - s), tile, data[s:e]
+
+
+def _near_rows(percent: int):
+    """The rows, once each, that have a candidate by bitmaps in their tile."""
+
+    def run(batches):
+        for rows, tile, data in _tiles_of(batches):
+            shortest = min(len(d) for d in data)
+            bits = np.array([d if len(d) == shortest else _as_long(d, shortest) for d in data])
+            near = np.zeros(len(data), bool)
+            for x, ys in _candidates(tile, bits, percent):
+                near[x] = near[ys] = True
+            if near.any():
+                yield from rows.select(["group", "node", "component", "n"]).filter(pa.array(near)).to_batches()
+
+    return run
+
+
+def _links(percent: int):
+    """Links that join the components of each tile's sets as all of its links would: fewer than it has rows."""
+
+    def run(batches):
+        for _, tile, data in _tiles_of(batches):
+            most = max(BITMAP_LONGS, min(MOST_LONGS, 1 << max(0, int(2 * tile["n"].max() - 1).bit_length() - 6)))
+            bits = np.array([bitmap_of(d, most) for d in data]).view(np.uint64)
+            tile["component"] = tile["component"].copy()
+            found = []
+            for x, ys in _candidates(tile, bits, percent):
+                for y in ys.tolist():
+                    one, other = tile["component"][x], tile["component"][y]
+                    if one != other and similar(len(data[x]), len(data[y]), len(np.intersect1d(data[x], data[y], assume_unique=True)), percent):
+                        found.append((tile["node"][x], tile["node"][y]))
+                        tile["component"][tile["component"] == other] = one
+            if found:
+                both = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
 
     return run
 
@@ -235,7 +283,7 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     shuffled = slotted.mapInArrow(lean(_per_document(width, parts, ["grp", "node"], sets_of, stands)), "grp bigint, node bigint").repartition("grp")
     members = scratch.save(shuffled.dropDuplicates(["grp", "node"]).withColumn("many", F.count("*").over(Window.partitionBy("grp"))).where("many > 1"), "members")
     central = scratch.save(members.groupBy("node").agg(F.sum("many").alias("weight")), "central")
-    leaders = members.join(central, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("best")).select("grp", F.col("best.node").alias("leader"))
+    leaders = scratch.save(members.join(central, "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("best")).select("grp", F.col("best.node").alias("leader")), "leaders")
     first_pairs = members.join(leaders, "grp").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     first_pairs = scratch.save(first_pairs, "pairs")
 
@@ -243,13 +291,17 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
         some = [s for s in sets if len(s)]
         return [pa.array([node_of(s) for s in some], pa.int64()), pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))]
 
-    def exact(pairs: DataFrame, name: str) -> DataFrame:
-        """The linked ones of pairs that passed the bounds: only their sets are fetched, from one document each."""
-        asked = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-asked")
+    def fetched(asked: DataFrame, name: str) -> DataFrame:
+        """node and set of the nodes asked for, from one document each."""
+        asked = scratch.save(asked, f"{name}-asked")
         ids = set_bits(least.join(asked, "node", "left_semi").select(F.col("doc_id").alias("key")))
         told = spark.sparkContext.broadcast(ids)
         full = slotted.mapInArrow(lean(_per_document(width, arrays, ["node", "set"], sets_of, lambda slots: told.value.among(slots))), "node bigint, set array<bigint>")
-        full = scratch.save(full.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        return scratch.save(full.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+
+    def exact(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of pairs that passed the bounds: only their sets are fetched."""
+        full = fetched(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
         both = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a bigint, b bigint"), name)
         scratch.drop(f"{name}-asked", f"{name}-sets")
@@ -271,17 +323,31 @@ def linked_components(docs: DataFrame, width: int = 5, percent: int = 80, tile_r
     links = exact(bounded(first_pairs, "bounded"), "links")
     joined = components(links, scratch, "first")
 
-    # groups with members that are still apart: compare those not yet compared
-    apart = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_groups = apart.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("many").alias("most")).where("lo != hi and most > 2").select("grp", "most")
-    tiled = apart.join(open_groups, "grp").join(sets.select("node", "n", "bits"), "node").withColumn("tiles", F.ceil(F.col("most") / tile_rows).cast("int"))
-    tiled = tiled.withColumn("left", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select(F.col("grp").alias("group"), F.least("left", "other").alias("i"), F.greatest("left", "other").alias("j"), "left", "node", "component", "n", "bits")
-    rest = tiled.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lean(_sub_tiles(percent)), "a bigint, b bigint")
-    rest = scratch.save(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
-    scratch.drop("members", "central", "pairs", "bounded")
-    if rest.take(1):
-        more = exact(bounded(rest, "more-bounded"), "more")
+    # groups whose members, but for the one that all were compared with, are still apart: what the bounds leave of them
+    # stays as rows of sets, never as pairs
+    others = members.join(leaders, "grp").where("node != leader").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_groups = others.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    apart = others.join(open_groups, "grp", "left_semi").join(sets.select("node", "n"), "node").select(F.col("grp").alias("group"), "node", "component", "n")
+    apart = scratch.save(apart, "apart")
+    filled = F.concat(F.sort_array(F.collect_list("group")), F.array_repeat(F.lit((1 << 63) - 1), LEAST_GROUPS))
+    smallest = scratch.save(apart.groupBy("node").agg(F.slice(filled, 1, LEAST_GROUPS).alias("least")), "smallest")
+
+    def dealt(rows: DataFrame, data: DataFrame, numbers: Column) -> DataFrame:
+        """Rows of (node, data) in square tiles of ``tile_rows`` rows a side, and of 2048 ``numbers`` for each of these."""
+        sized = rows.groupBy("group").agg(F.ceil(F.greatest(F.count("*"), F.sum(numbers) / 2048) / tile_rows).cast("int").alias("tiles"))
+        tiled = rows.join(sized, "group").withColumn("left", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.withColumns({"i": F.least("left", "other"), "j": F.greatest("left", "other")}).join(data.join(smallest, "node"), "node")
+        return tiled.select("group", "i", "j", "left", "node", "component", "n", "least", "data").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    near = apart
+    for name, bits in (("near", F.col("bits")), ("nearer", F.coalesce("wide", "bits"))):
+        kept_rows = dealt(near, sets.select("node", bits.alias("data")), F.lit(0)).mapInArrow(lean(_near_rows(percent)), apart.schema)
+        near = scratch.save(kept_rows.distinct(), name)
+    scratch.drop("members", "central", "leaders", "pairs", "bounded", "apart", "near")
+    if near.take(1):
+        full = fetched(near.select("node").distinct(), "more")
+        more = scratch.save(dealt(near, full.withColumnRenamed("set", "data"), F.col("n")).mapInArrow(lean(_links(percent)), "a bigint, b bigint"), "more")
+        scratch.drop("more-asked", "more-sets", "nearer", "smallest")
         if more.take(1):
             joined = components(links.unionByName(more), scratch, "second")
 
