@@ -128,8 +128,10 @@ def k15(spark, d):
     """Flushes by cumulative sample count."""
     # a cast to a whole number rounds halves to even
     n = F.rint(F.col("value") * 1000).cast("long")
-    total = F.sum(n).over(Window.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return events(spark, d).withColumn("total", total).groupBy("user_id", F.floor((F.col("total") - 1) / 300000).alias("checkpoint")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("user_id").orderBy(F.col("at").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    total = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # whole numbers are divided towards zero: a total of nothing is in checkpoint 0
+    return events(spark, d).withColumn("total", total).groupBy("user_id", F.expr("(total - 1) div 300000").alias("checkpoint")).agg(F.count("*").alias("n"))
 
 
 @query("k16_recovered", "select user_id, count(*) n, string_agg(event_id::varchar, ',' order by event_id) parts from events group by 1")

@@ -34,6 +34,17 @@ def test_queries_round_like_their_sql(spark, tmp_path, name, table):
     assert sorted(str(tuple(r[c] for c in names)) for r in frame.collect()) == sorted(map(str, result.fetchall()))
 
 
+def test_checkpoints_of_odd_events(spark, tmp_path):
+    """Users that begin with nothing or below it, and events without a time, a number or a value."""
+    duck = duckdb.connect()
+    duck.execute(f"""copy (select case when k % 97 <> 5 then k end::bigint event_id, case when k % 89 <> 7 then timestamp '2024-01-01' + (k // 2) * interval 1 second end ts, (k % 4)::bigint user_id, 'view' event_type,
+        case when k < 12 then 0.0 when k % 4 = 3 then -150.0 - k % 7 when k % 83 = 11 then null else 150.0 + k % 13 end::double as value from range(3000) t(k)) to '{tmp_path}/events.parquet' (format parquet)""")
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    rows = registry.queries()["k15_checkpoints"](spark, str(tmp_path)).select("user_id", "checkpoint", "n").collect()
+    want = sorted(duck.execute(registry.oracle_sql()["k15_checkpoints"]).fetchall())
+    assert sorted(map(tuple, rows)) == want and min(c for _, c, _ in want) < 0
+
+
 def test_tidy_has_one_capital_letter(spark):
     texts = ["ßa", "ŉa", "ﬁn", "ᾀa", "ǆa", "éa", "  ab .", " ab  ", ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.tidy(F.col("t"))).collect()]
