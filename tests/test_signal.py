@@ -155,6 +155,29 @@ def test_filterbank(spark):
     assert abs((bank[:40].mean(0) - bank[55:].mean(0))[band] - 2 * np.log(100)) < 0.2
 
 
+def test_filterbank_tells_quiet_sounds_apart(spark):
+    """Samples count as 16-bit ones: a quiet tone's bands are those of a loud one, not all at the least energy."""
+    tone = np.sin(2 * np.pi * 1000 * np.arange(3_200) / 16_000) * np.linspace(0.5, 1, 3_200)
+    loud, quiet = (np.array(b) for b in column(spark, S.filterbank, tone, tone * 1e-4))
+    band = int(np.argmin(np.abs(np.linspace(S.mel(20), S.mel(8000), 82)[1:-1] - S.mel(1000))))
+    assert np.abs(loud).max() > 0.1 and np.abs(loud - quiet)[:, band - 5 : band + 6].max() < 1e-6
+    rng = np.random.default_rng(7).normal(0, 1e-7, 2_000)  # below the least energy unless scaled
+    (noise,) = column(spark, S.filterbank, rng)
+    assert np.abs(noise).max() > 0.1
+
+
+def test_signal_query_gives_the_bands(spark, small):
+    """Every band of every frame is in the result, not only how many frames there are."""
+    from colloquy.plans import registry
+
+    rows = registry.queries()["m9_m11_m12_m14_m16_signal"](spark, small).select("vec_id", "bank_frames", "bank").collect()
+    vector = dict(spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect())
+    for r in rows[:20]:
+        (want,) = column(spark, S.filterbank, list(vector[r["vec_id"]]) * 20)
+        assert r["bank_frames"] == len(r["bank"]) == len(want) == 6 and np.abs(np.array(r["bank"]) - np.array(want)).max() < 1e-6
+    assert len(rows) == len(vector) and all(len(b) == 80 for r in rows for b in r["bank"])
+
+
 def test_cuts_at_silence(spark):
     x = np.ones(4000)
     x[1400:1420] = 0  # between 12 and 18 s
