@@ -1,7 +1,7 @@
 """Who speaks when: from the activity of up to three local speakers in overlapping windows to turns of global speakers.
 
-A window is a row with one number for each frame, whose bits tell which local speakers are active; nothing has a row for
-each frame. What windows say about a stretch of time meets in tiles of ``TILE`` frames, so a long recording is spread over
+A window is a row with one number for each frame, whose bits tell which local speakers are active, as an array or, with much
+less work, as binary with a byte for each frame; nothing has a row for each frame. What windows say about a stretch of time meets in tiles of ``TILE`` frames, so a long recording is spread over
 tasks, and a tile meets only the windows that reach into it.
 """
 
@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.arrow import parts_of
+from colloquy.functions.arrow import fold_in_order, parts_of
 from colloquy.operators import intervals as I
 from colloquy.operators import vectors as V
 from colloquy.sources.files import settled
@@ -42,6 +43,19 @@ def bit_of(local: Column) -> Column:
     return F.get(F.array(*(F.lit(1 << k) for k in range(LOCALS))), local)
 
 
+def n_frames(windows: DataFrame) -> Column:
+    return F.octet_length("activity") if windows.schema["activity"].dataType.simpleString() == "binary" else F.size("activity")
+
+
+def frames_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The frames of all rows, one row after the other, and how many each row has."""
+    if pa.types.is_binary(column.type):
+        size, (_, at, data) = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.buffers()
+        first = int(np.frombuffer(at, np.int32)[column.offset]) if len(column) else 0
+        return np.frombuffer(data or b"", np.uint8)[first : first + size.sum()], size
+    return column.flatten().fill_null(0).to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
 def embed_jobs(windows: DataFrame, how: Frames = Frames(), least: int = 10) -> DataFrame:
     """(recording, window, local, clean, ranges) for each local speaker who speaks alone in ``least`` frames of a window.
 
@@ -50,14 +64,13 @@ def embed_jobs(windows: DataFrame, how: Frames = Frames(), least: int = 10) -> D
     """
     kind = windows.schema["recording"].dataType.simpleString()
     start = windows.schema["window"].dataType.simpleString()
-    rows = windows.where(F.size("activity") > 0).select("recording", "window", F.col("activity").cast("array<int>").alias("activity"))
+    rows = windows.where(n_frames(windows) > 0).select("recording", "window", "activity")
     return rows.mapInArrow(functools.partial(_jobs, how, least), f"recording {kind}, window {start}, local int, clean int, ranges array<struct<start:bigint,end:bigint>>")
 
 
 def _jobs(how: Frames, least: int, batches):
-    for batch in parts_of(batches):
-        column = batch.column("activity")
-        mask, size = column.flatten().fill_null(0).to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    for batch in parts_of(batches, 1 << 20):
+        mask, size = frames_of(batch.column("activity"))
         first, window = np.concatenate([[0], np.cumsum(size)]), batch.column("window").to_numpy().astype(np.int64)
         rows = np.repeat(np.arange(len(size)), size)
         out = []
@@ -93,50 +106,58 @@ def speaker_runs(windows: DataFrame, mapping: DataFrame, lengths: DataFrame, how
     # arrays take much more room than their files say: never sent to the driver
     known = windows.join(named.hint("merge"), ["recording", "window"], "left").join(lengths.hint("merge"), "recording")
     first = F.floor(F.col("window") * how.step / how.shift + 0.5).cast("bigint")
-    placed = known.where(F.size("activity") > 0).select("recording", "activity", "names", first.alias("first"), F.floor(F.col("samples") / how.shift).alias("last"))
-    tiles = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("first") / TILE), F.floor((F.col("first") + F.size("activity") - 1) / TILE))))
+    placed = known.where(n_frames(windows) > 0).select("recording", "activity", "names", first.alias("first"), n_frames(windows).alias("n"), F.floor(F.col("samples") / how.shift).alias("last"))
+    tiles = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("first") / TILE), F.floor((F.col("first") + F.col("n") - 1) / TILE))))
     skip = F.greatest(F.lit(0), F.col("tile") * TILE - F.col("first")).cast("int")
     at = F.greatest(F.lit(0), F.col("first") - F.col("tile") * TILE).cast("int")
-    part = F.slice("activity", skip + 1, F.lit(TILE) - at)
+    cut = F.substring if windows.schema["activity"].dataType.simpleString() == "binary" else F.slice
+    part = cut("activity", skip + 1, F.lit(TILE) - at)
     gathered = tiles.groupBy("recording", "tile").agg(F.max("last").alias("last"), F.collect_list(F.struct(at.alias("at"), part.alias("part"), "names")).alias("parts"))
     kind = windows.schema["recording"].dataType.simpleString()
     return gathered.mapInArrow(_vote, f"recording {kind}, speaker bigint, first bigint, end bigint")
 
 
 def _vote(batches):
-    for batch in parts_of(batches):
-        rows, speakers, firsts, ends = [], [], [], []
+    for batch in parts_of(batches, 1 << 19):
         column = batch.column("parts")
-        parts, upto = column.flatten(), column.offsets.to_numpy()
-        upto, places, called = upto - upto[0], parts.field("at").to_numpy(), parts.field("names").to_pylist()
-        masks, edges = parts.field("part").flatten().to_numpy(zero_copy_only=False), parts.field("part").offsets.to_numpy()
-        edges = edges - edges[0]
-        for k, (tile, last) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("last").to_pylist())):
-            active, covered = np.zeros(TILE), np.zeros(TILE)
-            votes: dict[int, np.ndarray] = {}
-            for p in range(upto[k], upto[k + 1]):
-                mask = masks[edges[p] : edges[p + 1]]
-                here = slice(places[p], places[p] + len(mask))
-                active[here] += np.bitwise_count(mask)
-                covered[here] += 1
-                for n in called[p] or ():
-                    votes.setdefault(n["speaker"], np.zeros(TILE))[here] += mask >> n["local"] & 1
-            if not votes:
-                continue
-            names = np.array(sorted(votes))
-            table = np.stack([votes[s] for s in names])
-            many = np.floor(active / np.maximum(covered, 1) + 0.5)
-            place = np.argsort(np.argsort(-table, axis=0, kind="stable"), axis=0, kind="stable")
-            on = (place < many) & (table > 0) & (tile * TILE + np.arange(TILE) <= last)
-            edge = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            who, start = np.nonzero(edge == 1)
-            _, stop = np.nonzero(edge == -1)
-            rows += [k] * len(who)
-            speakers.append(names[who])
-            firsts.append(start + tile * TILE)
-            ends.append(stop + tile * TILE)
-        if rows:
-            yield pa.RecordBatch.from_arrays([batch.column("recording").take(pa.array(rows)), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (speakers, firsts, ends))], ["recording", "speaker", "first", "end"])
+        parts, n = column.flatten(), batch.num_rows
+        masks, size = frames_of(parts.field("part"))
+        tile = np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
+        first, at = np.cumsum(size) - size, parts.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = np.repeat(tile * TILE + at - first, size) + np.arange(len(masks))
+        covered = np.bincount(cells, minlength=n * TILE)
+        active = np.bincount(cells, np.bitwise_count(masks), n * TILE)
+        many = np.floor(active / np.maximum(covered, 1) + 0.5).reshape(n, TILE)
+        # a line of votes for each speaker who is named in a tile, by tile and speaker
+        names = parts.field("names")
+        part = np.repeat(np.arange(len(parts)), names.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        local, speaker = (names.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("local", "speaker"))
+        order = np.lexsort((speaker, tile[part]))
+        part, local, speaker = part[order], local[order], speaker[order]
+        new = np.ones(len(part), bool)
+        new[1:] = (np.diff(tile[part]) != 0) | (np.diff(speaker) != 0)
+        line, who, where = np.cumsum(new) - 1, speaker[new], tile[part][new]
+        if not len(who):
+            continue
+        long = size[part]
+        frame = np.repeat(first[part] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        said = masks[frame] >> np.repeat(local, long) & 1
+        votes = np.bincount(np.repeat(line * TILE + at[part] - first[part], long) + frame, said, len(who) * TILE).reshape(-1, TILE)
+        # a speaker's place is the number of those in the tile with more votes, or as many and a smaller number
+        place = np.zeros(votes.shape, np.int64)
+        begin = np.searchsorted(where, where)
+        count = np.searchsorted(where, where, "right") - begin
+        for k in np.unique(count):
+            of = np.flatnonzero((count == k) & (begin == np.arange(len(where))))[:, None] + np.arange(k)
+            place[of] = np.argsort(np.argsort(-votes[of], axis=1, kind="stable"), axis=1, kind="stable")
+        on = (place < many[where]) & (votes > 0)
+        index, last = (batch.column(c).to_numpy().astype(np.int64)[where] for c in ("tile", "last"))
+        on &= index[:, None] * TILE + np.arange(TILE) <= last[:, None]
+        edge = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, start = np.nonzero(edge == 1)
+        _, stop = np.nonzero(edge == -1)
+        if len(row):
+            yield pa.RecordBatch.from_arrays([batch.column("recording").take(pa.array(where[row])), *(pa.array(x) for x in (who[row], start + index[row] * TILE, stop + index[row] * TILE))], ["recording", "speaker", "first", "end"])
 
 
 def speaker_turns(runs: DataFrame, how: Frames = Frames(), min_on_ms: int = 100, min_off_ms: int = 500) -> DataFrame:
@@ -144,10 +165,11 @@ def speaker_turns(runs: DataFrame, how: Frames = Frames(), min_on_ms: int = 100,
     ``min_on_ms`` kept. Speakers are numbered anew from 0 by their first turn (ties: the smaller number)."""
     spans = runs.select("recording", "speaker", (F.col("first") * how.shift).alias("start"), (F.col("end") * how.shift).alias("stop"))
     turns = I.merge_runs(spans, ["recording", "speaker"], "start", "stop", min_off_ms * how.rate // 1000, min_on_ms * how.rate // 1000)
-    order = turns.groupBy("recording", "speaker").agg(F.min("start").alias("begin"))
-    number = (F.row_number().over(Window.partitionBy("recording").orderBy("begin", "speaker")) - 1).cast("bigint")
+    # windows over the turns, so that what they are made of isn't worked out once more for a join
+    begun = turns.withColumn("begin", F.min("start").over(Window.partitionBy("recording", "speaker")))
+    number = (F.dense_rank().over(Window.partitionBy("recording").orderBy("begin", "speaker")) - 1).cast("bigint")
     frame = lambda c: how.millis((F.col(c) / how.shift))
-    return turns.join(order.withColumn("number", number), ["recording", "speaker"]).select("recording", F.col("number").alias("speaker"), frame("start").alias("start_ms"), frame("stop").alias("end_ms"))
+    return begun.withColumn("number", number).select("recording", F.col("number").alias("speaker"), frame("start").alias("start_ms"), frame("stop").alias("end_ms"))
 
 
 def global_speakers(items: DataFrame, threshold: float = 0.6, long: int = 60, min_size: int = 4, min_share: float = 0.02) -> DataFrame:
@@ -157,12 +179,23 @@ def global_speakers(items: DataFrame, threshold: float = 0.6, long: int = 60, mi
     are folded into the most similar large one; each window's locals are mapped one to one to the clusters' centroids, so
     that their similarity in all is largest. A recording has at most ``V.MOST_VECTORS`` jobs that are clustered.
     """
-    n_long = F.sum((F.col("clean") >= long).cast("int")).over(Window.partitionBy("recording"))
-    train = items.withColumn("n_long", n_long).where((F.col("n_long") < 2) | (F.col("clean") >= long)).withColumn("item", F.col("window") * LOCALS + F.col("local"))
-    labels = V.cluster(train, "recording", "item", "e", threshold)
-    folded = V.fold_small(train.join(labels, ["recording", "item"]), "recording", "item", "e", "label", "clean", min_size, min_share)
-    units = train.select("recording", "item", V.unit(F.col("e")).alias("u")).join(folded, ["recording", "item"]).withColumn("k", F.struct("recording", "label"))
-    cents = V.mean_vector(units, "k", "u").select("k.recording", F.col("k.label").alias("speaker"), "centroid")
+    def step(state, row):
+        # by falling ``clean``: the first two rows tell whether there are two long ones
+        held, n_long = state or ([], 0)
+        n_long += row["clean"] >= long
+        if n_long < 2 or row["clean"] >= long:
+            held.append((row["window"] * LOCALS + row["local"], row["clean"], row["e"]))
+            if len(held) > V.MOST_VECTORS:
+                raise ValueError(f"more than {V.MOST_VECTORS} vectors of one group can't be clustered")
+        return (held, n_long), []
+
+    def finish(state):
+        # clusters are numbered by their first job
+        _, clean, vectors = zip(*sorted(state[0], key=lambda x: x[0]))
+        return V.voices(np.array(vectors, float), np.array(clean, float), threshold, min_size, min_share)
+
+    reads = ["window", "local", "clean", "e"]
+    cents = fold_in_order(items.select("recording", *reads), ["recording"], [F.desc("clean"), "window", "local"], reads, step, finish, "speaker bigint, centroid array<double>")
     return V.map_windows(items, cents, "recording", "window", "local", "e")
 
 

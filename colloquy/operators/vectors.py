@@ -110,12 +110,36 @@ def average_linkage(vectors: np.ndarray, threshold: float = 0.6, clusters: int |
 def cluster(rows: DataFrame, group: str, item: str, vector: str, threshold: float = 0.6) -> DataFrame:
     """(group, item, label) by average linkage in each group: one recording's embeddings, ``MOST_VECTORS`` at most."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(item)
-        return pd.DataFrame({group: pdf[group], item: pdf[item], "label": average_linkage(np.vstack(pdf[vector].to_numpy()).astype(float), threshold).astype(np.int64)})
+    def run(found):
+        found.sort(key=lambda x: (x[item] is None, x[item]))
+        return list(zip((x[item] for x in found), average_linkage(np.array([x[vector] for x in found], float), threshold).tolist()))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(group, item, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {item} {kinds[item]}, label bigint")
+    return by_key(rows, [group], [item, vector], run, f"{item} {kinds[item]}, label bigint")
+
+
+def voices(vectors: np.ndarray, mass: np.ndarray, threshold: float, min_size: int, min_share: float) -> list[tuple[int, list[float]]]:
+    """(label, centroid) of one group's vectors: ``cluster``, ``fold_small`` and ``mean_vector`` of units for vectors that are
+    held at once anyway."""
+    label = average_linkage(vectors, threshold)
+    u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+    def means():
+        names = np.unique(label)
+        m = np.stack([u[label == k].mean(0) for k in names])
+        return names, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    names, cents = means()
+    share = np.bincount(label, mass)
+    small = (np.bincount(label) < min_size) | (share < min_share * share.sum())
+    if small.any() and not small.all():
+        large = ~small[names]
+        sims = u @ cents[large].T
+        # ties go to the larger label
+        nearest = names[large][len(names[large]) - 1 - sims[:, ::-1].argmax(1)]
+        label = np.where(small[label], nearest, label)
+        names, cents = means()
+    return list(zip(names.tolist(), cents.tolist()))
 
 
 def fold_small(rows: DataFrame, group: str, item: str, vector: str, label: str, mass: str, min_size: int, min_share: float = 0.02) -> DataFrame:

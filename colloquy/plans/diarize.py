@@ -30,7 +30,7 @@ def windows(spark, d):
     near = t.withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("s") - 160_000) / 48_000)).cast("int"), F.greatest(F.lit(0), F.floor(F.col("e") / 48_000)).cast("int"))))
     rows = near.select("recording", "window", F.struct("k", "s", "e").alias("turn")).unionByName(spans.withColumn("turn", F.lit(None).cast("struct<k:int,s:bigint,e:bigint>")))
     here = rows.groupBy("recording", "window").agg(F.collect_list("turn").alias("turns"), F.max(F.col("turn").isNull()).alias("is_window")).where("is_window").drop("is_window")
-    return here.mapInArrow(_activity, "recording string, window int, activity array<int>")
+    return here.mapInArrow(_activity, "recording string, window int, activity binary")
 
 
 def _activity(batches):
@@ -45,10 +45,13 @@ def _activity(batches):
         place = (row * D.LOCALS + (k + window[row]) % D.LOCALS) * (FRAMES_PER_WINDOW + 1)
         cells = n * D.LOCALS * (FRAMES_PER_WINDOW + 1)
         begins, ends = frame(s), np.maximum(frame(s), frame(e))
-        edges = np.bincount(place + begins, minlength=cells) - np.bincount(place + ends, minlength=cells)
-        on = edges.reshape(n, D.LOCALS, -1)[:, :, :-1].cumsum(2) > 0
-        mask = (on << np.arange(D.LOCALS)[:, None]).sum(1).astype(np.int32)
-        activity = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * FRAMES_PER_WINDOW), pa.array(mask.ravel()))
+        edges = np.zeros(cells, np.int16)
+        np.add.at(edges, place + begins, 1)
+        np.subtract.at(edges, place + ends, 1)
+        on = edges.reshape(n, D.LOCALS, -1)[:, :, :-1].cumsum(2, dtype=np.int16) > 0
+        mask = np.packbits(on, axis=1, bitorder="little")[:, 0]
+        at = pa.array(np.arange(n + 1, dtype=np.int32) * FRAMES_PER_WINDOW)
+        activity = pa.BinaryArray.from_buffers(pa.binary(), n, [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(mask))])
         yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("window"), activity], ["recording", "window", "activity"])
 
 
@@ -94,11 +97,11 @@ def a14(spark, d):
 def embedded(spark, d, said):
     """Jobs with a stand-in for a voice model: a speaker's vector, in a block of its own, with noise that differs by window."""
     jobs = D.embed_jobs(said).withColumn("k", F.pmod(F.col("local") - F.col("window"), F.lit(3)))
-    v = load(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    v = load(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.lit(1.0) + x.cast("double") * 0.05).alias("v"))
     count = v.agg((F.max("vec_id") + 1).alias("vectors"))
     number = F.regexp_extract("recording", "([0-9]+)$", 1).cast("bigint")
     picked = jobs.join(F.broadcast(count)).withColumn("vec_id", F.pmod(number * 31 + F.col("window") * 7, F.col("vectors"))).join(v, "vec_id")
-    block = lambda i: F.when(F.col("k") == i, F.transform("v", lambda x: F.lit(1.0) + x * 0.05)).otherwise(F.array_repeat(F.lit(0.0), F.size("v")))
+    block = lambda i: F.when(F.col("k") == i, F.col("v")).otherwise(F.array_repeat(F.lit(0.0), F.size("v")))
     return picked.select("recording", "window", "local", "clean", F.concat(*(block(i) for i in range(3))).alias("e"))
 
 

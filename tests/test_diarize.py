@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.operators import diarize as D
 from colloquy.operators import vectors as V
@@ -110,6 +111,41 @@ def test_votes_and_turns(spark, seed):
         assert sorted(turns[recording]) == sorted((millis(a), millis(b), names.setdefault(s, len(names))) for a, b, s in expect)
 
 
+def test_frames_as_bytes(spark):
+    """Frames as a byte each give the jobs and runs that arrays give."""
+    rows = [*random_windows(3, count=40), ("one", 0, [1] * 120), ("none", 0, []), ("null", 0, None)]
+    table = frames_table(spark, rows)
+    packed = spark.createDataFrame([(r, w, None if a is None else bytes(a)) for r, w, a in rows], "recording string, window int, activity binary")
+    jobs, other = (sorted(D.embed_jobs(t, HOW).collect()) for t in (table, packed))
+    assert jobs == other and len(jobs) > 50
+    mapping = spark.createDataFrame([(r, w, k, (k + w) % 3) for r, w, _ in rows for k in range(3)], "recording string, window int, local int, speaker int")
+    lengths = spark.createDataFrame([(r, 31 * 270 * 40) for r in {r for r, _, _ in rows}], "recording string, samples bigint")
+    runs, other = (sorted(D.speaker_runs(t, mapping, lengths, HOW).collect()) for t in (table, packed))
+    assert runs == other and len(runs) > 50
+
+
+@pytest.mark.parametrize("least", [1, 4, 100])
+def test_voices_are_the_operators_clusters(spark, least):
+    """Clusters, folded, and their centroids as the operators over tables give them."""
+    rng = np.random.default_rng(least)
+    rows = [("r", k, 10 + int(rng.integers(50)), [float(x) for x in np.eye(5)[min(k % 7, 4) if k % 11 else 3] + rng.normal(0, 0.1, 5)]) for k in range(60)] + [("r", 60, 20, [0.2, -1.0, -1.0, 0.1, 0.3])]
+    items = spark.createDataFrame(rows, "g string, item int, clean int, e array<double>")
+    labels = V.cluster(items, "g", "item", "e", 0.6)
+    folded = V.fold_small(items.join(labels, ["g", "item"]), "g", "item", "e", "label", "clean", least, 0.02)
+    units = items.withColumn("u", V.unit(F.col("e"))).join(folded, ["g", "item"])
+    want = {r["label"]: r["centroid"] for r in V.mean_vector(units, "label", "u").collect()}
+    got = dict(V.voices(np.array([r[3] for r in rows]), np.array([r[2] for r in rows], float), 0.6, least, 0.02))
+    assert got.keys() == want.keys() and all(np.abs(np.array(got[k]) - want[k]).max() < 1e-9 for k in want)
+
+
+def test_speakers_of_short_and_long_jobs(spark):
+    """Fewer than two long jobs: all are clustered; else the long ones alone, and the short ones are mapped to them."""
+    axis = lambda k: [float(i == k) for i in range(4)]
+    items = [("few", 0, 0, 80, axis(0)), ("few", 1, 0, 10, axis(1)), ("few", 2, 0, 10, axis(2)), ("many", 0, 0, 80, axis(2)), ("many", 1, 0, 70, axis(1)), ("many", 2, 0, 10, [0.1, 0.9, 0.0, 0.0]), ("many", 3, 0, 10, axis(2))]
+    out = D.global_speakers(spark.createDataFrame(items, "recording string, window int, local int, clean int, e array<double>"), long=60, min_size=1, min_share=0.0).collect()
+    assert sorted((r["recording"], r["window"], r["speaker"]) for r in out) == [("few", 0, 0), ("few", 1, 1), ("few", 2, 2), ("many", 0, 0), ("many", 1, 1), ("many", 2, 1), ("many", 3, 0)]
+
+
 def test_whole_chain(spark):
     """Two voices, named anew in each window, are found again; the third local is never embedded."""
     rows, items = [], []

@@ -31,6 +31,19 @@ def test_windows_are_mapped_without_a_table_each(spark):
     assert {(r["window"], r["local"], r["speaker"]) for r in frame.collect()} == {(w, k, 10 + (k + 1) % 3) for w in range(3) for k in range(3)}
 
 
+def test_turns_vote_once_and_speakers_are_found_in_one_pass(spark):
+    """The votes are one step of the turns' plan; clusters, their folding and their centroids one pass over the jobs."""
+    from colloquy.operators import diarize as D
+
+    windows = spark.createDataFrame([("r", 0, [1] * 120)], "recording string, window int, activity array<int>")
+    mapping = spark.createDataFrame([("r", 0, 0, 7)], "recording string, window int, local int, speaker int")
+    lengths = spark.createDataFrame([("r", 10**6)], "recording string, samples bigint")
+    assert plan(D.speaker_turns(D.speaker_runs(windows, mapping, lengths))).count("MapInArrow") == 1
+    items = spark.createDataFrame([("r", 0, 0, 60, [1.0])], "recording string, window int, local int, clean int, e array<double>")
+    text = plan(D.global_speakers(items))
+    assert "FlatMapGroupsInPandas" not in text and text.count("MapInArrow") == 2
+
+
 def test_der_mapping_has_no_table_for_each_meeting(spark, small):
     assert "FlatMapGroupsInPandas" not in plan(registry.queries()["j14_der_mapping"](spark, small))
 
