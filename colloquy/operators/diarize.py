@@ -177,7 +177,7 @@ def global_speakers(items: DataFrame, threshold: float = 0.6, long: int = 60, mi
 
     Jobs of at least ``long`` clean frames, all if there are fewer than two, are clustered by average linkage; small clusters
     are folded into the most similar large one; each window's locals are mapped one to one to the clusters' centroids, so
-    that their similarity in all is largest. A recording has at most ``V.MOST_VECTORS`` jobs that are clustered.
+    that their similarity in all is largest. One task holds the vectors of a recording's jobs that are clustered.
     """
     def step(state, row):
         # by falling ``clean``: the first two rows tell whether there are two long ones
@@ -185,8 +185,6 @@ def global_speakers(items: DataFrame, threshold: float = 0.6, long: int = 60, mi
         n_long += row["clean"] >= long
         if n_long < 2 or row["clean"] >= long:
             held.append((row["window"] * LOCALS + row["local"], row["clean"], row["e"]))
-            if len(held) > V.MOST_VECTORS:
-                raise ValueError(f"more than {V.MOST_VECTORS} vectors of one group can't be clustered")
         return (held, n_long), []
 
     def finish(state):

@@ -82,6 +82,31 @@ def linkage(distances: np.ndarray) -> list[tuple[float, int, int]]:
     return merges
 
 
+def linkage_of_sums(units: np.ndarray) -> list[tuple[float, int, int]]:
+    """``linkage`` of unit vectors' cosine distances, without a matrix: two clusters' mean distance is one less the product of
+    their mean vectors, so a row is worked out from the clusters' sums when it is read. Memory follows the vectors.
+
+    A row's rounding isn't the same from both sides, so what is no further by more than 1e-12 counts as the nearest.
+    """
+    sums, size, merges, chain, free = units.copy(), np.ones(len(units)), [], [], 0
+    while len(merges) < len(units) - 1:
+        if not chain:
+            while size[free] == 0:
+                free += 1
+            chain.append(free)
+        at = chain[-1]
+        row = np.where(size > 0, np.maximum(0, 1 - sums @ (sums[at] / size[at]) / np.maximum(size, 1)), np.inf)
+        row[at] = np.inf
+        nearest = int(row.argmin())
+        if len(chain) > 1 and row[chain[-2]] <= row[nearest] + 1e-12:
+            x, y = sorted((chain.pop(), chain.pop()))
+            merges.append((float(row[x if at == y else y]), x, y))
+            sums[x], size[x], size[y] = sums[x] + sums[y], size[x] + size[y], 0
+        else:
+            chain.append(nearest)
+    return merges
+
+
 def average_linkage(vectors: np.ndarray, threshold: float = 0.6, clusters: int | None = None) -> np.ndarray:
     """Labels by first appearance: the two closest clusters merge until they are further than the threshold apart, or until
     ``clusters`` are left. More than ``MOST_VECTORS`` vectors are an error."""
@@ -91,7 +116,12 @@ def average_linkage(vectors: np.ndarray, threshold: float = 0.6, clusters: int |
     if not n:
         return np.zeros(0, int)
     u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    merges = sorted(linkage(np.maximum(0, 1 - u @ u.T)), key=lambda m: m[0])
+    return merged(linkage(np.maximum(0, 1 - u @ u.T)), n, threshold, clusters)
+
+
+def merged(merges: list[tuple[float, int, int]], n: int, threshold: float, clusters: int | None = None) -> np.ndarray:
+    """The labels of ``average_linkage`` from all merges of n vectors."""
+    merges = sorted(merges, key=lambda m: m[0])
     apply = sum(h <= threshold for h, _, _ in merges) if clusters is None else n - max(1, clusters)
     parent = list(range(n))
 
@@ -120,9 +150,9 @@ def cluster(rows: DataFrame, group: str, item: str, vector: str, threshold: floa
 
 def voices(vectors: np.ndarray, mass: np.ndarray, threshold: float, min_size: int, min_share: float) -> list[tuple[int, list[float]]]:
     """(label, centroid) of one group's vectors: ``cluster``, ``fold_small`` and ``mean_vector`` of units for vectors that are
-    held at once anyway."""
-    label = average_linkage(vectors, threshold)
+    held at once anyway. Any number of vectors: beyond ``MOST_VECTORS`` their distances are not."""
     u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    label = average_linkage(vectors, threshold) if len(u) <= MOST_VECTORS else merged(linkage_of_sums(u), len(u), threshold)
 
     def means():
         names = np.unique(label)

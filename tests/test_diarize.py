@@ -138,6 +138,18 @@ def test_voices_are_the_operators_clusters(spark, least):
     assert got.keys() == want.keys() and all(np.abs(np.array(got[k]) - want[k]).max() < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.8])
+def test_clusters_of_any_number_without_a_matrix(monkeypatch, threshold):
+    """Recordings with more jobs than distances can be held for; the same clusters, copies among the vectors too."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(300, 6)) + 0.4
+    vectors[200:] = np.repeat(vectors[:10], 10, axis=0)
+    want = V.voices(vectors, np.ones(300), threshold, 3, 0.0)
+    monkeypatch.setattr(V, "MOST_VECTORS", 100)
+    got = V.voices(vectors, np.ones(300), threshold, 3, 0.0)
+    assert [k for k, _ in got] == [k for k, _ in want] and np.abs(np.array([c for _, c in got]) - np.array([c for _, c in want])).max() < 1e-9
+
+
 def test_speakers_of_short_and_long_jobs(spark):
     """Fewer than two long jobs: all are clustered; else the long ones alone, and the short ones are mapped to them."""
     axis = lambda k: [float(i == k) for i in range(4)]
